@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,3 +67,17 @@ def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column]
     numbered = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     on = [numbered[k].eqNullSafe(starts[f"_g_{k}"]) for k in keys]
     return numbered.join(starts, on).withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_rn", "_start", *[f"_g_{k}" for k in keys])
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package: send it to them, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kindred_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="kindred-")) / "kindred.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    sc._kindred_shipped = True

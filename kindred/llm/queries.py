@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, ring
+from kindred.llm import mixing, packing, ring
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
     "op2_mixing": mixing.op2_mixing,
+    "op7_packing": packing.op7_packing,
 }
 
 ORACLE_SQL = {
