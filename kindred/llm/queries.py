@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, packing, ring
+from kindred.llm import mixing, orderhash, packing, ring
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
     "op2_mixing": mixing.op2_mixing,
     "op7_packing": packing.op7_packing,
+    "op9_order_minhash": orderhash.op9_order_minhash,
 }
 
 ORACLE_SQL = {
