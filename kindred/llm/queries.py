@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, orderhash, packing, ring
+from kindred.llm import mixing, nearjoin, orderhash, packing, ring
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
     "op2_mixing": mixing.op2_mixing,
+    "op4_near_join": nearjoin.op4_near_join,
     "op7_packing": packing.op7_packing,
     "op9_order_minhash": orderhash.op9_order_minhash,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op4_near_join": nearjoin.OP4_SQL,
 }
