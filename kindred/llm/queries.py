@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, nearjoin, orderhash, packing, ring
+from kindred.llm import langid, mixing, nearjoin, orderhash, packing, ring
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
     "op2_mixing": mixing.op2_mixing,
     "op4_near_join": nearjoin.op4_near_join,
+    "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
     "op9_order_minhash": orderhash.op9_order_minhash,
 }
