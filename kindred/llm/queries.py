@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import langid, mixing, nearjoin, orderhash, packing, ring
+from kindred.llm import langid, mixing, nearjoin, orderhash, packing, ring, toxicity
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_join": nearjoin.op4_near_join,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_order_minhash": orderhash.op9_order_minhash,
 }
 
