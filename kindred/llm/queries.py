@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import langid, mixing, nearjoin, orderhash, packing, ring, toxicity
+from kindred.llm import langid, mixing, nearjoin, orderhash, packing, quality, ring, toxicity
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_order_minhash": orderhash.op9_order_minhash,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
