@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import langid, mixing, nearjoin, orderhash, packing, quality, ring, toxicity
+from kindred.llm import chat, langid, mixing, nearjoin, orderhash, packing, pivots, quality, ring, toxicity
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pivots": pivots.op3_pivots,
     "op4_near_join": nearjoin.op4_near_join,
+    "op5_chat": chat.op5_chat,
     "op6_langid": langid.op6_langid,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -17,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_pivots": pivots.OP3_SQL,
     "op4_near_join": nearjoin.OP4_SQL,
+    "op5_chat": chat.OP5_SQL,
 }
