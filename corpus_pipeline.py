@@ -3,11 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from kindred.llm.common import materialize
+from kindred.llm.langid import UNKNOWN, identify
+from kindred.llm.mixing import mix
+from kindred.llm.nearjoin import distinct_documents
+from kindred.llm.packing import cut, place
+from kindred.llm.quality import judged
+
+#: A language that is less sure than this is rejected.
+LEAST_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without text or letters go."""
+    return identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are judged good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judged(docs, labels).filter("good = 1").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that hangs together by n-gram similarity."""
+    return distinct_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    taken = mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token sequences, packed."""
+    out = place(cut(docs))
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mixture),
+    ("best-fit packing", packed),
+]
+
+#: The first two stages are trained models, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
