@@ -31,6 +31,7 @@ from kindred.llm.common import gapless_rank, materialize, ship
 CAPACITY, GROUPS, LARGE = 4096, 64, 8
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
 WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 400_000, 500_000, 40
+CHARS_AT_ONCE = 500_000
 END = (1).to_bytes(4, "little")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -53,25 +54,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-
-    def split(self, word: str) -> list[str]:
-        return self.PART.findall(word.lower()) if "<|" not in word and self.PLAIN.fullmatch(word) else [word]
-
-    def text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.get, words))
-        if None in found:
-            at = [i for i, x in enumerate(found) if x is None]
-            parts = [self.split(words[i]) for i in at]
-            new = [p for p in set().union(*parts) if p not in self.parts]
-            ids = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-            for i, own in zip(at, parts):
-                found[i] = b"".join([ids[p] if p in ids else self.parts[p] for p in own])
-                if len(words[i]) <= WORD_CHARS and len(self.words) < WORDS_KEPT:
-                    self.words[words[i]] = found[i]
-            if len(self.parts) < PARTS_KEPT:
-                self.parts.update((p, x) for p, x in ids.items() if len(p) <= WORD_CHARS)
-        return b"".join(found)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Each part is one pre-token and ends with a token that ends a word, so many are encoded
+        as one text and told apart by those."""
+        if not parts:
+            return {}
+        ids = self.encode(" ".join(parts))
+        raw, at = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(at) != len(parts) + 1 or at[-1] != len(raw):
+            return {p: self.encode(p).tobytes() for p in parts}
+        return {p: raw[i:j] for p, i, j in zip(parts, at, at[1:])}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not known yet."""
+        plain = {w: self.PART.findall(w.lower()) for w in words if "<|" not in w and self.PLAIN.fullmatch(w)}
+        known = self.parts
+        ids = self.encode_parts([p for p in set().union(*plain.values()) if p not in known])
+        out = {w: self.encode(w).tobytes() for w in words if w not in plain}
+        for w, parts in plain.items():
+            out[w] = b"".join([ids[p] if p in ids else known[p] for p in parts])
+        if len(known) < PARTS_KEPT:
+            known.update(ids)
+        return out
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        words = self.words
+        new = self.learn(set().union(*lists).difference(words))
+        words.update(new)
+        out = [b"".join(map(words.__getitem__, x)) for x in lists]
+        if len(words) > WORDS_KEPT:
+            for w in new:
+                del words[w]
+        else:
+            for w in new:
+                if len(w) > WORD_CHARS:
+                    del words[w]
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -80,6 +106,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def encoded(enc: Encoder, texts: pa.Array):
+    """The ids of each text and the end, some ``CHARS_AT_ONCE`` of text at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size > CHARS_AT_ONCE:
+            yield from (x + END for x in enc.texts(held))
+            held, size = [], 0
+    yield from (x + END for x in enc.texts(held))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -99,8 +137,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None
         enc, step = encoder(path), 4 * capacity
         for batch in batches:
             rows = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.text(text.as_py() or "") + END
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1))):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     for to, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
