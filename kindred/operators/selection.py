@@ -6,18 +6,19 @@ only after that."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kindred.functions.formatting import posix_quoted, powershell_quoted
 from kindred.functions.paths import extension, parent, under
 
-_group = Window.partitionBy("group_id")
+def _in_group() -> WindowSpec:
+    return Window.partitionBy("group_id")
 
 
 def _all_but(members: DataFrame, *order: Column) -> DataFrame:
     """All but the first of each group, without references."""
-    rank = F.row_number().over(_group.orderBy(*order))
+    rank = F.row_number().over(_in_group().orderBy(*order))
     return members.withColumn("_keep", rank).filter((F.col("_keep") > 1) & ~F.col("is_reference")).drop("_keep")
 
 
@@ -40,7 +41,7 @@ smallest = largest = duplicates
 
 def matching(members: DataFrame, match: Column) -> DataFrame:
     """The files that match; where a whole group does, its first match stays."""
-    n, hits = F.count(F.lit(1)).over(_group), F.count(F.when(match, 1)).over(_group)
+    n, hits = F.count(F.lit(1)).over(_in_group()), F.count(F.when(match, 1)).over(_in_group())
     first = F.row_number().over(Window.partitionBy("group_id", "_hit").orderBy("rank_in_group")) == 1
     rows = members.withColumn("_hit", F.coalesce(match, F.lit(False))).withColumn("_all", n == hits).withColumn("_first", first)
     return rows.filter(F.col("_hit") & ~(F.col("_all") & F.col("_first")) & ~F.col("is_reference")).drop("_hit", "_all", "_first")
@@ -61,7 +62,7 @@ def by_group_name(members: DataFrame, name: str) -> DataFrame:
 def by_folder(members: DataFrame, folder: str) -> DataFrame:
     """The files of a group in one folder, unless that would take every file of the group."""
     hit = parent(F.col("path")) == folder
-    n, hits = F.count(F.lit(1)).over(_group), F.count(F.when(hit, 1)).over(_group)
+    n, hits = F.count(F.lit(1)).over(_in_group()), F.count(F.when(hit, 1)).over(_in_group())
     return members.withColumn("_some", hits < n).filter(hit & F.col("_some") & ~F.col("is_reference")).drop("_some")
 
 
@@ -102,7 +103,7 @@ def deletion_plan(members: DataFrame, selected: DataFrame | None = None) -> Data
     if selected is not None:
         marked = members.join(selected.select("path").distinct().withColumn("_chosen", F.lit(True)), "path", "left")
         return marked.withColumn("action", F.when(F.col("_chosen"), "delete").otherwise("keep")).drop("_chosen")
-    referenced = F.max(F.col("is_reference")).over(_group)
+    referenced = F.max(F.col("is_reference")).over(_in_group())
     delete = F.when(referenced, ~F.col("is_reference")).otherwise(F.col("rank_in_group") > 1)
     return members.withColumn("action", F.when(delete, "delete").otherwise("keep"))
 
@@ -115,8 +116,8 @@ def without_survivor(members: DataFrame, selected: DataFrame) -> DataFrame:
 
 def after_delete(members: DataFrame, deleted: DataFrame) -> DataFrame:
     """Members that are left, in groups that still have two, ranked anew."""
-    left = members.join(deleted.select("path").distinct(), "path", "left_anti").withColumn("_n", F.count(F.lit(1)).over(_group)).filter("_n > 1").drop("_n")
-    return left.withColumn("rank_in_group", F.row_number().over(_group.orderBy("rank_in_group")))
+    left = members.join(deleted.select("path").distinct(), "path", "left_anti").withColumn("_n", F.count(F.lit(1)).over(_in_group())).filter("_n > 1").drop("_n")
+    return left.withColumn("rank_in_group", F.row_number().over(_in_group().orderBy("rank_in_group")))
 
 
 def filter_selected(members: DataFrame, selected: DataFrame) -> DataFrame:
