@@ -1,51 +1,17 @@
-"""Plumbing that the corpus operators share: tables in the shared folder and gapless ranks."""
+"""Plumbing that the corpus operators share: gapless ranks, and the package on the executors."""
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from kindred.plans.tables import materialize, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Where the cluster names none (tests on one machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kindred-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a cut of the lineage that
-    survives lost executors. The tables go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{tag}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone; then so is the way to its store
-            return
+__all__ = ["gapless_rank", "materialize", "shared_dir", "ship"]
 
 
 def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column], name: str) -> DataFrame:

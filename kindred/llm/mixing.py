@@ -70,7 +70,8 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> Data
         state = hist.withColumn("upto", upto).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest"))).select("source", (F.col("rest") - (F.col("upto") - F.col("s"))).alias("rest"), "prefix", "s", "n")
     end = state.select(F.col("source").alias("_s"), F.col("prefix").alias("bound"), F.least("n", F.floor(F.col("rest") / (F.col("s") / F.col("n")) + 0.5)).alias("ties"), F.col("n").alias("tied"))
     out = goal.join(end, goal["source"].eqNullSafe(end["_s"]), "left")
-    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce("bound", F.lit(0)).alias("bound"), F.coalesce("ties", F.lit(0)).cast("long").alias("ties"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied")), "mix_plan")
+    ends = F.when(out["rest"] > 0, F.col("bound"))  # else whole copies are all, even for rows without words
+    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce(ends, F.lit(0)).alias("bound"), F.coalesce("ties", F.lit(0)).cast("long").alias("ties"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied")), "mix_plan")
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialize, ship
-from kindred.llm.graph import components, least_labels
+from kindred.operators.graph import components, least_labels
 
 RUN_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS, TOLERANCE = 32, 5, 1e-6
@@ -307,9 +307,11 @@ def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str
 
 def distinct_documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``df`` without all but one of each group of near copies; columns unchanged."""
-    held = materialize(df.withColumn("_uid", F.monotonically_increasing_id()), "documents")
-    gone = materialize(near_links(held, text, key, "_uid").filter("NOT stays").select("uid"), "copies")
-    return held.join(_bounded(gone, gone.count()), held["_uid"] == gone["uid"], "left_anti").drop("_uid")
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    held = materialize(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("_uid")), "documents")
+    gone = materialize(near_links(held, names[text], names[key], "_uid").filter("NOT stays").select("uid"), "copies")
+    left = held.join(_bounded(gone, gone.count()), held["_uid"] == gone["uid"], "left_anti")
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op4_near_join(spark, sf_dir: str) -> DataFrame:

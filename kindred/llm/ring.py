@@ -34,11 +34,12 @@ def ring_points(shards: int, vnodes: int) -> int:
 
 def ring_nodes(shards: int, vnodes: int, points: int) -> list[tuple[int, int]]:
     """(point, shard) of every virtual node, clockwise. A shard's nodes depend on its number alone
-    (but for a taken point, which yields to the next free one), so more shards leave them in place."""
+    (but for a taken point, which yields to the next free one), so more shards leave them in place,
+    and so does a finer ring, since nodes and keys are cut from the front of their hashes."""
     at: dict[int, int] = {}
     for s in range(shards):
         for v in range(vnodes):
-            p = int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest()) % points
+            p = int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest()) * points >> 64
             while p in at:
                 p = (p + 1) % points
             at[p] = s
