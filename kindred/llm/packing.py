@@ -3,7 +3,7 @@
 Lengths are small integers, so the whole packing problem is a histogram of at most ``capacity``
 counts, however many documents there are. On that histogram:
 
-1. large pieces (over an eighth of a sequence) are sorted by length and cut into groups of equal
+1. large pieces (over a quarter of a sequence) are sorted by length and cut into groups of equal
    cardinality; every length in a group is rounded up to the group's largest;
 2. the few-size problem is solved over configurations: column generation on its linear
    programme, with an exact knapsack for pricing, and its whole parts are used;
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import gapless_rank, materialize, ship
 
-CAPACITY, GROUPS, LARGE = 4096, 64, 8
+CAPACITY, GROUPS, LARGE = 4096, 128, 4
+#: Tokens that a substituted configuration may leave free: plans are made for each of these.
+GAPS = (CAPACITY, 64, 16, 4, 0)
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
 WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 400_000, 500_000, 40
 CHARS_AT_ONCE = 500_000
@@ -232,52 +234,71 @@ class Blocks:
                 self.add(times, items, room)
 
 
+def grouped(large: list[tuple[int, int]], groups: int) -> tuple[list[int], list[list[tuple[int, int]]]]:
+    """Cut (length, count), longest first, into ``groups`` of equal cardinality: the length that
+    each group is rounded up to, and its actual lengths. Groups that round alike are one."""
+    each = -(-sum(c for _, c in large) // groups)
+    runs: dict[int, list[tuple[int, int]]] = {}
+    room = 0
+    for length, count in large:
+        while count:
+            if not room:
+                top, room = length, each
+            take = min(count, room)
+            runs.setdefault(top, []).append((length, take))
+            room -= take
+            count -= take
+    return list(runs), list(runs.values())
+
+
+def substituted(patterns: list[tuple[int, list[int]]], runs: list[list[tuple[int, int]]]):
+    """(times, {length: count}) of the configurations with actual pieces in their places."""
+    queues = [deque([n, c] for n, c in r) for r in runs]
+    for times, counts in patterns:
+        slots = [(g, c) for g, c in enumerate(counts) if c]
+        while times and all(sum(n for _, n in queues[g]) >= c for g, c in slots):
+            each = min(times, *(max(1, queues[g][0][1] // c) for g, c in slots))
+            items: dict[int, int] = {}
+            for g, left in slots:
+                while left:
+                    run = queues[g][0]
+                    take = min(left, run[1] // each)
+                    items[run[0]] = items.get(run[0], 0) + take
+                    run[1] -= take * each
+                    left -= take
+                    if not run[1]:
+                        queues[g].popleft()
+            yield each, items
+            times -= each
+
+
 def pack(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Sequences for all pieces: (times, [(length, count), ...])."""
-    blocks = Blocks(capacity)
-    rest = dict(histogram)
-    blocks.add(rest.pop(capacity, 0), [(capacity, 1)], 0)
-    large = [(n, c) for n, c in sorted(rest.items(), reverse=True) if n > capacity // LARGE and c]
-    if large:
-        each = -(-sum(c for _, c in large) // groups)
-        runs, sizes, need = [], [], []
-        for length, count in large:
-            while count:
-                if not need or need[-1] == each:
-                    runs.append(deque())
-                    sizes.append(length)
-                    need.append(0)
-                take = min(count, each - need[-1])
-                runs[-1].append([length, take])
-                need[-1] += take
-                count -= take
-        merged: dict[int, int] = {}  # groups that round to the same length are one size
-        of = [merged.setdefault(s, len(merged)) for s in sizes]
-        queues, wants = [deque() for _ in merged], [0] * len(merged)
-        for g, r, n in zip(of, runs, need):
-            queues[g].extend(r)
-            wants[g] += n
-        for times, counts in configurations(list(merged), wants, capacity):
-            slots = [(g, c) for g, c in enumerate(counts) if c]
-            while times and all(sum(n for _, n in queues[g]) >= c for g, c in slots):
-                each = min(times, *(max(1, queues[g][0][1] // c) for g, c in slots))
-                items: dict[int, int] = {}
-                for g, c in slots:
-                    left = c
-                    while left:
-                        run = queues[g][0]
-                        take = min(left, run[1] // each)
-                        items[run[0]] = items.get(run[0], 0) + take
-                        run[1] -= take * each
-                        left -= take
-                        rest[run[0]] -= take * each
-                        if not run[1]:
-                            queues[g].popleft()
-                blocks.add(each, list(items.items()), capacity - sum(n * c for n, c in items.items()))
-                times -= each
-    for length, count in sorted(rest.items(), reverse=True):
-        blocks.put(length, count)
-    return [*blocks.full, *(b for room in blocks.rooms for b in blocks.by_room[room])]
+    """Sequences for all pieces: (times, [(length, count), ...]).
+
+    Rounding leaves gaps that small pieces may be too few to fill, so the plan is made for several
+    bounds of the gap beyond which a substituted configuration is given up and its pieces go by
+    best fit with the rest; the plan with the fewest sequences is taken."""
+    large = [(n, c) for n, c in sorted(histogram.items(), reverse=True) if capacity // LARGE < n < capacity and c]
+    sizes, runs = grouped(large, groups) if large else ([], [])
+    patterns = configurations(sizes, [sum(c for _, c in r) for r in runs], capacity) if large else []
+    best: list[tuple[int, list[tuple[int, int]]]] = []
+    fewest = None
+    for gap in GAPS:
+        blocks, rest = Blocks(capacity), dict(histogram)
+        blocks.add(rest.pop(capacity, 0), [(capacity, 1)], 0)
+        for times, items in substituted(patterns, runs):
+            room = capacity - sum(n * c for n, c in items.items())
+            if room <= gap:
+                blocks.add(times, list(items.items()), room)
+                for n, c in items.items():
+                    rest[n] -= times * c
+        for length, count in sorted(rest.items(), reverse=True):
+            blocks.put(length, count)
+        found = [*blocks.full, *(b for room in blocks.rooms for b in blocks.by_room[room])]
+        used = sum(t for t, _ in found)
+        if fewest is None or used < fewest:
+            best, fewest = found, used
+    return best
 
 
 def places(blocks: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
