@@ -35,9 +35,17 @@ def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column]
     return numbered.join(starts, on).withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_rn", "_start", *[f"_g_{k}" for k in keys])
 
 
+#: Rows of an Arrow batch. Texts may be long, and a worker holds a batch and what it makes of it.
+BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, 10_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the executors import this package: send it to them, once a session."""
+    """Let the executors import this package: send it to them, once a session. Arrow batches are
+    made smaller where the session has not chosen their size."""
     sc = spark.sparkContext
+    if int(spark.conf.get(_BATCH, str(DEFAULT_BATCH_ROWS))) == DEFAULT_BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_kindred_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

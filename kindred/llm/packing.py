@@ -32,8 +32,8 @@ CAPACITY, GROUPS, LARGE = 4096, 128, 4
 #: Tokens that a substituted configuration may leave free: plans are made for each of these.
 GAPS = (CAPACITY, 64, 16, 4, 0)
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
-WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 400_000, 500_000, 40
-CHARS_AT_ONCE = 500_000
+WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 250_000, 350_000, 40
+CHARS_AT_ONCE = 300_000
 END = (1).to_bytes(4, "little")
 
 _encoders: dict[str, "Encoder"] = {}

@@ -26,7 +26,7 @@ BITS, TERMS, RANK, PREFIXES = 20, 1024, 8, (4, 5)
 #: Labelled texts that are learned from, of either label.
 SAMPLE = 3000
 #: Distinct words whose terms a model keeps at hand.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
