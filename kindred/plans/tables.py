@@ -34,7 +34,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{tag}"
     _written.append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")  # its buffers do not stay behind outside the heap
     return spark.read.schema(df.schema).parquet(path)
 
 
