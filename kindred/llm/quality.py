@@ -140,7 +140,7 @@ def posteriors(rows: DataFrame) -> DataFrame:
     above = hosts.select(F.col("host").alias("_host"), ((F.col("good") + strong * rate) / (F.col("n") + strong)).alias("host_posterior"))
     out = paths.join(above, paths["host"].eqNullSafe(above["_host"])).drop("_host")
     out = out.withColumn("path_posterior", (F.col("good") + strong_path * F.col("host_posterior")) / (F.col("n") + strong_path))
-    return out.select("host", "path", "host_posterior", "path_posterior", F.lit(rate).alias("rate"))
+    return materialize(out.select("host", "path", "host_posterior", "path_posterior", F.lit(rate).alias("rate")), "posteriors")  # so that a short list is known to be short
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", path: str = "lang") -> DataFrame:
