@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        after = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        after = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges", seen[0])  # rounds keep the number of edges or lower it
         was, seen, now = seen, state(after), after
         if was == seen:
             break

@@ -28,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of a file, where their number is about known.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a cut of the lineage that
-    survives lost executors. The tables go when the driver's Python ends."""
+    survives lost executors. The tables go when the driver's Python ends.
+
+    ``rows``: about how many there are, so that a short table is not written as many files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{tag}"
     _written.append((spark, path))
     df.write.parquet(path, compression="zstd")  # its buffers do not stay behind outside the heap
