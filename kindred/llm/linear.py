@@ -12,14 +12,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Squared hinge loss, by accelerated gradient descent. y: -1 or 1. Returns weights and bias."""
     weight = np.ones(len(y)) if weight is None else weight
-    weight = weight / weight.sum()
+    weight, y = (weight / weight.sum()).astype(x.dtype), y.astype(x.dtype)
     z = np.c_[x, np.ones(len(x), x.dtype)]
-    w = v = np.zeros(z.shape[1])
-    step = 1 / (2 * np.max(np.einsum("ij,ij->i", z, z)) + l2)
+    w = v = np.zeros(z.shape[1], x.dtype)
+    step = x.dtype.type(1 / (2 * np.max(np.einsum("ij,ij->i", z, z)) + l2))
+    l2 = x.dtype.type(l2)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (z @ v))
-        new = v - step * (l2 * v - 2 * z.T @ (weight * y * slack))
-        v = new + t / (t + 3) * (new - w)
+        new = v - step * (l2 * v - 2 * (z.T @ (weight * y * slack)))
+        v = new + x.dtype.type(t / (t + 3)) * (new - w)
         w = new
     return w[:-1], float(w[-1])
 
