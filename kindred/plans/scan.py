@@ -9,13 +9,13 @@ from kindred.functions.hashing import simhash
 from kindred.functions.paths import in_category
 from kindred.operators import exact, similar
 from kindred.operators.predicates import in_references, passed
-from kindred.plans.tables import materialize
+from kindred.plans.tables import materialize, spread
 from kindred.schema import ScanOptions
 
 
 def fingerprinted(files: DataFrame) -> DataFrame:
     """Documents with a text, with their fingerprint as ``hash``; others have none."""
-    return files.withColumn("hash", F.when(in_category(F.col("path"), "documents") & F.col("text").isNotNull(), simhash(F.col("text"))))
+    return spread(files).withColumn("hash", F.when(in_category(F.col("path"), "documents") & F.col("text").isNotNull(), simhash(F.col("text"))))
 
 
 def find_duplicates(files: DataFrame, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:

@@ -61,3 +61,10 @@ def keep_in(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAS
     to every task, so that wide rows of ``df`` stay where they are; a long one is shuffled to."""
     keys = keys.select(*on)
     return df.join(F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys, on, "left_semi")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, where the input comes in fewer parts than there are cores (one
+    file of one row group); large inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
