@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import ship
-from kindred.llm.linear import linear_svm, platt, sigmoid
+from kindred.llm.linear import linear_svms, platt, sigmoid
 
 BITS, SAMPLE, UNKNOWN = 12, 500, "und"
-#: Most languages that are learned; the sample and the number of machines follow from it.
-LANGUAGES = 64
 
 # Families by language code.
 FAMILIES = {
@@ -61,10 +59,12 @@ class Machine:
     shift: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, yes: np.ndarray) -> Machine:
-        weight = np.where(yes, 0.5 / max(1, yes.sum()), 0.5 / max(1, (~yes).sum()))
-        w, b = linear_svm(x, np.where(yes, 1.0, -1.0), weight)
-        return cls(w.astype(np.float32), b, *platt(x @ w + b, yes.astype(float)))
+    def fit(cls, x: np.ndarray, yes: np.ndarray) -> list[Machine]:
+        """A machine for each column of ``yes``, all trained together."""
+        weight = np.where(yes, 0.5 / np.maximum(1, yes.sum(axis=0)), 0.5 / np.maximum(1, (~yes).sum(axis=0)))
+        w, b = linear_svms(x, np.where(yes, 1.0, -1.0).astype(np.float32), weight.astype(np.float32))
+        margin = x @ w + b
+        return [cls(w[:, k].astype(np.float32), float(b[k]), *platt(margin[:, k], yes[:, k].astype(float))) for k in range(yes.shape[1])]
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.slope * (x @ self.weights + self.bias) + self.shift)
@@ -84,11 +84,11 @@ class Model:
         model = cls()
         for code in sorted(set(lang)):
             model.families.setdefault(FAMILY.get(code, f"of {code}"), []).append(code)
-        family = np.array([FAMILY.get(c, f"of {c}") for c in lang])
+        family, names = np.array([FAMILY.get(c, f"of {c}") for c in lang]), list(model.families)
+        if len(names) > 1:
+            model.of_family = dict(zip(names, Machine.fit(x, family[:, None] == np.array(names))))
         for name, codes in model.families.items():
-            if len(model.families) > 1:
-                model.of_family[name] = Machine.fit(x, family == name)
-            model.pairs[name] = {(a, b): Machine.fit(x[on := (lang == a) | (lang == b)], lang[on] == a) for a, b in combinations(codes, 2)}
+            model.pairs[name] = {(a, b): Machine.fit(x[on := (lang == a) | (lang == b)], lang[on, None] == a)[0] for a, b in combinations(codes, 2)}
         return model
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -119,10 +119,10 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learn from rows with a language and a letter, at most ``sample`` of each language, taken by
-    a hash of key and text. Of more than ``LANGUAGES`` languages the most frequent are learned."""
+    a hash of key and text. Every language that has such a row is learned."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model()
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.25 * sample / r["count"] + 0.01 * (r["count"] < 10 * sample))])
@@ -132,15 +132,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([vectors([t])[0].astype(np.float16).tobytes() if has_letter(t) else None for t in texts])
 
-    found, taken = some.select("lang", packed("text").alias("x"), F.xxhash64("key", "text").alias("h")).orderBy("h").collect(), {}
-    picked = []
-    for r in found:
+    taken: dict[str, int] = {}
+    picked, langs = [], []
+    for r in some.select("lang", packed("text").alias("x"), F.xxhash64("key", "text").alias("h")).orderBy("h").toLocalIterator():
         if r["x"] is not None and taken.get(r["lang"], 0) < sample:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            picked.append(r)
+            picked.append(np.frombuffer(bytes(r["x"]), np.float16))
+            langs.append(r["lang"])
     if not picked:
         return Model()
-    return Model.fit(np.stack([np.frombuffer(r["x"], np.float16) for r in picked]).astype(np.float32), np.array([r["lang"] for r in picked]))
+    x = np.empty((len(picked), 1 << BITS), np.float32)
+    for i, row in enumerate(x):
+        row[:], picked[i] = picked[i], None
+    return Model.fit(x, np.array(langs))
 
 
 def predicted(model: Model, spark, text: Column) -> Column:

@@ -9,20 +9,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Squared hinge loss, by accelerated gradient descent. y: -1 or 1. Returns weights and bias."""
-    weight = np.ones(len(y)) if weight is None else weight
-    weight, y = (weight / weight.sum()).astype(x.dtype), y.astype(x.dtype)
-    z = np.c_[x, np.ones(len(x), x.dtype)]
-    w = v = np.zeros(z.shape[1], x.dtype)
-    step = x.dtype.type(1 / (2 * np.max(np.einsum("ij,ij->i", z, z)) + l2))
+def linear_svms(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Squared hinge loss, by accelerated gradient descent, of a machine for each column of y (-1
+    or 1) and weight. Returns a column of weights and a bias for each."""
+    weight = weight / weight.sum(axis=0)
+    w = v = np.zeros((x.shape[1] + 1, y.shape[1]), x.dtype)
+    step = x.dtype.type(1 / (2 * (np.max(np.einsum("ij,ij->i", x, x)) + 1) + l2))
     l2 = x.dtype.type(l2)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ v))
-        new = v - step * (l2 * v - 2 * (z.T @ (weight * y * slack)))
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - step * (l2 * v - 2 * np.vstack([x.T @ pull, pull.sum(axis=0)]))
         v = new + x.dtype.type(t / (t + 3)) * (new - w)
         w = new
-    return w[:-1], float(w[-1])
+    return w[:-1], w[-1]
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

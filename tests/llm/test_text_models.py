@@ -38,6 +38,14 @@ def test_languages_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    word = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    rows = [(100 * n + i, " ".join(word(137 * n + 11 * j) * 2 for j in range(8)), f"x{n:02}", "a") for n in range(70) for i in range(3 if n < 66 else 2)]
+    model = langid.fit(documents(spark, rows))
+    assert sorted(c for codes in model.families.values() for c in codes) == [f"x{n:02}" for n in range(70)]
+    assert model.predict([text for _, text, *_ in rows])[0] == [lang for _, _, lang, _ in rows]
+
+
 def auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))
