@@ -1,10 +1,10 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
 A text's terms are its words and the words' first four and five letters, hashed. On a bounded
-sample of labelled texts the terms that tell most about the label are chosen by chi-square, and a
-factorization machine learns a weight and a short vector for each: the product of two vectors is
-the weight of seeing both terms, so an insult and the mention of a group can count for more
-together than apart. A score reads all words of the text.
+sample of labelled texts a factorization machine learns a weight and a short vector for each term
+of two texts or more: the product of two vectors is the weight of seeing both terms, so an insult
+and the mention of a group can count for more together than apart, even where neither tells
+anything alone. A score reads all words of the text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from kindred.llm.common import ship
 from kindred.llm.langid import held_out
 from kindred.llm.linear import sigmoid
 
-BITS, TERMS, RANK, PREFIXES = 20, 1024, 8, (4, 5)
+BITS, FIRST, RANK, PREFIXES = 20, 1024, 8, (4, 5)
 #: Labelled texts that are learned from, of either label.
 SAMPLE = 3000
+#: Terms of more than one in so many texts are held as dense columns when learning; speed only.
+DENSE = 64
 #: Distinct words whose terms a model keeps at hand.
 WORDS_KEPT = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -68,14 +70,14 @@ class Machine:
                 on.update(places)
         if not on:
             return float(sigmoid(np.float64(self.bias)))
-        at = sorted(on)
+        at = np.sort(np.fromiter(on, np.intp, len(on)))
         v = self.vectors[at]
         pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
         return float(sigmoid(np.float64(self.bias + self.weights[at].sum() + pairs)))
 
 
-def chosen(sets: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms with the largest chi-square against the label, of those in three texts or more."""
+def chosen(sets: list[np.ndarray], y: np.ndarray, most: int = FIRST) -> np.ndarray:
+    """The terms that are learned first: those with the largest chi-square against the label, of those in three texts or more."""
     terms, at = np.unique(np.concatenate(sets) if sets else np.zeros(0, int), return_inverse=True)
     label = np.repeat(y, [len(s) for s in sets])
     a, seen = np.bincount(at, label, len(terms)), np.bincount(at, minlength=len(terms))
@@ -88,32 +90,80 @@ def chosen(sets: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> np.ndarr
     return np.sort(terms[best[chi[best] > 3.84]])
 
 
-def learn(sets: list[np.ndarray], y: np.ndarray, rate: float, rounds: int = 200, l2: float = 2e-4, step: float = 0.05) -> Machine:
-    """Fit by Adam on the whole sample; ``rate``: the share of label 1 that the bias is set for."""
-    terms = chosen(sets, y)
-    x = np.zeros((len(sets), len(terms)), np.float32)
-    for row, s in zip(x, sets):
-        i = np.searchsorted(terms, s)
-        i[i == len(terms)] = 0
-        if len(terms):
-            row[i[terms[i] == s]] = 1
+class Incidence:
+    """Which text has which term, as a matrix of texts by terms: dense columns of frequent terms,
+    runs of places for the others. ``terms``: those of two texts or more that not all texts have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        terms, at, seen = np.unique(np.concatenate(sets) if sets else np.zeros(0, int), return_inverse=True, return_counts=True)
+        often = (seen > len(sets) / DENSE)[at]
+        kept = ((seen > 1) & (seen < len(sets)))[at]
+        columns = np.r_[np.unique(at[kept & often]), np.unique(at[kept & ~often])].astype(int)
+        place = np.zeros(len(terms), int)
+        place[columns] = np.arange(len(columns))
+        self.terms, self.n = terms[columns], len(sets)
+        self.dense = np.zeros((self.n, len(np.unique(at[kept & often]))), np.float32)
+        self.dense[rows[kept & often], place[at[kept & often]]] = 1
+        rows, columns = rows[kept & ~often], place[at[kept & ~often]] - self.dense.shape[1]
+        self.by_row = columns, *np.unique(rows, return_index=True)
+        order = np.argsort(columns, kind="stable")
+        self.by_column = rows[order], np.unique(columns[order], return_index=True)[1]
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ``v`` over each text's terms."""
+        k = self.dense.shape[1]
+        out = self.dense @ v[:k]
+        columns, rows, starts = self.by_row
+        if len(columns):
+            out[rows] += np.add.reduceat(v[k:][columns], starts, axis=0)
+        return out
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ``g`` over each term's texts."""
+        rows, starts = self.by_column
+        rare = np.add.reduceat(g[rows], starts, axis=0) if len(rows) else g[:0]
+        return np.concatenate([self.dense.T @ g, rare])
+
+
+def learn(sets: list[np.ndarray], y: np.ndarray, rate: float, rounds: int = 200, joined: int = 60, l2: float = 2e-4, step: float = 0.05, slow: float = 0.05) -> Machine:
+    """Fit on the whole sample: by Adam the terms that tell most alone, then all others on what is
+    left to tell, each in proportion to its gradient. ``rate``: the share of label 1 that the bias
+    is set for."""
+    x = Incidence(sets)
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    vectors = np.random.default_rng(7).normal(0, 0.01, (len(terms), RANK)).astype(np.float32)
-    params = [np.zeros(1, np.float32), np.zeros(len(terms), np.float32), vectors]
+    vectors = np.random.default_rng(7).normal(0, 0.01, (len(x.terms), RANK)).astype(np.float32)
+    early = np.isin(x.terms, chosen(sets, y))
+    some = Incidence([np.intersect1d(s, x.terms[early], assume_unique=True) for s in sets])
+    at = np.argsort(x.terms)[np.searchsorted(np.sort(x.terms), some.terms)]
+
+    def gradients(x: Incidence, bias: np.ndarray, w: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        sums = x.dot(np.c_[w, v, (v**2).sum(axis=1)])
+        xv = sums[:, 1:-1]
+        f = bias[0] + sums[:, 0] + 0.5 * ((xv**2).sum(axis=1) - sums[:, -1])
+        g = weight * (sigmoid(f) - y).astype(np.float32)
+        back = x.back(np.c_[g, g[:, None] * xv])
+        return [np.array([g.sum()], np.float32), back[:, 0] + l2 * w, back[:, 1:] - v * back[:, :1] + l2 * v]
+
+    params = [np.zeros(1, np.float32), np.zeros(len(at), np.float32), vectors[at]]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        bias, w, v = params
-        xv = x @ v
-        f = bias[0] + x @ w + 0.5 * (xv**2 - x @ v**2).sum(axis=1)
-        g = weight * (sigmoid(f) - y).astype(np.float32)
-        xg = x.T @ g
-        grads = [np.array([g.sum()], np.float32), xg + l2 * w, x.T @ (g[:, None] * xv) - v * xg[:, None] + l2 * v]
-        for p, m, s, d in zip(params, first, second, grads):
+        for p, m, s, d in zip(params, first, second, gradients(some, *params)):
             m += 0.1 * (d - m)
             s += 0.001 * (d * d - s)
             p -= step * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    bias, w, v = params[0], np.zeros(len(x.terms), np.float32), np.float32(0.1) * vectors
+    w[at], v[at] = params[1:]
+    late = ~early
+    first, most = [np.zeros_like(p) for p in (bias, w[late], v[late])], [1e-8] * 3
+    for t in range(1, joined + 1):
+        grads = gradients(x, bias, w, v)
+        for k, (p, on, d) in enumerate(zip((bias, w, v), (slice(None), late, late), grads)):
+            first[k] += 0.1 * (d[on] - first[k])
+            most[k] = max(most[k], float(np.abs(d[on]).max(initial=0)))
+            p[on] -= np.float32(slow / (1 - 0.9**t) / most[k]) * first[k]
     prior = np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
-    return Machine(float(params[0][0] + min(0.0, prior)), {int(t): i for i, t in enumerate(terms)}, params[1].astype(float), params[2].astype(float))
+    return Machine(float(bias[0] + min(0.0, prior)), {int(t): i for i, t in enumerate(x.terms)}, w.astype(float), v.astype(float))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine:

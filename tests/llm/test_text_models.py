@@ -74,6 +74,15 @@ def test_pairs_of_terms_are_learned():
     assert f(1, 2) > 0 > max(f(1), f(2))
 
 
+def test_terms_that_tell_only_together_are_learned():
+    sets = [np.array([t for t, on in ((1, i % 2), (2, i // 2 % 2), (3, i % 3 == 0), (4, i == 7 or i == 11)) if on], int) for i in range(480)]
+    y = np.array([float(i % 2 != i // 2 % 2) for i in range(480)])
+    model = toxicity.learn(sets, y, 0.5)
+    assert set(model.columns) == {1, 2, 3, 4}
+    f = lambda *t: model.bias + sum(model.weights[model.columns[x]] for x in t) + (model.vectors[model.columns[1]] @ model.vectors[model.columns[2]] if {1, 2} <= set(t) else 0)
+    assert min(f(1), f(2)) > 0 > max(f(), f(1, 2))
+
+
 def test_toxicity_awkward_rows(spark):
     df = documents(spark)
     rows = toxicity.toxicity(df, labels(spark)).collect()
