@@ -84,9 +84,11 @@ def not_covered(similar: DataFrame, exact: DataFrame) -> DataFrame:
 
 def all_groups(exact: DataFrame, similar: DataFrame) -> DataFrame:
     """Members of exact and similar groups: group_id, is_similar, path, size, rank_in_group. A
-    similar group's id is its leader's hash, filled up to 64 digits."""
+    similar group's id is its leader's hash, filled up to 64 digits with ``fill`` (0, if there is no
+    such column), which keeps groups of images and of documents apart."""
+    fill = F.col("fill") if "fill" in similar.columns else F.lit("0")
     rank = F.row_number().over(Window.partitionBy("group_id").orderBy("path"))
-    heads = similar.filter("leader = path").select("leader", F.rpad(F.lower(F.lpad(F.hex("hash"), 16, "0")), 64, "0").alias("group_id"))
+    heads = similar.filter("leader = path").select("leader", F.rpad(F.lower(F.lpad(F.hex("hash"), 16, "0")), 64, fill).alias("group_id"))
     near = similar.join(heads, "leader").select("group_id", F.lit(True).alias("is_similar"), "path", "size")
     same = exact.select(F.col("hash").alias("group_id"), F.lit(False).alias("is_similar"), "path", "size")
     return same.unionByName(near).withColumn("rank_in_group", rank)

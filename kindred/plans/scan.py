@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from kindred.functions.paths import in_category
 from kindred.operators import exact, similar
 from kindred.operators.predicates import in_references, passed
 from kindred.plans.tables import materialize, spread
-from kindred.schema import ScanOptions
+from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 
 
 def fingerprinted(files: DataFrame) -> DataFrame:
@@ -20,13 +22,22 @@ def fingerprinted(files: DataFrame) -> DataFrame:
 
 def find_duplicates(files: DataFrame, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
     """(members, summary) of file rows with content. Members: group_id, is_similar, path, size,
-    rank_in_group, is_reference."""
+    rank_in_group, is_reference. Similar images are told by their ``perceptual_hash``, a column of
+    ``files`` made by ``image_algorithm``."""
+    if options.similar_images and "perceptual_hash" not in files.columns:
+        raise ValueError("similar images need a column perceptual_hash")
     kept = passed(files, options)
     found = materialize(exact.exact_members(kept, options.paranoid).select("hash", "path", "size", "rank_in_group"), "exact")
+    near = []
+    if options.similar_images:
+        most = IMAGE_THRESHOLDS[options.image_algorithm] if options.image_threshold is None else options.image_threshold
+        images = kept.filter(in_category(F.col("path"), "images")).select("path", "size", F.col("perceptual_hash").alias("hash")).filter("hash IS NOT NULL")
+        near.append(similar.not_covered(similar.leader_groups(materialize(images, "image_hashes"), most, options.min_group_size), found).withColumn("fill", F.lit("f")))
     if options.similar_documents:
         prints = materialize(fingerprinted(kept).filter("hash IS NOT NULL").select("path", "size", "hash"), "fingerprints")
-        near = similar.not_covered(similar.leader_groups(prints, options.document_threshold, options.min_group_size), found)
-        members = similar.all_groups(found, near)
+        near.append(similar.not_covered(similar.leader_groups(prints, options.document_threshold, options.min_group_size), found).withColumn("fill", F.lit("0")))
+    if near:
+        members = similar.all_groups(found, reduce(DataFrame.unionByName, near))
     else:
         members = found.select(F.col("hash").alias("group_id"), F.lit(False).alias("is_similar"), "path", "size", "rank_in_group")
     summary = exact.scan_summary(kept.select("size"), exact.exact_groups(found))

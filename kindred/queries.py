@@ -14,7 +14,7 @@ from kindred.functions import formatting, hashing, paths, progress
 from kindred.operators import dedupe, exact, predicates, selection, similar, views
 from kindred.plans.scan import find_duplicates, fingerprinted
 from kindred.plans.tables import materialize
-from kindred.schema import ScanOptions
+from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 from kindred.sources import cache, session, sinks
 from kindred.sources.files import from_table
 
@@ -200,8 +200,8 @@ query("phash")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", has
 
 @query("similar_vectors")
 def _(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"), hashing.bits_to_long(hashing.ahash(F.col("embedding"))).alias("hash"))
-    return similar.leader_groups(materialize(rows, "prints"), 5).select("leader", "path")
+    rows = vectors(spark, sf_dir).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"), hashing.bits_to_long(hashing.phash(F.col("embedding").cast("array<double>"))).alias("hash"))
+    return similar.leader_groups(materialize(rows, "prints"), IMAGE_THRESHOLDS["phash"]).select("leader", "path")
 
 
 # Selections.

@@ -57,5 +57,8 @@ class ScanOptions:
     paranoid: bool = False
     similar_documents: bool = False
     document_threshold: int = DOCUMENT_THRESHOLD
+    similar_images: bool = False
+    image_algorithm: str = "phash"
+    image_threshold: int | None = None
     min_group_size: int = MIN_GROUP_SIZE
     strict: bool = False

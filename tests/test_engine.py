@@ -106,6 +106,16 @@ def test_walk(spark, tmp_path):
     assert members.count() == 4
 
 
+def test_scan_unites_images_and_documents(spark):
+    rows = [("/a.jpg", "1", 0), ("/b.png", "22", 0b1111), ("/c.gif", "333", -1), ("/d.jpg", "4444", None), ("/e.jpg", "same", 5 << 40), ("/f.jpg", "same", 5 << 40), ("/n.txt", "!!", 0), ("/o.txt", "?!!", 0)]
+    df = spark.createDataFrame(rows, "path string, text string, hash long")
+    f = from_table(df, F.col("path"), F.col("text"), F.timestamp_seconds(F.lit(0))).join(df.select("path", F.col("hash").alias("perceptual_hash")), "path")
+    groups = lambda **o: {(r["is_similar"], tuple(sorted(r["p"]))) for r in find_duplicates(f, ScanOptions(similar_images=True, **o))[0].groupBy("group_id", "is_similar").agg(F.collect_list("path").alias("p")).collect()}
+    copies, near = (False, ("/e.jpg", "/f.jpg")), (True, ("/a.jpg", "/b.png", "/e.jpg", "/f.jpg"))
+    assert groups() == {copies, near}
+    assert groups(image_algorithm="dhash", similar_documents=True) == {copies, (True, ("/a.jpg", "/e.jpg", "/f.jpg")), (True, ("/n.txt", "/o.txt"))}
+
+
 def test_named_roots():
     assert parse_named_root("work-1=/a=b") == ("work-1", "/a=b")
     for bad in ("=x", "a=", "a b=x", "x"):
