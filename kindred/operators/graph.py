@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.plans.tables import materialize
+from kindred.plans.tables import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         after = materialize(_small_star(_large_star(now).distinct()).distinct(), "edges", seen[0])  # rounds keep the number of edges or lower it
+        discard(now)
         was, seen, now = seen, state(after), after
         if was == seen:
             break

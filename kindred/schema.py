@@ -34,8 +34,8 @@ MIN_GROUP_SIZE = 2
 EXIT_CODES = {"success": (0, "RD000"), "error": (1, "RD001"), "no_duplicates": (2, "RD002"), "partial": (3, "RD003"), "interrupted": (130, "RD130")}
 SESSION_VERSION = 2
 
-#: Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 400_000
+#: Counted bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
