@@ -3,12 +3,13 @@
 Lengths are small integers, so the whole packing problem is a histogram of at most ``capacity``
 counts, however many documents there are. On that histogram:
 
-1. large pieces (over a quarter of a sequence) are sorted by length and cut into groups of equal
+1. large pieces (over a third of a sequence) are sorted by length and cut into groups of equal
    cardinality; every length in a group is rounded up to the group's largest;
 2. the few-size problem is solved over configurations: column generation on its linear
    programme, with an exact knapsack for pricing, and its whole parts are used;
-3. the actual pieces of each group take the places of the rounded ones;
-4. what the rounding left over, and then all small pieces, go by best fit, longest first.
+3. the actual pieces of each group take the places of the rounded ones, in all configurations;
+4. the few large pieces of the programme's fractional parts, and then all small pieces, go by best
+   fit, longest first, into what is left of the sequences.
 
 The plan says which ranks of each length go to which sequences. Pieces look their rank up in it;
 no text or token moves between tasks.
@@ -20,6 +21,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import gapless_rank, materialize, ship
 
-CAPACITY, GROUPS, LARGE = 4096, 128, 4
-#: Tokens that a substituted configuration may leave free: plans are made for each of these.
-GAPS = (CAPACITY, 64, 16, 4, 0)
+CAPACITY, GROUPS, LARGE = 4096, 256, 3
+#: Pieces of one length that one task may rank together.
+CELL_ROWS = 1 << 16
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
 WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 250_000, 350_000, 40
 CHARS_AT_ONCE = 300_000
@@ -76,14 +78,17 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that are not known yet."""
-        plain = {w: self.PART.findall(w.lower()) for w in words if "<|" not in w and self.PLAIN.fullmatch(w)}
-        known = self.parts
-        ids = self.encode_parts([p for p in set().union(*plain.values()) if p not in known])
-        out = {w: self.encode(w).tobytes() for w in words if w not in plain}
-        for w, parts in plain.items():
-            out[w] = b"".join([ids[p] if p in ids else known[p] for p in parts])
-        if len(known) < PARTS_KEPT:
-            known.update(ids)
+        part, known, room = self.PART.findall, self.parts, PARTS_KEPT - len(self.parts)
+        plain = {w: part(w.lower()) for w in filter(self.PLAIN.fullmatch, words) if "<|" not in w}
+        ids = self.encode_parts(list(set(chain.from_iterable(plain.values())).difference(known)))
+        known.update(ids)
+        find = known.__getitem__
+        out = {w: find(parts[0]) if len(parts) == 1 else b"".join(map(find, parts)) for w, parts in plain.items()}
+        for w in words.difference(plain):
+            out[w] = self.encode(w).tobytes()
+        if room <= 0:
+            for p in ids:
+                del known[p]
         return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
@@ -126,30 +131,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def cut(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, on request, ids.
+def cut(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, row: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, on request, ids and ``row``,
+    a column of longs that tells documents of one key apart.
 
     A document's ids end with id 1, so a null or empty text is one piece of length 1. Only
-    documents over ``capacity`` are cut, into full pieces and a last shorter one."""
+    documents over ``capacity`` are cut, into full pieces and a last shorter one; texts of any
+    length are read whole. Repeated rows are documents of their own, a null key stays null, no rows
+    give no pieces, and other columns of ``df`` are not read."""
     ship(df.sparkSession)
     path = path or tokenizer_path()
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + f", `{row}` long" * bool(row) + ", ids binary" * with_ids
 
     def pieces(batches):
         enc, step = encoder(path), 4 * capacity
         for batch in batches:
-            rows = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1))):
+            rows = [[] for _ in range(5 + with_ids)]
+            for i, ids in enumerate(encoded(enc, batch.column(1))):
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    for to, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                    for to, x in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
                         to.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            n = 5 + with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows[:n], kinds)], names=list(names[:n]))
+            of = pa.array(rows[0], pa.int64())
+            cols = [batch.column(0).take(of), *[pa.array(x, t) for x, t in zip(rows[1:5], (pa.int32(), pa.int64(), pa.int32(), pa.int64()))]]
+            cols += [c.take(of) for c in batch.columns[2:]] + [pa.array(x, pa.binary()) for x in rows[5:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", *[row] * bool(row), *["ids"] * with_ids])
 
-    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(pieces, schema)
+    given = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{row}`").cast("long").alias("row")] * bool(row))
+    return given.mapInArrow(pieces, schema)
 
 
 def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
@@ -272,33 +281,31 @@ def substituted(patterns: list[tuple[int, list[int]]], runs: list[list[tuple[int
             times -= each
 
 
-def pack(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Sequences for all pieces: (times, [(length, count), ...]).
-
-    Rounding leaves gaps that small pieces may be too few to fill, so the plan is made for several
-    bounds of the gap beyond which a substituted configuration is given up and its pieces go by
-    best fit with the rest; the plan with the fewest sequences is taken."""
+def configured(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, dict[int, int]]]:
+    """The sequences that the linear grouping scheme fills with large pieces: (times, {length:
+    count}). All large pieces are in them but for the fractional parts of the programme's solution,
+    which are less than one sequence for each group."""
     large = [(n, c) for n, c in sorted(histogram.items(), reverse=True) if capacity // LARGE < n < capacity and c]
-    sizes, runs = grouped(large, groups) if large else ([], [])
-    patterns = configurations(sizes, [sum(c for _, c in r) for r in runs], capacity) if large else []
-    best: list[tuple[int, list[tuple[int, int]]]] = []
-    fewest = None
-    for gap in GAPS:
-        blocks, rest = Blocks(capacity), dict(histogram)
-        blocks.add(rest.pop(capacity, 0), [(capacity, 1)], 0)
-        for times, items in substituted(patterns, runs):
-            room = capacity - sum(n * c for n, c in items.items())
-            if room <= gap:
-                blocks.add(times, list(items.items()), room)
-                for n, c in items.items():
-                    rest[n] -= times * c
-        for length, count in sorted(rest.items(), reverse=True):
-            blocks.put(length, count)
-        found = [*blocks.full, *(b for room in blocks.rooms for b in blocks.by_room[room])]
-        used = sum(t for t, _ in found)
-        if fewest is None or used < fewest:
-            best, fewest = found, used
-    return best
+    if not large:
+        return []
+    sizes, runs = grouped(large, groups)
+    patterns = configurations(sizes, [sum(c for _, c in r) for r in runs], capacity)
+    return list(substituted(patterns, runs))
+
+
+def pack(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Sequences for all pieces: (times, [(length, count), ...]). Full pieces fill sequences of
+    their own, large ones stand where their configurations put them, and the rest goes by best fit
+    into what these leave free."""
+    blocks, rest = Blocks(capacity), dict(histogram)
+    blocks.add(rest.pop(capacity, 0), [(capacity, 1)], 0)
+    for times, items in configured(histogram, capacity, groups):
+        blocks.add(times, list(items.items()), capacity - sum(n * c for n, c in items.items()))
+        for n, c in items.items():
+            rest[n] -= times * c
+    for length, count in sorted(rest.items(), reverse=True):
+        blocks.put(length, count)
+    return [*blocks.full, *(b for room in blocks.rooms for b in blocks.by_room[room])]
 
 
 def places(blocks: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
@@ -319,7 +326,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
     """Add sequence_id and offset to pieces (length int, ...): no sequence holds over ``capacity``.
 
     Pieces of one length are interchangeable, so a hot length is ranked in cells of bounded size.
-    The plan that all tasks get has a row for each length and configuration that meet, whatever
+    The plan that all tasks get has a row for each length and kind of sequence that meet, whatever
     the number of pieces. Columns named sequence_id or offset are replaced; no rows give no rows."""
     spark = pieces.sparkSession
     ship(spark)
@@ -327,8 +334,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
     rows = materialize(pieces.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_uid")), "pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # a row for each length at most
     plan = places(pack(histogram, capacity, groups))
-    cells = 1 + sum(histogram.values()) // (1 << 16)
-    ranked = gapless_rank(rows.withColumn("_cell", F.pmod(F.xxhash64("_uid"), F.lit(cells)).cast("int")), ["length"], "_cell", [F.col("_uid")], "_rank").drop("_cell", "_uid")
+    hot = {n: -(-c // CELL_ROWS) for n, c in histogram.items() if c > CELL_ROWS}  # ``capacity`` lengths at most
+    cells = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("length")), F.lit(1)) if hot else F.lit(1)
+    ranked = gapless_rank(rows.withColumn("_cell", F.pmod(F.xxhash64("_uid"), cells).cast("int")), ["length"], "_cell", [F.col("_uid")], "_rank").drop("_cell", "_uid")
     sent = spark.sparkContext.broadcast(plan)
 
     def look_up(batches):

@@ -87,6 +87,34 @@ def test_plans_are_near_the_least():
     assert sum(t for t, _ in blocks) <= 1.02 * least + 1
 
 
+def test_large_pieces_stand_in_configurations():
+    import duckdb
+
+    enc, histogram = packing.encoder(packing.tokenizer_path()), defaultdict(int)
+    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        n = len(enc.texts([text or ""])[0]) // 4 + 1
+        histogram[4096] += n // 4096
+        histogram[n % 4096] += n % 4096 > 0
+    histogram.pop(0, None)
+    for factor in (1, 10, 1000):
+        many = {n: c * factor for n, c in histogram.items() if c}
+        large = {n: c for n, c in many.items() if 4096 // packing.LARGE < n < 4096}
+        sizes, _ = packing.grouped(sorted(large.items(), reverse=True), packing.GROUPS)
+        placed = defaultdict(int)
+        for times, items in packing.configured(many):
+            for n, c in items.items():
+                placed[n] += times * c
+        assert all(c <= large[n] for n, c in placed.items())
+        assert sum(large.values()) - sum(placed.values()) < len(sizes) * packing.LARGE
+        assert sum(t for t, _ in packing.pack(many)) <= 1.01 * -(-sum(n * c for n, c in many.items()) // 4096) + 1
+
+
+def test_hot_lengths_are_ranked_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 7)
+    rows = [(i, " ".join(["word"] * (i % 3 + 1)), "en", "a") for i in range(100)]
+    check_places(packing.place(packing.cut(documents(spark, rows)), capacity=16).collect(), 16)
+
+
 def test_knapsack_is_exact():
     rng = random.Random(4)
     for _ in range(20):
@@ -119,21 +147,23 @@ def spark_hash_int(a, b):
     return xxhash.xxh64_intdigest(struct.pack("<i", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42))
 
 
+def cell_hash(entry, cell):
+    return xxhash.xxh64_intdigest(struct.pack("<i", cell), xxhash.xxh64_intdigest(struct.pack("<i", entry), 42)) >> 24
+
+
 def brute_entries(text):
+    """For each entry the two least of all runs in its order."""
     words = [spark_hash(w) for w in (text or "").encode().split()]
-    runs = sorted(((spark_hash(*words[i : i + 3]) % 2**64) >> 25, i) for i in range(len(words)))
-    seen, least = defaultdict(int), {}
+    runs = sorted(((spark_hash(*words[i : i + 3]) % 2**64) >> 32, i) for i in range(len(words)))
+    seen, numbered = defaultdict(int), []
     for h, i in runs:
-        v = spark_hash_int(h, seen[h]) >> 25
+        numbered.append((spark_hash_int(h, seen[h]) >> 32, i))
         seen[h] += 1
-        cell = v >> 32
-        least[cell] = min(least.get(cell, (1 << 62, 0)), (v, i))
     out = []
-    for e in range(64):
-        pair = sorted((least[c] for c in (2 * e, 2 * e + 1) if c in least), key=lambda x: (x[1], x[0]))
-        if pair:
-            h = spark_hash(*[v for v, _ in pair]) % 2**64
-            out.append(e << 26 | h >> 38)
+    for e in range(64 if numbered else 0):
+        first = sorted(numbered, key=lambda x: (0 if x[0] >> 26 == e else 1 + cell_hash(e, x[0] >> 26), x))[:2]
+        h = spark_hash(*[v for v, _ in sorted(first, key=lambda x: x[1])]) % 2**64
+        out.append(e << 32 | h >> 32)
     return out
 
 
@@ -145,12 +175,12 @@ def brute_fingerprints(rows):
         third = len(text) // 3
         edited = text[: len(text) - third] + after[:third]
         own, new, nxt = map(brute_entries, (text, edited, after))
-        like = lambda a, b: 1.0 if not a and not b else (len(set(a) & set(b)) / len({x >> 26 for x in a + b})) ** 0.5
-        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:08X}" for x in own), "".join(f"{x:08X}" for x in new), pytest.approx(like(own, new)), pytest.approx(like(own, nxt))))
+        like = lambda a, b: 1.0 if not a and not b else (len(set(a) & set(b)) / 64) ** 0.5
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x % 2**32:08X}" for x in own), "".join(f"{x % 2**32:08X}" for x in new), pytest.approx(like(own, new)), pytest.approx(like(own, nxt))))
     return out
 
 
-@pytest.mark.parametrize("bucket", [4000, 7])
+@pytest.mark.parametrize("bucket", [1 << 18, 7])
 def test_fingerprints_are_what_brute_force_gives(spark, monkeypatch, bucket):
     monkeypatch.setattr(orderhash, "BUCKET_ROWS", bucket)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -177,6 +207,27 @@ def test_fingerprints_awkward_rows(spark, monkeypatch):
     assert one["near_next"] == 1.0
 
 
+def test_next_rows_of_a_key_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(orderhash, "BUCKET_ROWS", 5)
+    rows = [(None if i % 3 == 0 else 4 if i % 3 == 1 else i, f"t{i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = orderhash.with_next(df, "k", ["k", "t"], "t").collect()
+    order = lambda r: (r[0] is None, -(r[0] or 0), spark_hash(r[1].encode()), r[1])
+    want = sorted(rows, key=order)
+    assert sorted((order((r["k"], r["t"])), order((r["next_k"], r["next_t"]))) for r in got) == sorted((order(a), order(b)) for a, b in zip(want, want[1:] + want[:1]))
+
+
+@pytest.mark.parametrize("words,most", [(6, 0.6), (20, 0.75), (60, 0.8)])
+def test_order_counts_in_short_texts(spark, words, most):
+    """Halves that change places leave nearly all runs, but in another order."""
+    rows = []
+    for i in range(0, 40, 2):
+        w = [f"w{i}x{j}" for j in range(words)]
+        rows += [(i + 1, " ".join(w), "en", "a"), (i, " ".join(w[words // 2 :] + w[: words // 2]), "en", "a")]
+    near = [r["near_next"] for r in orderhash.fingerprints(documents(spark, rows)).filter("doc_id % 2 = 1").collect()]
+    assert (words == 6) == (np.mean(near) == 0) and np.mean(near) < most
+
+
 def test_moved_text_costs_likeness(spark):
     words = [f"w{i}" for i in range(900)]
     rng = random.Random(3)
