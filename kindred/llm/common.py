@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.plans.tables import materialize, shared_dir
+from kindred.plans.tables import bounded, discard, materialize, shared_dir
 
-__all__ = ["gapless_rank", "materialize", "shared_dir", "ship"]
+__all__ = ["bounded", "discard", "gapless_rank", "materialize", "shared_dir", "ship"]
 
 
 def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column], name: str) -> DataFrame:
@@ -35,17 +35,20 @@ def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column]
     return numbered.join(starts, on).withColumn(name, F.col("_start") + F.col("_rn") - 1).drop("_rn", "_start", *[f"_g_{k}" for k in keys])
 
 
-#: Rows of an Arrow batch. Texts may be long, and a worker holds a batch and what it makes of it.
-BATCH_ROWS, DEFAULT_BATCH_ROWS = 1000, 10_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch. Texts may be long, and a worker holds a batch and what it
+#: makes of it; a batch ends with the row that goes over its bytes.
+BATCH_ROWS, DEFAULT_BATCH_ROWS, BATCH_BYTES = 1000, 10_000, 16 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Let the executors import this package: send it to them, once a session. Arrow batches are
-    made smaller where the session has not chosen their size."""
+    made smaller for the rest of the session, where it has not chosen their size: plans read that
+    setting when they run, which is after an operator has returned."""
     sc = spark.sparkContext
     if int(spark.conf.get(_BATCH, str(DEFAULT_BATCH_ROWS))) == DEFAULT_BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
     if getattr(sc, "_kindred_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
