@@ -1,28 +1,34 @@
 """Order MinHash fingerprints, whose likeness follows the edit distance, in SQL functions only.
 
 A text is the sequence of its k-word runs. Equal runs are numbered by occurrence, so that counts
-matter, and every (run, occurrence) is hashed once. The hash deals it to one of 2 * ``entries``
-cells and the smallest of each cell is kept. An entry is a pair of cells: its two minimal runs,
-put in text order, are hashed together. Two texts share an entry when they share both runs and
-their order, so moving text costs likeness even where a plain MinHash would not see it.
-
-Everything happens inside a row, in sorted arrays of packed longs (39 bits of hash, 24 of
-position): occurrence numbers come from a galloping search in the sorted runs, so time is
-n log n for any text, and nothing is exploded or shuffled.
+matter, and every (run, occurrence) is hashed once. Each entry of the fingerprint has an order of
+its own on these hashes and takes the two least runs of the whole text; put in text order, they
+are hashed together. Two texts share an entry when they share both runs and their order, so
+moving text costs likeness even where a plain MinHash would not see it.
+
+The order of entry i: the hash deals a run to one of as many cells as there are entries; cell i
+comes first, the other cells follow by a hash of i and the cell, and runs of one cell by their
+own hash. The two least runs of each cell are therefore all that any entry can ask for, and every
+text of two runs or more has order in all entries, however short it is.
+
+Everything happens inside a row, in sorted arrays of packed longs (32 bits of hash, 31 of
+position, as many as an array can have): occurrence numbers come from a galloping search in the
+sorted runs, so time is n log n for any text, and nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 RUN_WORDS, ENTRIES = 3, 64
-POS_BITS = 24
+HASH_BITS, POS_BITS = 32, 31
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows between two of the ids at which the table is cut for the walk to the next document.
-BUCKET_ROWS, BUCKETS = 4000, 10_000
+#: Rows between two of the places at which the table is cut for the walk to the next document;
+#: smaller tables are cut into a few parts a core, but not below the least.
+BUCKET_ROWS, LEAST_ROWS = 1 << 18, 4000
 
 
 def _high(x: Column) -> Column:
@@ -34,16 +40,18 @@ def _pos(x: Column) -> Column:
 
 
 def _pack(h: Column, pos: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(h, 64 - 39), POS_BITS).bitwiseOR(pos)
+    return F.shiftleft(F.shiftrightunsigned(h, 64 - HASH_BITS), POS_BITS).bitwiseOR(pos)
 
 
 def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run: int = RUN_WORDS) -> DataFrame:
-    """Add ``out``: the entries of ``text`` as sorted longs, entry number above 26 bits of hash.
+    """Add ``out``: the entries of ``text`` in order, entry number above 32 bits of hash;
+    ``entries`` is a power of two.
 
-    Null and wordless texts have no entries. A text of fewer than ``run`` words has runs that its
-    end cuts short. Cells without a run leave a pair with one, or an entry out."""
-    cell_bits = (2 * entries - 1).bit_length()
-    words, runs, numbered, least = (f"_{out}_{x}" for x in ("words", "runs", "numbered", "least"))
+    Null and wordless texts have no entries. Runs that the text's end cuts short are runs too. A
+    text with a single run has it in every entry. Two runs whose 32 bits of hash agree count as
+    equal, which is one chance in four thousand millions for each pair."""
+    cell_bits = entries.bit_length() - 1
+    words, runs, numbered, least, cells = (f"_{out}_{x}" for x in ("words", "runs", "numbered", "least", "cells"))
 
     def at(name: str, i: Column) -> Column:
         return F.get(F.col(name), i)
@@ -57,77 +65,90 @@ def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run
         )
         return F.when(~same(F.lit(1)), 0).when(~same(F.lit(2)), 1).when(~same(F.lit(3)), 2).otherwise(gallop)
 
-    cell = lambda x: F.shiftright(x, POS_BITS + 39 - cell_bits)
-    entry = lambda x: F.shiftright(x, POS_BITS + 39 - cell_bits + 1)
+    cell = lambda x: F.shiftright(x, POS_BITS + HASH_BITS - cell_bits).cast("int")
+
+    def two_least(i: Column) -> Column:
+        """The places in ``least`` of the two runs that come first for entry i, as an array."""
+        rank = lambda c: F.when(c == i, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(i, c), 24) + 1)
+        by_rank = F.transform(F.col(cells), lambda c, j: F.shiftleft(rank(c), 16).bitwiseOR(j.cast("long")))
+        return F.transform(F.slice(F.sort_array(by_rank), 1, 2), lambda r: r.bitwiseAND(F.lit((1 << 16) - 1)).cast("int"))
 
-    def signature(x: Column, i: Column) -> Column:
-        mate = at(least, i + 1)
-        paired = F.coalesce(entry(mate) == entry(x), F.lit(False))
-        h = F.when(~paired, F.xxhash64(_high(x))).when(_pos(x) <= _pos(mate), F.xxhash64(_high(x), _high(mate))).otherwise(F.xxhash64(_high(mate), _high(x)))
-        second = F.coalesce(entry(at(least, i - 1)) == entry(x), F.lit(False))
-        return F.when(second, F.lit(-1).cast("long")).otherwise(F.shiftleft(entry(x), 26).bitwiseOR(F.shiftrightunsigned(h, 38)))
+    def signature(i: Column) -> Column:
+        first = F.array_position(F.col(cells), i).cast("int") - 1
+        whole = (first >= 0) & F.coalesce(at(cells, first + 1) == i, F.lit(False))
+        places = F.when(whole, F.array(first, first + 1)).otherwise(two_least(i))
+        pair = F.transform(places, lambda j: at(least, j))
+        in_order = F.array_sort(F.transform(pair, lambda x: F.struct(_pos(x).alias("p"), _high(x).alias("h"))))
+        h = F.xxhash64(F.transform(in_order, lambda x: x["h"]))
+        return F.shiftleft(i.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    most = F.lit((1 << POS_BITS) - 1)
     return (
         df.withColumn(words, F.transform(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), ""), lambda w: F.xxhash64(w)))
-        .withColumn(runs, F.sort_array(F.transform(F.col(words), lambda w, i: _pack(F.xxhash64(w, *[at(words, i + j) for j in range(1, run)]), F.least(i, most).cast("long")))))
+        .withColumn(runs, F.sort_array(F.transform(F.col(words), lambda w, i: _pack(F.xxhash64(w, *[at(words, i + j) for j in range(1, run)]), i.cast("long")))))
         .withColumn(numbered, F.sort_array(F.transform(F.col(runs), lambda x, i: _pack(F.xxhash64(_high(x), occurrence(x, i).cast("int")), _pos(x)))))
-        .withColumn(least, F.filter(F.col(numbered), lambda x, i: ~F.coalesce(cell(at(numbered, i - 1)) == cell(x), F.lit(False))))
-        .withColumn(out, F.array_remove(F.transform(F.col(least), signature), F.lit(-1).cast("long")))
-        .drop(words, runs, numbered, least)
+        .withColumn(least, F.filter(F.col(numbered), lambda x, i: ~F.coalesce(cell(at(numbered, i - 2)) == cell(x), F.lit(False))))
+        .withColumn(cells, F.transform(F.col(least), cell))
+        .withColumn(out, F.when(F.size(least) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), signature)))
+        .drop(words, runs, numbered, least, cells)
     )
 
 
 def digest(entries: Column) -> Column:
     """The fingerprint as text: eight hex digits for each entry, in order."""
-    return F.array_join(F.transform(entries, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.array_join(F.transform(entries, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the share of entries that agree among those that either text has. Both runs of an
-    entry must survive for it to agree, so the square root estimates the share of runs that do.
-    Two texts without entries are alike (1), one without and one with are not (0)."""
-    has = lambda e: F.aggregate(e, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 26).cast("int"))))
-    either = F.bit_count(has(a).bitwiseOR(has(b)))
-    return F.when(either == 0, 1.0).otherwise(F.sqrt(F.size(F.array_intersect(a, b)) / either))
+def likeness(a: Column, b: Column, entries: int = ENTRIES) -> Column:
+    """0 to 1, from the share of entries that agree. Both runs of an entry must survive for it to
+    agree, so the square root estimates the share of runs that do. Two texts without entries are
+    alike (1), one without and one with are not (0)."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.sqrt(F.size(F.array_intersect(a, b)) / F.lit(float(entries))))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: list[Column]) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
     """Add ``next_<column>`` of the next row by descending ``key`` (null last); after the last
-    comes the first. Rows with equal keys follow each other by ``tie``.
+    comes the first. Rows with equal keys follow each other by the hash of ``tie``, then by
+    ``tie``, so a key that many rows share is cut like any other; only rows that repeat in both
+    stay together.
 
-    The table is cut at ids that occur in it, found as approximate quantiles. A row at a cut is
-    dealt to both sides, so each side sees its last row's follower, and no window spans the table."""
+    The table is cut at rows of its own, one for each bucket that a range partitioning of the keys
+    alone makes, so buckets follow the number of rows. A row at a cut is dealt to the bucket before
+    it too, so each side sees its last row's follower, and no window spans the table."""
     low = -(1 << 63)
-    k = F.coalesce(F.col(key).cast("long"), F.lit(low))
-    total, top = df.agg(F.count(F.lit(1)), F.max(k)).first()
-    n = min(total // BUCKET_ROWS, BUCKETS)
-    near = df.agg(F.percentile_approx(k, [i / (n + 1) for i in range(1, n + 1)], 10 * (n + 1))).first()[0] if n else []
-    cuts = sorted({r[0] for r in df.select(k.alias("k")).filter(F.col("k").isin(near)).distinct().collect()} | {top}) if near else [top if top is not None else low]
-    held = F.lit(cuts).cast("array<bigint>")
+    k = F.bitwise_not(F.coalesce(F.col(key).cast("long"), F.lit(low)))  # ascending where the key descends
+    place = F.struct(k.alias("k"), F.col(key).isNull().cast("int").alias("z"), F.xxhash64(tie).alias("h"))
+    keys = df.select(place.alias("_o"))
+    total = keys.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = max(1, total // BUCKET_ROWS, min(total // LEAST_ROWS, 4 * cores))
+    found = keys.repartitionByRange(buckets, "_o").groupBy(F.spark_partition_id()).agg(F.min("_o").alias("o")).collect()  # a row for each bucket
+    cuts = sorted({tuple(r["o"]) for r in found}) or [(0, 0, 0)]
+    # Read from a constant text, the cuts are one literal of the plan however many they are.
+    held = F.from_json(F.lit(json.dumps([{"k": a, "z": z, "h": h} for a, z, h in cuts])), "array<struct<k:bigint,z:int,h:bigint>>")
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
-    below = F.aggregate(steps, F.lit(0), lambda c, s: F.when(F.coalesce(F.get(held, c + s - 1) < F.col("_k"), F.lit(False)), c + s).otherwise(c))
-    last = len(cuts) - 1
+    upto = F.aggregate(steps, F.lit(0), lambda c, s: F.when(F.coalesce(F.get(held, c + s - 1) <= F.col("_o"), F.lit(False)), c + s).otherwise(c))
     b = F.col("_b")
     own = F.struct(b.alias("b"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.when(b == last, 0).otherwise(b + 1).alias("b"), F.when(b == last, 2).otherwise(1).alias("ghost"))
+    before = F.struct(F.when(b == 0, len(cuts) - 1).otherwise(b - 1).alias("b"), F.lit(1).alias("ghost"))
     dealt = (
-        df.withColumn("_k", k).withColumn("_b", below)
-        .withColumn("_to", F.explode(F.when(F.col("_k") == F.get(held, b), F.array(own, ghost)).otherwise(F.array(own))))
+        df.withColumn("_o", place).withColumn("_b", upto - 1)
+        .withColumn("_to", F.explode(F.when(F.col("_o") == F.get(held, b), F.array(own, before)).otherwise(F.array(own))))
         .withColumn("_b", F.col("_to.b")).withColumn("_ghost", F.col("_to.ghost")).drop("_to")
     )
-    w = Window.partitionBy("_b").orderBy((F.col("_ghost") == 2).asc(), F.col("_k").desc(), F.col(key).isNull().asc(), *tie)
+    w = Window.partitionBy("_b").orderBy("_ghost", "_o", tie)
     for c in columns:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.filter(F.col("_ghost") == 0).drop("_k", "_b", "_ghost")
+    return dealt.filter(F.col("_ghost") == 0).drop("_o", "_b", "_ghost")
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of
     every row: its text (null: empty), and the text whose last third gives way to the start of the
-    next row's by descending key. Other columns of the input are left out."""
+    next row's by descending key. Other columns of the input are left out. Rows with one key follow
+    each other by a hash of their texts; a table of one row is followed by itself; repeated rows
+    are rows of their own; texts of any length are read whole; an empty table stays empty."""
     rows = df.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    rows = with_next(rows.transform(with_entries, "_text", "_own"), "_id", ["_text", "_own"], [F.xxhash64("_text"), F.col("_text")])
+    rows = with_next(rows.transform(with_entries, "_text", "_own"), "_id", ["_text", "_own"], "_text")
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("_text").substr(F.lit(1), n - third), F.col("next__text").substr(F.lit(1), third))
