@@ -7,13 +7,16 @@ agree in a band are candidates (at a similarity of 0.8 all but 3 in a million pa
 2. In each band's bucket, pairs are compared 32 MinHash values at a time. With a uniform prior the
    matches so far give the posterior probability that the similarity reaches the threshold; a pair
    below ``TOLERANCE`` is dropped. What survives is emitted as a spanning forest, never as pairs.
+   A bucket of more than a block is first compared inside its blocks, which are others in every
+   band. Only pairs that this has not yet brought together are compared between blocks: of a large
+   group of near copies none are left, so its rows move once a band and not once a block.
 3. The forests' components hold every surviving pair. In each component the texts' run sets are
    intersected exactly, which gives every class its links, and again a forest of them.
 4. Components of the exact links are the groups of near copies.
 
-Buckets and components of any size are dealt out in blocks: a task sees two blocks at most and
-compares all pairs between them, so the pairs of a hot group spread over the cluster and none is
-lost. Rows that leave a task grow with the rows it read, not with their pairs.
+Buckets and components of any size are dealt out in blocks, of texts and of bytes: a task sees two
+blocks at most and compares all pairs between them, so the pairs of a hot group spread over the
+cluster and none is lost. Rows that leave a task grow with the rows it read, not with their pairs.
 """
 
 from __future__ import annotations
@@ -24,21 +27,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize, ship
+from kindred.llm.common import bounded, discard, materialize, ship
 from kindred.operators.graph import components, least_labels
 
 RUN_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS, TOLERANCE = 32, 5, 1e-6
 STEP = 32
-#: Members of a bucket, and texts of a component, that one block holds.
-BUCKET_BLOCK, TEXT_BLOCK = 2048, 768
+#: Members of a bucket, and texts and their bytes of a component, that one block holds.
+BUCKET_BLOCK, TEXT_BLOCK, TEXT_BYTES = 2048, 768, 16 << 20
 #: Pairs compared at a time, and distinct runs at a time.
 PAIRS, COLUMNS = 1 << 17, 4096
-#: Rows up to which a side is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 400_000
 
 _odd = np.random.default_rng(20_240).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
 _A, _B = (_odd[0] | 1)[:, None], _odd[1][:, None]
@@ -89,8 +90,9 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, most: in
     return tuple(next(m for m in range(n + 1) if tail(m, n) >= tolerance) for n in range(step, most + 1, step))
 
 
-def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, threshold: float) -> np.ndarray:
-    """Indices of the pairs that pruning leaves, of those that first agree in ``band``."""
+def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, once: np.ndarray, threshold: float) -> np.ndarray:
+    """Indices of the pairs that pruning leaves; where ``once``, of those that first agree in
+    ``band``."""
     left, matches = np.arange(len(a)), np.zeros(len(a), int)
     for k, need in enumerate(least_matches(threshold, TOLERANCE)):
         cols = slice(k * STEP, (k + 1) * STEP)
@@ -98,7 +100,7 @@ def survivors(sig: np.ndarray, a: np.ndarray, b: np.ndarray, band: np.ndarray, t
         on = matches >= need
         left, matches = left[on], matches[on]
     agree = (sig[a[left]] == sig[b[left]]).reshape(-1, BANDS, BAND_ROWS).all(axis=2)
-    return left[agree.argmax(axis=1) == band[left]]
+    return left[(agree.argmax(axis=1) == band[left]) | ~once[left]]
 
 
 def cell_runs(batches, cell: list[str]):
@@ -121,13 +123,13 @@ def cell_runs(batches, cell: list[str]):
         yield held
 
 
-def pairs_of(cell: np.ndarray, side: np.ndarray):
-    """(a, b) index arrays of all pairs in each run of equal ``cell``; where a run has two sides,
-    of the pairs between them. At most about ``PAIRS`` at a time."""
+def pairs_of(cell: np.ndarray, side: np.ndarray, across: np.ndarray):
+    """(a, b) index arrays of all pairs in each run of equal ``cell``; where it is ``across``, of
+    the pairs between its two sides. At most about ``PAIRS`` at a time."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     small = sizes <= 64
-    two = np.maximum.reduceat(side, starts) != np.minimum.reduceat(side, starts)
+    two = across[starts]
     for size in np.unique(sizes[small & ~two]):
         i, j = np.triu_indices(size, 1)
         at = starts[(sizes == size) & ~two]
@@ -135,8 +137,8 @@ def pairs_of(cell: np.ndarray, side: np.ndarray):
             yield (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
     for start, size in zip(starts[~small | two], sizes[~small | two]):
         rows = np.arange(start, start + size)
-        left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if side[rows].any() and not side[rows].all() else (rows, rows)
-        for k in range(0, len(left), step := max(1, PAIRS // len(right))):
+        left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if across[start] else (rows, rows)
+        for k in range(0, len(left), step := max(1, PAIRS // max(1, len(right)))):
             a, b = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
             yield (a, b) if left is not right else (a[a < b], b[a < b])
 
@@ -144,14 +146,14 @@ def pairs_of(cell: np.ndarray, side: np.ndarray):
 def linked_in(batches, threshold: float):
     """Spanning forests (a, b) of the surviving pairs of each bucket or pair of its blocks."""
     for t in cell_runs(batches, ["bucket", "low", "high"]):
-        uid, low, high, block, band = (t[c].to_numpy() for c in ("uid", "low", "high", "block", "band"))
+        uid, low, high, block, band, once = (t[c].to_numpy() for c in ("uid", "low", "high", "block", "band", "once"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(t), -1)
         cell = np.cumsum(np.r_[0, (t["bucket"].to_numpy()[1:] != t["bucket"].to_numpy()[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
         nodes, node = np.unique(uid, return_inverse=True)
         a, b = [], []
-        for x, y in pairs_of(cell, ((block != low) & (low != high)).astype(int)):
+        for x, y in pairs_of(cell, (block != low).astype(int), low != high):
             if len(x):
-                on = survivors(sig, x, y, band[x], threshold)
+                on = survivors(sig, x, y, band[x], once[x], threshold)
                 a.append(node[x[on]])
                 b.append(node[y[on]])
         label = least_labels(len(nodes), np.concatenate([*a, np.array([], int)]), np.concatenate([*b, np.array([], int)]))
@@ -187,14 +189,8 @@ def verified(batches, threshold: float, run: int):
         out = [[], [], [], []]
         for s, e in zip(starts, starts[1:]):
             part = t.slice(s, e - s)
-            seen, sets, rows = set(), [], []
-            for i, (uid, key, text) in enumerate(zip(part["uid"].to_pylist(), part["key"].to_pylist(), part["text"])):
-                words = text.as_py().encode().split()
-                if uid not in seen and xxhash.xxh3_128_digest(b" ".join(words)) == key:
-                    seen.add(uid)
-                    sets.append(np.unique(runs(words, run)))
-                    rows.append(i)
-            uid, mult, block, low, high = (part[c].to_numpy()[rows] for c in ("uid", "mult", "block", "low", "high"))
+            sets = [np.unique(runs(text.as_py().encode().split(), run)) for text in part["text"]]
+            uid, mult, block, low, high = (part[c].to_numpy() for c in ("uid", "mult", "block", "low", "high"))
             own = len(uid) and low[0] == high[0]
             left = np.arange(len(uid)) if own else np.flatnonzero(block == low)
             right = left if own else np.flatnonzero(block != low)
@@ -222,16 +218,58 @@ def verified(batches, threshold: float, run: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=list(names))
 
 
-def _cells(df: DataFrame, size: str, block: int, node: str) -> DataFrame:
-    """Deal the rows of each group of ``size`` rows to the pairs (low, high) of its blocks."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    own = F.pmod(F.xxhash64(node), n).cast("int")
-    df = df.withColumn("_n", n).withColumn("block", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return df.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_n", "_other", size)
+def _dealt(df: DataFrame, block: Column, others: Column, cell: list[str]) -> DataFrame:
+    """Rows of a group dealt to the pairs (low, high) of their own block and each of ``others``,
+    and sorted by cell."""
+    df = df.withColumn("block", block).withColumn("_other", F.explode(others))
+    df = df.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_other")
+    return df.repartition(*cell).sortWithinPartitions(*cell)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _spread(blocks: Column, node: str) -> tuple[Column, Column]:
+    """A block of each row among ``blocks`` of them, and all blocks."""
+    return F.pmod(F.xxhash64(node), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+
+
+def candidates(classes: DataFrame, threshold: float) -> DataFrame:
+    """From (uid, sig) the component (node, label) of every node that has a surviving pair."""
+    def banded(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, -1)
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band), pa.array(band_keys(sig).ravel())], names=["uid", "band", "bucket"])
+
+    def members(of: DataFrame) -> DataFrame:
+        return bands.join(of, bands["bucket"] == of["_bucket"]).drop("_bucket").join(classes.select("uid", "sig"), "uid")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(lambda b: linked_in(b, threshold), "a long, b long")
+
+    bands = classes.select("uid", "sig").mapInArrow(banded, "uid long, band int, bucket long")
+    shared = materialize(bands.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    cell = ["bucket", "low", "high"]
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("uid", "band"), blocks).cast("int")
+    rows = members(shared).withColumn("once", F.col("size") <= BUCKET_BLOCK)  # in a block of a hot bucket every band's pairs help to join the blocks
+    inside = materialize(linked(_dealt(rows, own, F.array("block"), cell).drop("size")), "candidates")
+    groups = components(inside)
+    hot = shared.filter(F.col("size") > BUCKET_BLOCK)
+    if hot.isEmpty():
+        return groups
+    # In each hot bucket the members of the commonest component need no more comparisons among each
+    # other; the others are compared with them and with each other.
+    groups = materialize(groups, "groups")
+    marked = members(hot).drop("size").join(groups, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).drop("node")
+    counts = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(F.col("bucket").alias("_bucket")).agg(F.max_by("label", F.struct("n", "label")).alias("_main"), F.max("n").alias("_most"), F.sum("n").alias("_all")).filter("_all > _most")
+    rows = marked.join(totals, marked["bucket"] == totals["_bucket"]).withColumn("_is_main", F.col("label") == F.col("_main"))
+    main, rest = (F.ceil(n / BUCKET_BLOCK).cast("int") for n in (F.col("_most"), F.col("_all") - F.col("_most")))
+    of_main, of_rest = (F.sequence(F.lit(0), n - 1) for n in (main, rest))
+    block = F.when(F.col("_is_main"), rest + F.pmod(F.xxhash64("uid"), main)).otherwise(F.pmod(F.xxhash64("uid"), rest)).cast("int")
+    others = F.when(F.col("_is_main"), of_rest).otherwise(F.concat(of_rest, F.transform(of_main, lambda i: i + rest)))
+    dealt = _dealt(rows.withColumn("once", F.lit(False)).drop("label", "_bucket"), block, others, cell)
+    across = linked(dealt.drop("_main", "_most", "_all", "_is_main"))
+    return components(materialize(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(across), "candidates"))
 
 
 def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str | None = None, threshold: float = THRESHOLD, run: int = RUN_WORDS) -> DataFrame:
@@ -243,48 +281,38 @@ def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str
     by links, its own where there are none; ``stays`` marks one row of each such group. A null or
     wordless text has no runs: it links to nothing and stays. Rows repeated whole are copies of
     each other. Columns of ``df`` other than the named ones are not read. ``uid`` names a column
-    of distinct longs; without one the rows are numbered here.
+    of distinct longs, the same whenever ``df`` is read again; without one the rows are numbered
+    here, in a copy of key and text. Texts of any length are read whole; no rows give no rows.
     """
     spark = df.sparkSession
     ship(spark)
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{uid}`").alias("uid")] if uid else []))
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (F.col(f"`{uid}`") if uid else F.monotonically_increasing_id()).alias("uid"))
+    if not uid:
+        docs = materialize(docs, "numbered")  # texts are found again by these numbers
 
     def sketch(batches):
         for batch in batches:
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for x in batch.column(1):
-                words = (x.as_py() or "").encode().split()
+                raw = (x.as_py() or "").encode()
+                words = raw.split()
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sigs.append(signature(runs(words, run)).tobytes() if words else None)
-            cols = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), *([batch.column(2)] if uid else [])]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "sig", "uid"][: len(cols)])
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "uid", "key", "sig", "bytes"])
 
-    sketched = docs.mapInArrow(sketch, "doc_id long, key binary, sig binary" + ", uid long" * bool(uid))
-    rows = materialize(sketched if uid else sketched.withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    rows = materialize(docs.mapInArrow(sketch, "doc_id long, uid long, key binary, sig binary, bytes long"), "sketches")
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("mult"))
-    classes = materialize(classes.join(rows.select("uid", "sig"), "uid"), "classes")
-
-    def banded(batches):
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, -1)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band), pa.array(band_keys(sig).ravel())], names=["uid", "band", "bucket"])
-
-    bands = classes.select("uid", "sig").mapInArrow(banded, "uid long, band int, bucket long")
-    shared = bands.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = bands.join(shared, bands["bucket"] == shared["_bucket"]).drop("_bucket").join(classes.select("uid", "sig"), "uid")
-    cell = ["bucket", "low", "high"]
-    dealt = _cells(members, "size", BUCKET_BLOCK, "uid").repartition(*cell).sortWithinPartitions(*cell)
-    forest = materialize(dealt.mapInArrow(lambda b: linked_in(b, threshold), "a long, b long"), "candidates")
-
-    groups = materialize(components(forest), "candidate_groups")
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    wanted = groups.join(sizes, "label").join(classes.select(F.col("uid").alias("node"), "key", F.col("doc_id").alias("rep"), "mult"), "node").withColumnRenamed("node", "uid")
-    wanted = materialize(wanted, "wanted")
-    found = docs.select("doc_id", "text").filter("text IS NOT NULL").join(_bounded(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
-    cell = ["label", "low", "high"]
-    dealt = _cells(found, "size", TEXT_BLOCK, "uid").repartition(*cell).sortWithinPartitions(*cell)
+    classes = materialize(classes.join(rows.select("uid", "sig", "bytes"), "uid"), "classes")
+
+    groups = materialize(candidates(classes, threshold), "candidate_groups")
+    wanted = groups.join(classes.select(F.col("uid").alias("node"), "mult", "bytes"), "node").withColumnRenamed("node", "uid")
+    sizes = wanted.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_BLOCK), F.ceil(F.sum("bytes") / TEXT_BYTES)).cast("int").alias("_n"))
+    wanted = materialize(wanted.join(sizes, "label").drop("bytes"), "wanted")
+    found = docs.select("uid", "text").join(bounded(wanted), "uid")
+    dealt = _dealt(found, *_spread(F.col("_n"), "uid"), ["label", "low", "high"]).drop("_n")
     exact = materialize(dealt.mapInArrow(lambda b: verified(b, threshold, run), "uid long, texts long, docs long, to long"), "links")
+    discard(groups, wanted)
 
     group = components(exact.filter("uid <> to").select(F.col("uid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "uid")
     counts = exact.groupBy("uid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
@@ -297,7 +325,7 @@ def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str
         F.col("key").alias("_key"), F.col("uid").alias("_head"), "label", F.coalesce("class_id", "_rep").alias("_class"),
         (F.col("mult") - 1 + F.coalesce("docs", F.lit(0))).alias("_links"), F.coalesce("texts", F.lit(0)).alias("_texts"),
     )
-    out = rows.drop("sig").join(info, F.col("key") == F.col("_key"), "left")
+    out = rows.drop("sig", "bytes").join(info, F.col("key") == F.col("_key"), "left")
     return out.select(
         "doc_id", F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"),
         F.coalesce("_links", F.lit(0)).alias("links"), F.coalesce("_texts", F.lit(0)).alias("text_links"),
@@ -306,11 +334,13 @@ def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str
 
 
 def distinct_documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` without all but one of each group of near copies; columns unchanged."""
+    """The rows of ``df`` without all but one of each group of near copies; columns unchanged,
+    whatever their names. Rows as in ``near_links``: null and wordless texts stay, of repeated rows
+    one does; an empty table stays empty."""
     names = {c: f"c{i}" for i, c in enumerate(df.columns)}
     held = materialize(df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("_uid")), "documents")
     gone = materialize(near_links(held, names[text], names[key], "_uid").filter("NOT stays").select("uid"), "copies")
-    left = held.join(_bounded(gone, gone.count()), held["_uid"] == gone["uid"], "left_anti")
+    left = held.join(bounded(gone), held["_uid"] == gone["uid"], "left_anti")
     return left.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
