@@ -178,13 +178,16 @@ class _Digest:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row per conversation, from its segments in the order of turn, then role, then text.
+    """One row per conversation, from its segments in the order of turn, then role, then text as
+    it was before escaping; no role and an empty one are equal.
 
     Conversations are sorted through, not gathered: a task keeps one running digest, so a
     conversation of any length takes bounded memory."""
     ship(formatted.sparkSession)
-    keys = ["conv_id", "turn", "role", "segment"]
-    rows = formatted.select(*keys, "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions(*keys)
+    content = F.regexp_replace(F.regexp_replace("segment", r"^[^\n]*\n", ""), r"<\|im_end\|>\n", "")  # an escaped text has no such end
+    said = F.regexp_replace(content, r"<\\(\\*)\|", r"<$1|")
+    keys = [F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")), said]
+    rows = formatted.select("conv_id", "turn", "role", "segment", "loss_start", "loss_length").repartition("conv_id").sortWithinPartitions(*keys)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
