@@ -2,8 +2,9 @@
 
 A text is a vector of hashed byte three-grams. Linear support vector machines first tell the
 language's family from the others; within the family, one machine for each pair of languages
-votes. Machines are trained on the driver from at most ``SAMPLE`` texts of each language; every
-text is predicted from all of its bytes.
+votes. Machines are trained on the driver from at most ``SAMPLE`` texts of each language and
+``SAMPLE_ALL`` in all, so its memory is bounded however many languages there are; every text is
+predicted from all of its bytes.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import ship
 from kindred.llm.linear import linear_svms, platt, sigmoid
 
-BITS, SAMPLE, UNKNOWN = 12, 500, "und"
+BITS, SAMPLE, SAMPLE_ALL, UNKNOWN = 12, 500, 12_000, "und"
 
 # Families by language code.
 FAMILIES = {
@@ -118,15 +119,20 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Learn from rows with a language and a letter, at most ``sample`` of each language, taken by
-    a hash of key and text. Every language that has such a row is learned."""
+    """Learn from rows with a language and a letter, at most ``sample`` of each language, and fewer
+    where there are so many languages that all would be over ``SAMPLE_ALL``. The rows of the least
+    hashes of key and text are taken, so every run learns from the same; every language that has
+    such a row is learned."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").alias("key")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return Model()
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.25 * sample / r["count"] + 0.01 * (r["count"] < 10 * sample))])
-    some = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).limit(2 * sample * len(counts))
+    sample = max(1, min(sample, SAMPLE_ALL // len(counts)))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], (1.25 * sample + 40) / r["count"])])
+    some = rows.withColumn("h", F.xxhash64("key", "text")).filter(F.pmod("h", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))  # about 1.25 * sample + 40 rows of a language
+    some = some.withColumn("n", place).filter(F.col("n") <= 2 * sample + 80).drop("n")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -134,7 +140,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
     taken: dict[str, int] = {}
     picked, langs = [], []
-    for r in some.select("lang", packed("text").alias("x"), F.xxhash64("key", "text").alias("h")).orderBy("h").toLocalIterator():
+    for r in some.select("lang", packed("text").alias("x"), "h").orderBy("h", "lang").toLocalIterator():
         if r["x"] is not None and taken.get(r["lang"], 0) < sample:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             picked.append(np.frombuffer(bytes(r["x"]), np.float16))
@@ -169,7 +175,8 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "
     """Add held_out, lang_pred and score to every row; input columns of these names are replaced.
 
     Learns from the rows that are not held out. A null text or one without letters is ``und`` with
-    score 0, and so is every text if no row has a language. Equal texts get equal predictions."""
+    score 0, and so is every text if no row has a language. Equal texts, and so repeated rows, get
+    equal predictions; texts of any length are read whole; an empty table stays empty."""
     spark = df.sparkSession
     out = held_out(F.col(f"`{key}`"), 3, 1)
     model = fit(df.filter(~out & F.col(f"`{key}`").isNotNull()), text, lang, key)
