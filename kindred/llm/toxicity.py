@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ SAMPLE = 3000
 DENSE = 64
 #: Distinct words whose terms a model keeps at hand.
 WORDS_KEPT = 200_000
+#: Texts that are scored together.
+TEXTS = 64
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -59,21 +62,27 @@ class Machine:
             self.known[word] = out
         return out
 
-    def score(self, text: str | None) -> float:
-        words, known = words_of(text), self.known
-        on: set[int] = set()
-        for w in words:
-            places = known.get(w)
-            if places is None:
-                places = self.places(w)
-            if places:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The texts' sparse rows, end to end, times weights and vectors at once. A text without a
+        known term has the bias alone."""
+        known, rows = self.known, []
+        for text in texts:
+            on: set[int] = set()
+            for w in words_of(text):
+                places = known.get(w)
+                if places is None:
+                    places = self.places(w)
                 on.update(places)
-        if not on:
-            return float(sigmoid(np.float64(self.bias)))
-        at = np.sort(np.fromiter(on, np.intp, len(on)))
-        v = self.vectors[at]
-        pairs = 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return float(sigmoid(np.float64(self.bias + self.weights[at].sum() + pairs)))
+            rows.append(sorted(on))
+        sizes = np.array([len(r) for r in rows], int)
+        at, some = np.fromiter(chain.from_iterable(rows), np.intp, sizes.sum()), np.flatnonzero(sizes)
+        out = np.full(len(rows), float(self.bias))
+        if len(some):
+            starts = np.cumsum(sizes)[some] - sizes[some]
+            v = self.vectors[at]
+            sums, squares = (np.add.reduceat(x, starts, axis=0) for x in (v, v**2))
+            out[some] += np.add.reduceat(self.weights[at], starts) + 0.5 * (sums**2 - squares).sum(axis=1)
+        return sigmoid(out)
 
 
 def chosen(sets: list[np.ndarray], y: np.ndarray, most: int = FIRST) -> np.ndarray:
@@ -168,21 +177,23 @@ def learn(sets: list[np.ndarray], y: np.ndarray, rate: float, rounds: int = 200,
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Machine:
     """Learn from rows of ``labels`` with a label of 0 or 1, joined to their texts by key: at most
-    ``sample`` of either, by a hash of the key. Without labels of both kinds every score is 0."""
+    ``sample`` of either, those of the least hashes of key and text, so every run learns from the
+    same rows. Without labels of both kinds every score is 0."""
     ship(docs.sparkSession)
     marked = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)")
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Machine(-50.0, {}, np.zeros(0), np.zeros((0, RANK)))
     share = F.when(F.col("y") == 1, min(1.0, 1.1 * sample / counts[1])).otherwise(min(1.0, 1.1 * sample / counts[0]))
-    some = marked.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).limit(3 * sample)
+    some = marked.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("key"), "key", "y").limit(3 * sample)
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(sorted({t for w in words_of(x) for t in terms_of(w)}), np.int32).tobytes() for x in texts])
 
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), F.col("_key") == F.col("key"))  # at most 3 * sample rows
-    found = rows.select("y", packed("text").alias("x"), F.xxhash64("key").alias("h")).limit(4 * sample).orderBy("h").collect()
+    packs = rows.select("y", packed("text").alias("x"), F.xxhash64("key").alias("h"), F.xxhash64("text").alias("t"))
+    found = packs.orderBy("h", "t", "y").limit(4 * sample).collect()
     picked = [r for label in (0, 1) for r in [r for r in found if r["y"] == label][:sample]]
     y = np.array([r["y"] for r in picked], float)
     if not len(y) or y.min() == y.max():
@@ -197,7 +208,8 @@ def scored(model: Machine, spark, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in texts], dtype=float)
+        parts = [sent.value.scores(list(texts[i : i + TEXTS])) for i in range(0, len(texts), TEXTS)]
+        return pd.Series(np.concatenate([*parts, np.zeros(0)]))
 
     return of(text)
 
@@ -206,7 +218,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """Add held_out, score and predicted to every row; input columns of these names are replaced.
 
     Rows that are held out are not learned from. Null, empty and unknown texts have no terms and
-    get the bias alone, which is below one half. Equal texts get equal scores."""
+    get the bias alone. Equal texts, and so repeated rows, get equal scores; texts of any length
+    are read whole; an empty table stays empty; without labels of both kinds every score is 0."""
     out = held_out(F.col(f"`{key}`"), 5, 0)
     model = fit(docs, labels.filter(~held_out(F.col(f"`{key}`"), 5, 0)), text, key)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
