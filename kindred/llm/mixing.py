@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.common import gapless_rank, materialize
+from kindred.llm.common import discard, gapless_rank, materialize
 
 DIGIT_BITS, DIGITS = 15, 4
+#: Of a digit, the bits of a run of buckets that is summed in one task.
+RUN_BITS = 8
 #: A word, for counting.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +51,18 @@ def targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataF
     )
 
 
+def running(hist: DataFrame) -> DataFrame:
+    """Add upto, the sum of s up to each prefix of its source. A source's buckets are summed in
+    runs of a few hundred, and the runs' sums are run up apart, so no task holds a whole source."""
+    hist = hist.withColumn("_run", F.shiftright("prefix", RUN_BITS))
+    inside = F.sum("s").over(Window.partitionBy("source", "_run").orderBy("prefix"))
+    runs = hist.groupBy(F.col("source").alias("_s"), F.col("_run").alias("_r")).agg(F.sum("s").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumn("_before", before).drop("_sum")
+    found = hist.withColumn("_inside", inside).join(runs, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_run") == F.col("_r")))
+    return found.withColumn("upto", F.col("_before") + F.col("_inside")).drop("_run", "_inside", "_s", "_r", "_before")
+
+
 def thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
     """From rows (source, size, h): for each source its target, whole copies, the hash below which
     a row counts once more, and how many of the rows at that hash do."""
@@ -58,6 +72,7 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> Data
         "mix_goal",
     )
     state = goal.select("source", "rest", F.lit(0).cast("long").alias("prefix"))
+    hists = []
     for level in range(DIGITS):
         shift = DIGIT_BITS * (DIGITS - 1 - level)
         at = state.select(F.col("source").alias("_s"), "rest", "prefix")
@@ -66,12 +81,15 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], most: float) -> Data
             .groupBy("source", "rest", F.shiftright("h", shift).alias("prefix"))
             .agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
         )
-        upto = F.sum("s").over(Window.partitionBy("source").orderBy("prefix"))
-        state = hist.withColumn("upto", upto).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest"))).select("source", (F.col("rest") - (F.col("upto") - F.col("s"))).alias("rest"), "prefix", "s", "n")
+        hists.append(materialize(hist, "mix_histogram"))  # summed up twice below, in each further round
+        hist = hists[-1]
+        state = running(hist).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest"))).select("source", (F.col("rest") - (F.col("upto") - F.col("s"))).alias("rest"), "prefix", "s", "n")
     end = state.select(F.col("source").alias("_s"), F.col("prefix").alias("bound"), F.least("n", F.floor(F.col("rest") / (F.col("s") / F.col("n")) + 0.5)).alias("ties"), F.col("n").alias("tied"))
     out = goal.join(end, goal["source"].eqNullSafe(end["_s"]), "left")
     ends = F.when(out["rest"] > 0, F.col("bound"))  # else whole copies are all, even for rows without words
-    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce(ends, F.lit(0)).alias("bound"), F.coalesce("ties", F.lit(0)).cast("long").alias("ties"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied")), "mix_plan")
+    plan = materialize(out.select("source", "source_size", "target", "whole", F.coalesce(ends, F.lit(0)).alias("bound"), F.coalesce("ties", F.lit(0)).cast("long").alias("ties"), F.coalesce("tied", F.lit(0)).cast("long").alias("tied")), "mix_plan")
+    discard(goal, *hists)
+    return plan
 
 
 def apply_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:

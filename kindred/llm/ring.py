@@ -28,8 +28,8 @@ CELL_ROWS = 1 << 16
 
 
 def ring_points(shards: int, vnodes: int) -> int:
-    """Points on the ring: a power of two, at least 16 for each virtual node."""
-    return 1 << max(10, (16 * shards * vnodes - 1).bit_length())
+    """Points on the ring: a power of two, at least 4 for each virtual node."""
+    return 1 << max(10, (4 * shards * vnodes - 1).bit_length())
 
 
 def ring_nodes(shards: int, vnodes: int, points: int) -> list[tuple[int, int]]:
@@ -82,7 +82,8 @@ def shard(df: DataFrame, key: str, shards: int = 8, vnodes: int = 128, epsilon:
     Null keys hash like any other value. Repeated rows and hot keys are rows like all others: the
     bound is on rows, so a hot key overflows into further shards. An empty table stays empty.
     Columns of the input named ``shard`` or ``slot`` are replaced; all others are kept. Rows of a
-    point are ranked by a hash of the whole row, so that a changed bound moves the last few only.
+    point are ranked by a hash of the whole row, whatever partitions they come in, so that reruns
+    agree and a changed bound moves the last few only; texts of any length count as one row.
     """
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     points = ring_points(shards, vnodes)
@@ -100,8 +101,14 @@ def shard(df: DataFrame, key: str, shards: int = 8, vnodes: int = 128, epsilon:
     plan = walk(counts, ring_nodes(shards, vnodes, points), bounds(total, shards, epsilon))
     spark = df.sparkSession
     most = max(CELL_ROWS, 4 * total // points)
-    hot = spark.createDataFrame([(p, -(-n // most)) for p, n in counts.items() if n > most], "_hot int, _cells int")
-    cells = rows.join(F.broadcast(hot), rows["_point"] == hot["_hot"], "left").withColumn("_cell", F.coalesce(F.pmod(F.xxhash64("_uid"), F.col("_cells")).cast("int"), F.lit(0))).drop("_hot", "_cells")
+    hot = spark.createDataFrame([(p, (-(-n // most) - 1).bit_length()) for p, n in counts.items() if n > most], "_hot int, _bits int")  # a row for each ring point at most
+    # The cells of a hot point are ranges of the row hash, so a row's rank does not depend on how rows are dealt.
+    part = F.expr("shiftrightunsigned(shiftrightunsigned(_h, 1), 63 - _bits)").cast("int")
+    cells = rows.join(F.broadcast(hot), rows["_point"] == hot["_hot"], "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_hot", "_bits")
+    # A range that stays large holds equal rows, any of which may stand for the others.
+    again = cells.groupBy("_point", "_part").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * most).select(F.col("_point").alias("_p"), F.col("_part").alias("_q"), F.ceil(F.col("_n") / most).cast("int").alias("_subs"))
+    cells = cells.join(F.broadcast(again), (F.col("_point") == F.col("_p")) & (F.col("_part") == F.col("_q")), "left")  # fewer than total / most rows
+    cells = cells.withColumn("_cell", F.struct("_part", F.coalesce(F.pmod(F.xxhash64("_uid"), F.col("_subs")), F.lit(0)).alias("sub"))).drop("_p", "_q", "_subs", "_part")
     ranked = gapless_rank(cells, ["_point"], "_cell", [F.col("_h"), F.col("_uid")], "_rank")
     ranges = spark.createDataFrame(plan, "_p int, _from long, _to long, shard int, _slot long")  # bounded by the ring, not by the rows
     placed = ranked.join(F.broadcast(ranges), (F.col("_point") == F.col("_p")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))

@@ -43,6 +43,53 @@ def test_a_hot_key_is_split_into_cells(spark, monkeypatch):
     check_shards(ring.shard(df, "k", shards=4).collect(), 4)
 
 
+def test_shards_by_brute_force(spark):
+    """Row by row: hash, point, first node with room, in rounds; slots in the order of arrival."""
+    from tests.llm.test_packing_fingerprints import spark_hash
+
+    rows = [(i % 90 if i % 4 else 7, f"v{i}") for i in range(600)]
+    points = ring.ring_points(5, 16)
+    nodes = ring.ring_nodes(5, 16, points)
+    places = [p for p, _ in nodes]
+    todo = []
+    for k, v in rows:
+        point = (spark_hash(k) % 2**64) * points >> 64
+        todo.append((point, spark_row_hash(k, v), (k, v), next((i for i, p in enumerate(places) if p >= point), 0)))
+    todo.sort()
+    free, taken, want = ring.bounds(len(rows), 5, 0.0), [0] * 5, {}
+    while todo:
+        on = []
+        for point, h, row, node in todo:
+            s = nodes[node][1]
+            if free[s]:
+                want[row] = (s, taken[s])
+                free[s] -= 1
+                taken[s] += 1
+            else:
+                on.append((point, h, row, (node + 1) % len(nodes)))
+        todo = on
+    df = spark.createDataFrame(rows, "k long, v string")
+    got = {(r["k"], r["v"]): (r["shard"], r["slot"]) for r in ring.shard(df, "k", 5, 16).collect()}
+    assert got == want
+
+
+def spark_row_hash(k, v):
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(v.encode(), xxhash.xxh64_intdigest(struct.pack("<q", k), 42))
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.mark.parametrize("cell", [16, 1 << 16])
+def test_shards_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch, cell):
+    monkeypatch.setattr(ring, "CELL_ROWS", cell)
+    df = spark.createDataFrame([(7 if i % 2 else i, f"v{i % 200}") for i in range(500)], "k long, v string")
+    one, two = (sorted(map(tuple, ring.shard(df.repartition(n), "k", 4).collect())) for n in (2, 5))
+    assert one == two
+
+
 def test_walk_is_what_single_rows_do():
     nodes = ring.ring_nodes(5, 8, 1024)
     keys = [(i * 7919) % 1024 for i in range(0, 3000, 7)] + [5] * 120
@@ -96,6 +143,14 @@ def test_many_equal_rows_are_cut_where_the_budget_ends(spark):
     assert sorted(r["target"] for r in out.collect()) == pytest.approx([1600.0, 1800.0])
 
 
+def test_running_sums_span_runs_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_BITS", 2)
+    rows = [("a" if i % 3 else None, (i * 37) % 512, i + 1) for i in range(300)]
+    got = {(r["source"], r["prefix"]): r["upto"] for r in mixing.running(spark.createDataFrame(rows, "source string, prefix long, s long").groupBy("source", "prefix").agg(F.sum("s").alias("s"))).collect()}
+    assert got == {(s, p): sum(n for t, q, n in rows if t == s and q <= p) for s, p, _ in rows}
+    agrees(mixing.op2_mixing(spark, SF), mixing.OP2_SQL, SF)
+
+
 def test_runs_agree(spark):
     one, two = (sorted((r["doc_id"], r["taken"]) for r in mixing.op2_mixing(spark, SF).collect()) for _ in range(2))
     assert one == two
