@@ -26,8 +26,15 @@ def parse_size(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """Midnight UTC of ``YYYY-MM-DD``."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+    """Midnight UTC of ``YYYY-MM-DD``, whatever the session's zone."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit("yyyy-MM-ddX")))
+
+
+def moment(text: str) -> Column:
+    """The timestamp of a date or a date and time; UTC where it names no zone."""
+    day, _, time = text.strip().replace("T", " ").partition(" ")
+    zoned = time.endswith("Z") or "+" in time or "-" in time
+    return F.lit(f"{day} {time or '00:00:00'}{'' if zoned else 'Z'}").cast("timestamp")
 
 
 def _scaled(size: Column, units: list[tuple[int, str]], plain: str) -> Column:
@@ -58,7 +65,14 @@ def format_duration(ms: Column) -> Column:
 
 
 def rfc3339(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """In UTC, whatever the session's zone."""
+    wall = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(moment))
+    return F.concat(F.replace(F.substring(wall.cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit("+00:00"))
+
+
+def local_time(moment: Column) -> Column:
+    """In the session's zone."""
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
 
 
 def posix_quoted(text: Column) -> Column:

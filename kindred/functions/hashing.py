@@ -25,6 +25,36 @@ def fullhash(content: Column) -> Column:
     return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
+def by_path(of) -> Column:
+    """A column function of ``of(path, open file)`` over files that all executors can read: a struct
+    of value and error, one of which is null. A null path gives nulls and opens nothing."""
+    @F.pandas_udf("value string, error string")
+    def read(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in paths:
+            try:
+                if p is None:
+                    out.append((None, None))
+                else:
+                    with open(p, "rb") as f:
+                        out.append((of(p, f), None))
+            except OSError as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["value", "error"], dtype=object)
+
+    return read
+
+
+def file_prehash(path: Column, n: int = PREHASH_BYTES) -> Column:
+    """The hash of a file's first ``n`` bytes, of which no more are read."""
+    return by_path(lambda p, f: hashlib.sha256(f.read(n)).hexdigest())(path)
+
+
+def file_hash(path: Column) -> Column:
+    """The hash of a whole file, read through a buffer."""
+    return by_path(lambda p, f: hashlib.file_digest(f, "sha256").hexdigest())(path)
+
+
 def hex_digest(binary: Column) -> Column:
     return F.lower(F.hex(binary))
 
@@ -51,10 +81,10 @@ def with_shingles(df: DataFrame, text: str, out: str, n: int = RUN_WORDS) -> Dat
 def simhash_of(text: str | None) -> int:
     """64 bits of normalized text: a bit is set where most runs' hashes have it. No words: 0."""
     words = text.split(" ") if text else []
-    runs = [" ".join(words[i : i + RUN_WORDS]) for i in range(len(words) - RUN_WORDS + 1)] if len(words) >= RUN_WORDS else words
+    runs = list(map(" ".join, zip(*[words[i:] for i in range(RUN_WORDS)]))) or words
     if not runs:
         return 0
-    raw = b"".join([hashlib.md5(r.encode()).digest()[:8] for r in runs])
+    raw = b"".join([hashlib.md5(r, usedforsecurity=False).digest()[:8] for r in map(str.encode, runs)])
     bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
     ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(runs)
     return int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True)
@@ -62,11 +92,11 @@ def simhash_of(text: str | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def _simhash(texts: pd.Series) -> pd.Series:
-    return pd.Series([simhash_of(t) for t in texts], dtype="int64")
+    return pd.Series([None if t is None else simhash_of(t) for t in texts], dtype="Int64")
 
 
 def simhash(text: Column) -> Column:
-    """The fingerprint of a raw text, as a long whose bits count."""
+    """The fingerprint of a raw text, as a long whose bits count; null for null."""
     return _simhash(normalized(text))
 
 
@@ -95,12 +125,37 @@ def phash(vectors: pd.Series) -> pd.Series:
     for v in vectors:
         x = np.asarray(v, np.float64)
         n = len(x)
-        k = np.arange(n)[:, None]
-        c = (np.cos(np.pi * (2 * np.arange(n)[None, :] + 1) * k / (2 * n)) * x).sum(axis=1) if n else x
+        c = (cosines(n) * x).sum(axis=1) if n else x
         out.append("".join("1" if b else "0" for b in c > np.median(c)) if n else "")
     return pd.Series(out, dtype=object)
 
 
+def cosines(n: int) -> np.ndarray:
+    """The matrix of the cosine transform of ``n`` values."""
+    return np.cos(np.pi * (2 * np.arange(n)[None, :] + 1) * np.arange(n)[:, None] / (2 * n))
+
+
+def image_bits(gray: np.ndarray, algorithm: str) -> int:
+    """The 64-bit perceptual hash of a gray image (rows, columns), as a long: ahash marks cells above
+    the mean, dhash cells below their right neighbour, phash coefficients of the lowest frequencies
+    above their median."""
+    from kindred.sources.images import resized
+
+    if algorithm == "ahash":
+        cells = resized(gray, 8, 8)
+        on = cells > cells.mean()
+    elif algorithm == "dhash":
+        cells = resized(gray, 8, 9)
+        on = cells[:, :-1] < cells[:, 1:]
+    elif algorithm == "phash":
+        c = cosines(32)
+        low = (c @ resized(gray, 32, 32) @ c.T)[:8, :8]
+        on = low > np.median(low)
+    else:
+        raise ValueError(f"no perceptual hash {algorithm!r}")
+    return int.from_bytes(np.packbits(on.ravel()).tobytes(), "big", signed=True)
+
+
 def bits_to_long(bits: Column) -> Column:
     """64 binary digits as a long with those bits."""
     high, low = (F.conv(F.substring(bits, at, 32), 2, 10).cast("long") for at in (1, 33))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import struct
 
+from kindred.schema import CATEGORIES
+
 TEXT = frozenset([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0x100)])
+TEXT_KINDS = frozenset(["txt", "md", "rst", "csv", "json", "xml", "html", "toml", "yaml", "yml", "log"])
 SNIFFED, DUMPED, LINES, LINE_BYTES = 512, 256, 50, 4096
 
 
@@ -47,6 +50,12 @@ def image_size(content: bytes) -> tuple[str, int, int] | None:
 
 
 def preview(name: str, content: bytes) -> str:
+    """By the name's kind, an image before a text; other names by what the content looks like."""
+    kind = name.rpartition(".")[2].lower() if "." in name.rpartition("/")[2] else ""
+    if kind in CATEGORIES["images"] and (found := image_size(content)):
+        return "{} {} x {}".format(*found)
+    if kind in TEXT_KINDS:
+        return text_preview(content)
     if found := image_size(content):
         return "{} {} x {}".format(*found)
     return hex_dump(content) if is_binary(content) else text_preview(content)

@@ -1,15 +1,22 @@
 """Exact duplicates by a cascade from cheap to expensive: size, hash of the first bytes, full hash.
 
-Content is hashed where it is read and never shuffled: each step narrows the rows by a short list
-of keys that occur twice, and only digests travel."""
+Rows that hold their content are hashed where they are read, in one pass. Files that are known by
+path alone are read as little as possible: only those whose size occurs twice are opened, and only
+those whose first bytes do are read whole. Either way content is never shuffled: what is written,
+counted and grouped are digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.hashing import fullhash, prehash
-from kindred.plans.tables import keep_in
+from kindred.functions.hashing import by_path, file_hash, file_prehash, fullhash, prehash
+from kindred.operators.ranking import ranked
+from kindred.plans.tables import bounded, keep_in, materialize, spread
+from kindred.schema import PREHASH_BYTES
+from kindred.sources import cache as hash_cache
 
 
 def size_groups(files: DataFrame) -> DataFrame:
@@ -38,33 +45,92 @@ def same_size(files: DataFrame) -> DataFrame:
     return keep_in(files.filter("size > 0"), size_groups(files), ["size"])
 
 
-def prehashed(files: DataFrame) -> DataFrame:
-    """Same-size files with the hash of their first bytes; content is left behind."""
-    return same_size(files).withColumn("prehash", prehash(F.col("content")))
-
-
-def prehash_candidates(files: DataFrame) -> DataFrame:
+def _known(files: DataFrame, cache: DataFrame | None, column: str) -> DataFrame:
+    """Adds ``_known``: what the cache has in ``column`` for path, size and time, else null."""
+    if cache is None:
+        return files.withColumn("_known", F.lit(None).cast("string"))
+    return hash_cache.looked_up(files, cache, column).withColumnRenamed(column, "_known").drop("hit")
+
+
+def _read(files: DataFrame, cache: DataFrame | None, cached: str, read, out: str) -> DataFrame:
+    """Adds ``out``, from the cache or else from the file, ``<out>_hit`` and, where the file could
+    not be read, ``error``."""
+    rows = _known(files, cache, cached).withColumn("_read", read(F.when(F.col("_known").isNull(), F.col("path"))))
+    rows = rows.withColumn(out, F.coalesce("_known", "_read.value")).withColumn(f"{out}_hit", F.col("_known").isNotNull())
+    return rows.withColumn("error", F.col("_read.error")).drop("_known", "_read")
+
+
+def digested(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Files with prehash and hash in place of their content, written once; prehash_hit and hash_hit
+    tell what came from the cache, error why a file has no digest.
+
+    With content in the rows all that are not empty are there. Without, only files whose size
+    occurs twice have a prehash, and only those whose first bytes do have a hash; of a file that is
+    no longer than its first bytes the two are one."""
+    if "content" in files.columns:
+        rows = _known(files.filter("size > 0"), cache, "prehash").withColumnRenamed("_known", "_pre")
+        rows = _known(rows, cache, "fullhash")
+        error = F.when(F.col("content").isNull(), F.lit("no content"))
+        rows = spread(rows).select(
+            *[c for c in files.columns if c not in ("content", "text")], F.when(error.isNull(), F.coalesce("_pre", prehash(F.col("content")))).alias("prehash"),
+            F.when(error.isNull(), F.coalesce("_known", fullhash(F.col("content")))).alias("hash"), F.col("_pre").isNotNull().alias("prehash_hit"), F.col("_known").isNotNull().alias("hash_hit"), error.alias("error"),
+        )
+        return materialize(rows, "digests")
+    heads = materialize(_read(same_size(files), cache, "prehash", file_prehash, "prehash"), "prehashes")
+    twice = heads.filter("prehash IS NOT NULL").groupBy("prehash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    wanted = keep_in(heads.filter("prehash IS NOT NULL"), twice, ["prehash"])
+    none = F.lit(None).cast("string")
+    short = wanted.filter(F.col("size") <= PREHASH_BYTES).withColumn("hash", F.col("prehash")).withColumn("hash_hit", F.col("prehash_hit"))
+    long = _read(wanted.filter(F.col("size") > PREHASH_BYTES).drop("error"), cache, "fullhash", file_hash, "hash").select(*short.columns)
+    alone = heads.filter("prehash IS NULL").unionByName(heads.filter("prehash IS NOT NULL").join(twice.select("prehash"), "prehash", "left_anti"))
+    rest = alone.withColumn("hash", none).withColumn("hash_hit", F.lit(False))
+    return materialize(short.unionByName(long).unionByName(rest), "digests")
+
+
+def prehashed(files: DataFrame, digests: DataFrame | None = None) -> DataFrame:
+    """Same-size files with the hash of their first bytes."""
+    rows = digested(files) if digests is None else digests
+    return same_size(rows.filter("prehash IS NOT NULL"))
+
+
+def prehash_candidates(files: DataFrame, digests: DataFrame | None = None) -> DataFrame:
     """(prehash, files) of first bytes that occur twice among same-size files, whatever the size."""
-    return prehashed(files).groupBy("prehash").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+    return prehashed(files, digests).groupBy("prehash").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 
 
-def hashed(files: DataFrame) -> DataFrame:
-    """Files whose first bytes occur twice, with both hashes, without content."""
-    return keep_in(prehashed(files), prehash_candidates(files), ["prehash"]).withColumn("hash", fullhash(F.col("content"))).drop("content", "text")
+def _apart(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``_class`` to files of groups (hash): 0, unless contents of one hash differ; then their
+    number. Contents are compared whole, byte by byte, as the keys of a grouping, which keeps one
+    copy of each in a task; only where one hash has two contents are files told apart by them."""
+    whole = files.select("path", "content").join(rows.select("path", "hash"), "path")
+    contents = materialize(whole.groupBy("hash", "content").agg(F.min("path").alias("first")), "contents")
+    torn = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    several = contents.join(torn, "hash", "left_semi")
+    firsts = ranked(several.select("hash", "first"), ["hash"], ["first"], "_class")
+    told = whole.join(several, ["hash", "content"]).select("path", "hash", "first").join(firsts, ["hash", "first"]).select("path", "_class")
+    return rows.join(told, "path", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
 
 
-def exact_members(files: DataFrame, paranoid: bool = False) -> DataFrame:
+def exact_members(files: DataFrame, paranoid: bool = False, digests: DataFrame | None = None) -> DataFrame:
     """One row per file of a group of equal content: hash, size, rank_in_group (1: the file that
-    stands for the group, by path) and the file's columns. ``paranoid`` compares hashes of another
-    family too."""
-    rows = keep_in(prehashed(files), prehash_candidates(files), ["prehash"]).withColumn("hash", fullhash(F.col("content")))
+    stands for the group, by path) and the file's columns. ``paranoid`` compares the contents
+    themselves too, or, of files known by path, a hash of another family."""
+    rows = (digested(files) if digests is None else digests).filter("hash IS NOT NULL")
+    rows = rows.drop("prehash_hit", "hash_hit", "error")
+    counts = materialize(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    found = rows.join(bounded(counts.drop("n")), "hash", "left_semi")
     keys = ["hash"]
     if paranoid:
-        rows, keys = rows.withColumn("second_hash", F.xxhash64("content", F.reverse(F.hex("content")))), ["hash", "size", "second_hash"]
-    rows = rows.drop("content", "text")
-    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_files")).filter("group_files > 1")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
-    return rows.join(groups, keys).withColumn("rank_in_group", rank).drop("second_hash")
+        keys = ["hash", "_class"]
+        if "content" in files.columns:
+            found = _apart(files, found)
+        else:
+            other = by_path(lambda p, f: hashlib.file_digest(f, "blake2b").hexdigest())
+            found = found.withColumn("_class", F.coalesce(other(F.col("path"))["value"], F.col("path")))
+        found = materialize(found, "compared")
+        counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.join(counts.drop("n"), keys, "left_semi")
+    return ranked(found, keys, ["path"], "rank_in_group", counts).drop("_class")
 
 
 def exact_groups(members: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.formatting import moment
 from kindred.functions.paths import file_name, hidden, ignored, in_category, under
 from kindred.schema import ScanOptions
 
@@ -20,11 +21,11 @@ def size_between(low: int | None = None, high: int | None = None) -> Column:
 
 
 def modified_between(low: str | None = None, high: str | None = None) -> Column:
-    """Both ends included."""
+    """Both ends included; dates and times without a zone are UTC."""
     out = F.lit(True)
     if low is not None:
-        out = out & (F.col("modified") >= F.lit(low).cast("timestamp"))
-    return out & (F.col("modified") <= F.lit(high).cast("timestamp")) if high is not None else out
+        out = out & (F.col("modified") >= moment(low))
+    return out & (F.col("modified") <= moment(high)) if high is not None else out
 
 
 def name_matches(include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
@@ -46,8 +47,11 @@ def passed(files: DataFrame, options: ScanOptions) -> DataFrame:
     """Ignore globs, symlinks, hidden names, empty files, size, date, names, categories."""
     root = F.col("root") if "root" in files.columns else F.lit("")
     keep = F.lit(True)
-    if options.ignore:
-        keep = keep & ~ignored(relative(root), list(options.ignore))
+    if options.ignore or options.root_ignore:
+        skip = ignored(relative(root), list(options.ignore))
+        for r, patterns in options.root_ignore.items():
+            skip = F.when(root == r, ignored(relative(root), [*patterns, *options.ignore])).otherwise(skip)
+        keep = keep & ~skip
     if not options.follow_symlinks and "is_symlink" in files.columns:
         keep = keep & ~F.col("is_symlink")
     if options.skip_hidden:

@@ -2,38 +2,41 @@
 
 Members are rows (group_id, path, size, modified, rank_in_group, is_reference, ...). The file to
 keep is chosen among all files of a group, references included; references leave the selection
-only after that."""
+only after that. What a group decides is an aggregate of it, and rows meet it by group and path, so
+a group of any size spreads over all tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.formatting import posix_quoted, powershell_quoted
 from kindred.functions.paths import extension, parent, under
+from kindred.operators.ranking import ranked
+from kindred.plans.tables import bounded, materialize
 
-def _in_group() -> WindowSpec:
-    return Window.partitionBy("group_id")
 
+def _but(members: DataFrame, kept: DataFrame) -> DataFrame:
+    """Members other than ``kept`` (group_id, path), without references."""
+    return members.filter(~F.col("is_reference")).join(kept, ["group_id", "path"], "left_anti")
 
-def _all_but(members: DataFrame, *order: Column) -> DataFrame:
-    """All but the first of each group, without references."""
-    rank = F.row_number().over(_in_group().orderBy(*order))
-    return members.withColumn("_keep", rank).filter((F.col("_keep") > 1) & ~F.col("is_reference")).drop("_keep")
+
+def _one(members: DataFrame, path: Column) -> DataFrame:
+    return members.groupBy("group_id").agg(path.alias("path"))
 
 
 def duplicates(members: DataFrame) -> DataFrame:
-    return _all_but(members, F.col("rank_in_group"))
+    return members.filter((F.col("rank_in_group") > 1) & ~F.col("is_reference"))
 
 
 def oldest(members: DataFrame) -> DataFrame:
     """All but the newest; of equally new ones the last stays."""
-    return _all_but(members, F.desc("modified"), F.desc("rank_in_group"))
+    return _but(members, _one(members, F.max_by("path", F.struct("modified", "rank_in_group"))))
 
 
 def newest(members: DataFrame) -> DataFrame:
     """All but the oldest; of equally old ones the first stays."""
-    return _all_but(members, F.asc("modified"), F.asc("rank_in_group"))
+    return _but(members, _one(members, F.min_by("path", F.struct("modified", "rank_in_group"))))
 
 
 smallest = largest = duplicates
@@ -41,10 +44,8 @@ smallest = largest = duplicates
 
 def matching(members: DataFrame, match: Column) -> DataFrame:
     """The files that match; where a whole group does, its first match stays."""
-    n, hits = F.count(F.lit(1)).over(_in_group()), F.count(F.when(match, 1)).over(_in_group())
-    first = F.row_number().over(Window.partitionBy("group_id", "_hit").orderBy("rank_in_group")) == 1
-    rows = members.withColumn("_hit", F.coalesce(match, F.lit(False))).withColumn("_all", n == hits).withColumn("_first", first)
-    return rows.filter(F.col("_hit") & ~(F.col("_all") & F.col("_first")) & ~F.col("is_reference")).drop("_hit", "_all", "_first")
+    whole = members.groupBy("group_id").agg(F.min_by("path", "rank_in_group").alias("path"), F.min(F.coalesce(match, F.lit(False))).alias("_all")).filter("_all").drop("_all")
+    return _but(members.filter(match), whole)
 
 
 def by_extension(members: DataFrame, wanted: str) -> DataFrame:
@@ -62,8 +63,8 @@ def by_group_name(members: DataFrame, name: str) -> DataFrame:
 def by_folder(members: DataFrame, folder: str) -> DataFrame:
     """The files of a group in one folder, unless that would take every file of the group."""
     hit = parent(F.col("path")) == folder
-    n, hits = F.count(F.lit(1)).over(_in_group()), F.count(F.when(hit, 1)).over(_in_group())
-    return members.withColumn("_some", hits < n).filter(hit & F.col("_some") & ~F.col("is_reference")).drop("_some")
+    whole = members.groupBy("group_id").agg(F.min(hit).alias("_all")).filter("_all").select("group_id")
+    return members.filter(hit & ~F.col("is_reference")).join(bounded(materialize(whole, "whole_groups")), "group_id", "left_anti")
 
 
 def apply(selected: DataFrame, more: DataFrame) -> DataFrame:
@@ -103,9 +104,9 @@ def deletion_plan(members: DataFrame, selected: DataFrame | None = None) -> Data
     if selected is not None:
         marked = members.join(selected.select("path").distinct().withColumn("_chosen", F.lit(True)), "path", "left")
         return marked.withColumn("action", F.when(F.col("_chosen"), "delete").otherwise("keep")).drop("_chosen")
-    referenced = F.max(F.col("is_reference")).over(_in_group())
-    delete = F.when(referenced, ~F.col("is_reference")).otherwise(F.col("rank_in_group") > 1)
-    return members.withColumn("action", F.when(delete, "delete").otherwise("keep"))
+    referenced = bounded(materialize(members.filter("is_reference").select("group_id").distinct(), "referenced")).withColumn("_referenced", F.lit(True))
+    delete = F.when(F.col("_referenced"), ~F.col("is_reference")).otherwise(F.col("rank_in_group") > 1)
+    return members.join(referenced, "group_id", "left").withColumn("action", F.when(delete, "delete").otherwise("keep")).drop("_referenced")
 
 
 def without_survivor(members: DataFrame, selected: DataFrame) -> DataFrame:
@@ -116,8 +117,10 @@ def without_survivor(members: DataFrame, selected: DataFrame) -> DataFrame:
 
 def after_delete(members: DataFrame, deleted: DataFrame) -> DataFrame:
     """Members that are left, in groups that still have two, ranked anew."""
-    left = members.join(deleted.select("path").distinct(), "path", "left_anti").withColumn("_n", F.count(F.lit(1)).over(_in_group())).filter("_n > 1").drop("_n")
-    return left.withColumn("rank_in_group", F.row_number().over(_in_group().orderBy("rank_in_group")))
+    left = materialize(members.join(deleted.select("path").distinct(), "path", "left_anti").withColumnRenamed("rank_in_group", "_was"), "left")
+    counts = materialize(left.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    kept = left.join(bounded(counts.drop("n")), "group_id", "left_semi")
+    return ranked(kept, ["group_id"], ["_was"], "rank_in_group", counts).drop("_was").select(*members.columns)
 
 
 def filter_selected(members: DataFrame, selected: DataFrame) -> DataFrame:

@@ -1,42 +1,127 @@
-"""Near-duplicates: pairs within a Hamming distance, greedy clusters, what exact groups cover."""
+"""Near-duplicates: pairs within a Hamming distance, greedy clusters, what exact groups cover.
+
+Everything works on distinct fingerprints. Files of one fingerprint are a class: they are counted,
+never paired, and join their class's group at the end."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hamming
 from kindred.operators.graph import components
-from kindred.plans.tables import materialize
+from kindred.operators.ranking import ranked
+from kindred.plans.tables import bounded, discard, materialize
 
 BITS = 64
+#: Keys that a fingerprint may be dealt to.
+MOST_KEYS = 1200
+#: Pairs of fingerprints up to which one task walks all clusters; more are walked in rounds.
+FEW_PAIRS = 200_000
 
 
-def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """(hash_a, hash_b, distance) of different values of ``hash`` (long) at distance ``most`` or
-    less, a before b. Two values that near agree in one of most + 1 bands of bits, so bands are
-    joined by equality; equal values were made one before, so copies cost nothing here."""
-    bands = most + 1
-    edges = [round(i * BITS / bands) for i in range(bands + 1)]
-    band = lambda i: F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("hash"), edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1 if bands > 1 else -1)).alias("bits"))
-    cut = hashes.select("hash").filter("hash IS NOT NULL").distinct().withColumn("_b", F.explode(F.array(*[band(i) for i in range(bands)]))).select("hash", F.col("_b.band").alias("band"), F.col("_b.bits").alias("bits"))
-    a, b = cut.withColumnRenamed("hash", "hash_a"), cut.withColumnRenamed("hash", "hash_b")
-    found = a.join(b, ["band", "bits"]).filter("hash_a < hash_b").select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("distance"))
-    return found.filter(F.col("distance") <= most).distinct()
+def bands_for(values: int, most: int) -> int:
+    """The number of bands of bits that costs least for so many distinct fingerprints: two within
+    ``most`` agree in all but ``most`` of m bands, whichever these are, so a fingerprint has a key
+    for each choice of m - most bands. More bands mean more keys, of more bits each."""
+    def cost(m: int) -> float:
+        return comb(m, most) * (1 + values / 2 ** (BITS * (m - most) / m))
+
+    return min((m for m in range(most + 1, min(BITS, most + 6) + 1) if comb(m, most) <= MOST_KEYS), key=cost, default=most + 1)
 
 
-def file_pairs(files: DataFrame, most: int) -> DataFrame:
-    """(path_a, path_b, distance) of files with a ``hash``, copies included, a before b."""
-    near = hamming_pairs(files, most)
-    both = near.unionByName(near.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b"), "distance"))
-    same = files.filter("hash IS NOT NULL").select(F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b")).distinct().withColumn("distance", F.lit(0))
-    linked = both.unionByName(same)
-    a = files.select(F.col("path").alias("path_a"), F.col("hash").alias("hash_a"))
-    b = files.select(F.col("path").alias("path_b"), F.col("hash").alias("hash_b"))
-    return linked.join(a, "hash_a").join(b, "hash_b").filter("path_a < path_b").select("path_a", "path_b", "distance")
+def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> DataFrame:
+    """(hash_a, hash_b, distance) of different values of ``hash`` (long) at distance ``most`` or
+    less, a before b, each pair once. ``values``: how many there are, if that is known.
+
+    Fingerprints meet by equality of a key; they come out of the first of all keys that they share,
+    so the pairs need not be made distinct. Equal values were made one before, so copies cost
+    nothing here."""
+    distinct = hashes.select("hash").filter("hash IS NOT NULL").distinct()
+    if values is None:
+        distinct = materialize(distinct, "fingerprints")
+        values = distinct.count()
+    m = bands_for(values, most)
+    edges = [round(i * BITS / m) for i in range(m + 1)]
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(m)]
+    mask = lambda i: F.lit(masks[i] - (1 << BITS if masks[i] >= 1 << (BITS - 1) else 0)).cast("long")
+    chosen = list(combinations(range(m), m - most))
+    bits = lambda c: sum(1 << i for i in c)
+
+    def key(c: tuple[int, ...]) -> Column:
+        of = mask(c[0])
+        for i in c[1:]:
+            of = of.bitwiseOR(mask(i))
+        return F.struct(F.lit(bits(c)).cast("long").alias("bands"), F.col("hash").bitwiseAND(of).alias("bits"))
+
+    cut = distinct.withColumn("_k", F.explode(F.array(*map(key, chosen)))).select("hash", F.col("_k.bands").alias("bands"), F.col("_k.bits").alias("bits"))
+    a, b = cut.withColumnRenamed("hash", "hash_a"), cut.withColumnRenamed("hash", "hash_b")
+    other = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    agree = sum((F.when(other.bitwiseAND(mask(i)) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(m)), F.lit(0).cast("long"))
+    # The first key that two share has no band on which they agree below its last one but its own.
+    upto = F.lit(0).cast("long")
+    for c in sorted({c[-1] for c in chosen}):
+        upto = F.when(F.shiftright("bands", c) == 1, F.lit((1 << (c + 1)) - 1).cast("long")).otherwise(upto)
+    met = a.join(b, ["bands", "bits"]).filter("hash_a < hash_b")
+    near = met.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= most)
+    return near.filter(agree.bitwiseAND(upto) == F.col("bands")).select("hash_a", "hash_b", "distance")
+
+
+def file_links(files: DataFrame, most: int) -> DataFrame:
+    """(path, class_path, copies, near_classes, near_files) of files with a ``hash``: the first path
+    of the same hash, how many other files have it, and how many other hashes, and files of these,
+    are within ``most``. Links are counted by class; no pairs of files are made."""
+    classes = files.filter("hash IS NOT NULL").groupBy("hash").agg(F.min("path").alias("class_path"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes, "classes")
+    pairs = hamming_pairs(classes, most, classes.count())
+    both = pairs.select("hash_a", "hash_b").unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b")))
+    sizes = classes.select(F.col("hash").alias("hash_b"), F.col("n").alias("_m"))
+    near = both.join(sizes, "hash_b").groupBy(F.col("hash_a").alias("hash")).agg(F.count(F.lit(1)).alias("near_classes"), F.sum("_m").alias("near_files"))
+    told = classes.join(near, "hash", "left").withColumn("copies", F.col("n") - 1)
+    zero = F.lit(0).cast("long")
+    told = materialize(told.select("hash", "class_path", "copies", F.coalesce("near_classes", zero).alias("near_classes"), F.coalesce("near_files", zero).alias("near_files")), "links")
+    return files.select("path", "hash").join(bounded(told), "hash").drop("hash")
+
+
+def _walked(nodes: list[tuple], edges: list[tuple], least: int) -> list[tuple[int, int]]:
+    """(hash, leader) by the greedy walk: nodes (first path, hash, files), pairs of hashes."""
+    near: dict[int, list[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    count, taken, out = {h: n for _, h, n in nodes}, set(), []
+    for _, h, _ in sorted(nodes):
+        if h not in taken:
+            free = [h, *(g for g in near.get(h, ()) if g not in taken)]
+            if sum(count[g] for g in free) >= least:
+                taken.update(free)
+                out += [(g, h) for g in free]
+    return out
+
+
+def _in_rounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same for pairs of any number and groups from two files on: a node leads once every
+    earlier neighbour is known to be taken, and is taken once an earlier neighbour leads; at last
+    it goes to its first leader. Rounds are as many as the longest chain of such decisions."""
+    place = F.struct("first", "hash")
+    ends = pairs.join(nodes.select(F.col("hash").alias("hash_a"), place.alias("_a")), "hash_a").join(nodes.select(F.col("hash").alias("hash_b"), place.alias("_b")), "hash_b")
+    links = materialize(ends.select(F.least("_a", "_b").alias("early"), F.greatest("_a", "_b").alias("late")), "links")
+    state = nodes.select(place.alias("node"), F.lit(0).alias("state"))  # 0: open, 1: leads, 2: taken
+    state = materialize(state, "states")
+    while state.filter("state = 0").limit(1).count():
+        seen = links.join(state.select(F.col("node").alias("early"), F.col("state").alias("_s")), "early").groupBy(F.col("late").alias("node"))
+        seen = seen.agg(F.max((F.col("_s") == 1).cast("int")).alias("_led"), F.max((F.col("_s") == 0).cast("int")).alias("_open"))
+        new = F.when(F.col("state") != 0, F.col("state")).when(F.col("_led") == 1, 2).when(F.coalesce("_open", F.lit(0)) == 0, 1).otherwise(0)
+        after = materialize(state.join(seen, "node", "left").select("node", new.alias("state")), "states")
+        discard(state)
+        state = after
+    led = links.join(state.filter("state = 1").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(F.min("early").alias("leader"))
+    taken = state.filter("state = 2").join(led, "node").select("node.hash", F.col("leader.hash").alias("leader"))
+    return taken.unionByName(state.filter("state = 1").select("node.hash", F.col("node.hash").alias("leader")))
 
 
 def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
@@ -44,34 +129,36 @@ def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
     files not yet taken within ``most`` of it; ``least`` or more make a group, fewer stay free.
 
     Adds leader (the group's first path) and drops files outside of groups. Files of one hash are
-    a run of paths in the walk; components of the near pairs are walked one by one, since files of
-    different components never meet."""
+    taken together, and a hash that once finds too few will not find more, so the walk is over
+    distinct hashes in the order of their first paths."""
     files = files.filter("hash IS NOT NULL")
-    pairs = materialize(hamming_pairs(files, most), "hamming_pairs")
-    labels = components(pairs.select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
-    labelled = files.select("path", "hash").join(labels, F.col("hash") == F.col("node"), "left").select("path", "hash", F.coalesce("label", "hash").alias("component"))
-    big = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    walked = labelled.join(big.select("component"), "component", "left_semi")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("path", ignore_index=True)
-        hashes = [int(h) & (2**64 - 1) for h in rows["hash"]]
-        free = dict.fromkeys(range(len(rows)))
-        by_hash: dict[int, list[int]] = {}
-        for i, h in enumerate(hashes):
-            by_hash.setdefault(h, []).append(i)
-        leader: list[str | None] = [None] * len(rows)
-        for i, h in enumerate(hashes):
-            if i in free:
-                near = [j for g, members in by_hash.items() if (g ^ h).bit_count() <= most for j in members if j in free]
-                if len(near) >= least:
-                    for j in near:
-                        leader[j] = rows["path"][i]
-                        del free[j]
-        return pd.DataFrame({"path": rows["path"], "leader": leader}).dropna()
-
-    found = walked.groupBy("component").applyInPandas(walk, "path string, leader string")
-    return files.join(found, "path")
+    nodes = materialize(files.groupBy("hash").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    pairs = materialize(hamming_pairs(nodes, most, nodes.count()).select("hash_a", "hash_b"), "hamming_pairs")
+    ends = pairs.select(F.col("hash_a").alias("hash")).union(pairs.select(F.col("hash_b").alias("hash"))).distinct()
+    linked = nodes.join(ends, "hash", "left_semi")
+    alone = nodes.join(ends, "hash", "left_anti").filter(F.col("n") >= least).select("hash", F.col("hash").alias("leader"))
+    rows = linked.select(F.lit(0).cast("long").alias("label"), F.col("first").alias("p"), F.col("hash").alias("a"), F.col("n").alias("b"))
+    rows = rows.unionByName(pairs.select(F.lit(0).cast("long").alias("label"), F.lit(None).cast("string").alias("p"), F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        is_node = part["p"].notna()
+        nodes = list(part.loc[is_node, ["p", "a", "b"]].itertuples(index=False, name=None))
+        edges = list(part.loc[~is_node, ["a", "b"]].itertuples(index=False, name=None))
+        return pd.DataFrame(_walked(nodes, edges, least), columns=["hash", "leader"], dtype="int64")
+
+    if pairs.count() <= FEW_PAIRS:
+        led = rows.groupBy("label").applyInPandas(walk, "hash long, leader long")
+    elif least <= 2:
+        led = _in_rounds(linked, pairs)
+    else:  # whether a group is large enough depends on all before it: component by component
+        label = components(pairs.select(F.col("hash_a").alias("_x"), F.col("hash_b").alias("_y")).toDF("a", "b")).withColumnRenamed("label", "_l")
+        led = rows.drop("label").join(label, F.col("a") == F.col("node")).select(F.col("_l").alias("label"), "p", "a", "b").groupBy("label").applyInPandas(walk, "hash long, leader long")
+    led = materialize(led.unionByName(alone), "leaders")
+    firsts = nodes.select(F.col("hash").alias("_h"), F.col("first").alias("_leader"))
+    led = materialize(led.join(firsts, F.col("leader") == F.col("_h")).select(F.col("hash").alias("_hash"), F.col("_leader").alias("leader")), "leaders")
+    grouped = led.join(nodes.select(F.col("hash").alias("_hash"), "n"), "_hash").groupBy("leader").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    led = led.join(grouped.drop("n"), "leader", "left_semi")
+    return files.join(bounded(led), files["hash"] == led["_hash"]).drop("_hash")
 
 
 def not_covered(similar: DataFrame, exact: DataFrame) -> DataFrame:
@@ -87,13 +174,8 @@ def all_groups(exact: DataFrame, similar: DataFrame) -> DataFrame:
     similar group's id is its leader's hash, filled up to 64 digits with ``fill`` (0, if there is no
     such column), which keeps groups of images and of documents apart."""
     fill = F.col("fill") if "fill" in similar.columns else F.lit("0")
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("path"))
     heads = similar.filter("leader = path").select("leader", F.rpad(F.lower(F.lpad(F.hex("hash"), 16, "0")), 64, fill).alias("group_id"))
     near = similar.join(heads, "leader").select("group_id", F.lit(True).alias("is_similar"), "path", "size")
-    same = exact.select(F.col("hash").alias("group_id"), F.lit(False).alias("is_similar"), "path", "size")
-    return same.unionByName(near).withColumn("rank_in_group", rank)
-
-
-def iterate(groups: DataFrame) -> Iterator:
-    """Groups one after the other on the driver, for reports."""
-    return groups.orderBy("group_id", "rank_in_group").toLocalIterator()
+    near = ranked(materialize(near, "similar"), ["group_id"], ["path"], "rank_in_group")
+    same = exact.select(F.col("hash").alias("group_id"), F.lit(False).alias("is_similar"), "path", "size", "rank_in_group")
+    return same.unionByName(near)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.paths import parent
+from kindred.operators.ranking import placed
 
 
 def search(members: DataFrame, query: str) -> DataFrame:
     """Groups with a file whose path or group name matches as a regular expression, or holds the
-    words as they stand, in any case. What is no valid expression is searched for as words."""
+    words as they stand, in any case. What is no valid expression to the engine that evaluates it
+    is searched for as words."""
     try:
-        re.compile(query)
+        members.sparkSession._jvm.java.util.regex.Pattern.compile(f"(?i){query}")
         as_expression = lambda c: F.coalesce(c.rlike(f"(?i){query}"), F.lit(False))
-    except re.error:
+    except IllegalArgumentException:
         as_expression = lambda c: F.lit(False)
     as_words = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
     hit = as_expression(F.col("path")) | as_words(F.col("path")) | as_expression(F.col("group_name")) | as_words(F.col("group_name"))
@@ -34,8 +35,8 @@ def sorted_groups(members: DataFrame, by: str = "size", descending: bool = True)
     first = lambda c: F.min_by(c, "rank_in_group")
     groups = members.groupBy("group_id").agg(first("size").alias("size"), F.count(F.lit(1)).alias("files"), first("path").alias("first_path"), first("modified").alias("_date"))
     key = {"size": F.col("size"), "path": F.lower("first_path"), "date": F.col("_date"), "count": F.col("files")}[by]
-    ordered = groups.withColumn("_key", key).orderBy(F.desc("_key") if descending else F.asc("_key"), "group_id")
-    return ordered.drop("_key", "_date")
+    order = [F.desc("_key") if descending else F.asc("_key"), F.col("group_id")]
+    return placed(groups.withColumn("_key", key), order, "position").drop("_key", "_date").orderBy("position")
 
 
 def folders(members: DataFrame) -> DataFrame:
@@ -56,7 +57,3 @@ def totals(members: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("s") - F.col("first")), zero).alias("reclaimable_space"),
     )
 
-
-def last_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

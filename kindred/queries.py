@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import formatting, hashing, paths, progress
 from kindred.operators import dedupe, exact, predicates, selection, similar, views
-from kindred.plans.scan import find_duplicates, fingerprinted
+from kindred.plans.scan import find_duplicates, fingerprinted, scan_rows
 from kindred.plans.tables import materialize
 from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 from kindred.sources import cache, session, sinks
@@ -122,18 +122,19 @@ simple("extension_kinds", f"WITH {MIXED}, e AS (SELECT lower(regexp_extract(path
 def _(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
     rows = files(spark, sf_dir).drop("content", "text").withColumn("doc_id", F.regexp_extract("path", r"doc(\d+)\.", 1).cast("long")).join(d, "doc_id")
-    return dedupe.without_hardlinks(rows.withColumn("dev", F.lit(1).cast("long")).withColumn("inode", F.col("n_chars"))).select("root", "dev", "inode", "path")
+    return dedupe.without_hardlinks(rows.withColumn("dev", F.lit(1).cast("long")).withColumn("inode", F.col("n_chars")).withColumn("is_hardlink", F.lit(True))).select("root", "dev", "inode", "path")
 
 
 _URL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(www\\.|m\\.)?', '')"
 
 
-@query("canonical_dedupe", f"SELECT {_URL} AS canonical_path, count(*)::BIGINT * 0 + 1 AS files FROM pages GROUP BY ALL")
+@query("canonical_dedupe", f"SELECT {_URL} AS canonical_path, page_id, length(html)::INT AS size FROM pages QUALIFY row_number() OVER (PARTITION BY {_URL} ORDER BY length(html), page_id) = 1")
 def _(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), r"^https?://(www\.|m\.)?", "").alias("canonical_path"), F.length("html").alias("size"))
-    return dedupe.distinct_paths(rows, "canonical_path").groupBy("canonical_path").agg(F.count(F.lit(1)).alias("files"))
+    bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), r"^https?://(www\.|m\.)?", "")
+    return dedupe.distinct_paths(spark.read.parquet(f"{sf_dir}/pages.parquet").select(bare.alias("canonical_path"), "page_id", F.length("html").alias("size")), "canonical_path")
 
 
+query("path_keys", "SELECT doc_id, md5(nfc_normalize(text)) AS key FROM documents")(lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5(dedupe.path_key(F.col("text"))).alias("key")))
 _ROOTS = "roots AS (SELECT DISTINCT '/' || source AS root FROM documents WHERE source <> 'src3' UNION SELECT DISTINCT '/' || source || '/' || lang FROM documents)"
 query("nested_roots", f"WITH {_ROOTS} SELECT root FROM roots r WHERE NOT EXISTS (SELECT 1 FROM roots o WHERE o.root <> r.root AND starts_with(r.root, o.root || '/'))")(
     lambda spark, sf_dir: dedupe.outer_roots(files(spark, sf_dir).select("root", "group_name").distinct().select(F.explode(F.array(F.when(F.col("root") != "/src3", F.col("root")), F.concat("root", F.lit("/"), "group_name"))).alias("root")).filter("root IS NOT NULL"))
@@ -151,6 +152,19 @@ _LITERALS = ("10", "1.5KiB", " 2 kb", "3MB", "0.5GiB", "1T", "7tib", "x", "-1",
 query("parse_size", "SELECT literal, coalesce(bytes, -1)::BIGINT AS bytes FROM (VALUES ('10', 10), ('1.5KiB', 1536), (' 2 kb', 2000), ('3MB', 3000000), ('0.5GiB', 536870912), ('1T', 1000000000000), ('7tib', 7696581394432), ('x', NULL), ('-1', NULL), ('2 MiB', 2097152)) t(literal, bytes)")(
     lambda spark, sf_dir: spark.createDataFrame([(x,) for x in _LITERALS], "literal string").withColumn("bytes", F.coalesce(formatting.parse_size(F.col("literal")), F.lit(-1).cast("long")))
 )
+_DATES = ("2024-02-29", "1999-12-31", "2024-13-01", "2024-1-1", "x")
+query("parse_date", "SELECT literal, coalesce(seconds, -1)::BIGINT AS seconds FROM (VALUES ('2024-02-29', 1709164800), ('1999-12-31', 946598400), ('2024-13-01', NULL), ('2024-1-1', NULL), ('x', NULL)) t(literal, seconds)")(
+    lambda spark, sf_dir: spark.createDataFrame([(x,) for x in _DATES], "literal string").withColumn("seconds", F.coalesce(F.unix_seconds(formatting.parse_date(F.col("literal"))), F.lit(-1).cast("long")))
+)
+simple("format_duration", f"""WITH {FILES}, d AS (SELECT path, size * size AS ms, size * size // 1000 AS s FROM files)
+SELECT path, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) WHEN s > 0 THEN printf('%d.%03ds', s, ms % 1000) ELSE printf('%dms', ms) END AS shown FROM d""",
+       lambda f: f.select("path", formatting.format_duration(F.col("size") * F.col("size")).alias("shown")))
+simple("format_preview_size", f"WITH {FILES} SELECT path, CASE WHEN size >= 1048576 THEN printf('%.2f MB', size / 1048576.0::DOUBLE) WHEN size >= 1024 THEN printf('%.2f KB', size / 1024.0::DOUBLE) ELSE size || ' bytes' END AS shown FROM files",
+       lambda f: f.select("path", formatting.format_preview_size(F.col("size")).alias("shown")))
+simple("truncate_path", f"WITH {FILES} SELECT path, CASE WHEN length(path) <= 16 THEN path ELSE '...' || right(path, 13) END AS shown FROM files", lambda f: f.select("path", formatting.truncated_path(F.col("path"), 16).alias("shown")))
+simple("percentage", f"WITH {FILES} SELECT path, CASE WHEN size % 5 = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, size * 100.0::DOUBLE / (size % 5 * 700)) END AS share FROM files", lambda f: f.select("path", formatting.percentage(F.col("size"), F.col("size") % 5 * 700).alias("share")))
+simple("cache_key", f"WITH {FILES} SELECT path || ':' || size || ':' || mtime * 1000000000 || ':' || 0 AS key FROM files", lambda f: f.select(formatting.cache_key(F.col("path"), F.col("size"), F.unix_seconds("modified") * 1000000000, F.lit(None).cast("long")).alias("key")))
+query("image_thresholds", "SELECT algorithm, bits::INT AS bits FROM (VALUES ('phash', 10), ('dhash', 2), ('ahash', 5)) t(algorithm, bits)")(lambda spark, sf_dir: spark.createDataFrame(list(IMAGE_THRESHOLDS.items()), "algorithm string, bits int"))
 _SCALED = "CASE WHEN s >= 1099511627776 THEN printf('%.2f TB', s / 1099511627776.0::DOUBLE) WHEN s >= 1073741824 THEN printf('%.2f GB', s / 1073741824.0::DOUBLE) WHEN s >= 1048576 THEN printf('%.2f MB', s / 1048576.0::DOUBLE) WHEN s >= 1024 THEN printf('%.2f KB', s / 1024.0::DOUBLE) ELSE s || ' B' END"
 simple("format_size", f"WITH {FILES}, z AS (SELECT path, size * size * 7 AS s FROM files) SELECT path, {_SCALED} AS shown FROM z", lambda f: f.select("path", formatting.format_size(F.col("size") * F.col("size") * 7).alias("shown")))
 _CLEAN = r"trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'))"
@@ -165,42 +179,79 @@ sim AS (SELECT f.path, f.size, coalesce(bit_or(CASE WHEN v.is_on THEN CASE WHEN
 simple("simhash", f"WITH {_SIM} SELECT path, hash FROM sim", lambda f: fingerprinted(f).select("path", "hash"))
 _PAIRS = _SIM + ", u AS (SELECT DISTINCT hash FROM sim), p AS (SELECT a.hash AS hash_a, b.hash AS hash_b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM u a JOIN u b ON a.hash < b.hash WHERE bit_count(xor(a.hash, b.hash)) <= 3)"
 query("hamming_pairs", f"WITH {_PAIRS} SELECT hash_a, hash_b, distance FROM p")(lambda spark, sf_dir: similar.hamming_pairs(materialize(fingerprinted(files(spark, sf_dir)).select("hash"), "prints"), 3))
-query("similar_file_pairs", f"WITH {_SIM} SELECT a.path AS path_a, b.path AS path_b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM sim a JOIN sim b ON a.path < b.path WHERE bit_count(xor(a.hash, b.hash)) <= 3")(
-    lambda spark, sf_dir: similar.file_pairs(materialize(fingerprinted(files(spark, sf_dir)).select("path", "hash"), "prints"), 3)
+_LINKS = _SIM + """, c AS (SELECT hash, min(path) AS class_path, count(*) AS n FROM sim GROUP BY hash),
+l AS (SELECT a.hash, count(*) AS near_classes, sum(b.n)::BIGINT AS near_files FROM c a JOIN c b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)) <= 3 GROUP BY a.hash)"""
+query("similar_file_links", f"WITH {_LINKS} SELECT s.path, c.class_path, c.n - 1 AS copies, coalesce(l.near_classes, 0)::BIGINT AS near_classes, coalesce(l.near_files, 0)::BIGINT AS near_files FROM sim s JOIN c ON c.hash = s.hash LEFT JOIN l ON l.hash = s.hash")(
+    lambda spark, sf_dir: similar.file_links(materialize(fingerprinted(files(spark, sf_dir)).select("path", "hash"), "prints"), 3)
 )
 
 
+def walk_sql(most: int) -> str:
+    """SQL of the greedy walk over ``sim`` (path, hash): one distinct hash a step, in the order of
+    first paths; leaders (leader, path)."""
+    return f"""node AS (SELECT hash, min(path) AS first, count(*) AS n, row_number() OVER (ORDER BY min(path)) AS i FROM sim GROUP BY hash),
+near AS (SELECT a.i, any_value(a.n) AS n, list(b.i) AS near FROM node a JOIN node b ON bit_count(xor(a.hash, b.hash)) <= {most} GROUP BY a.i),
+walk(i, taken, led) AS (
+  SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT i, CASE WHEN ok THEN list_concat(taken, free) ELSE taken END, CASE WHEN ok THEN free ELSE [] END
+  FROM (SELECT i, taken, free, len(free) > 1 OR len(free) = 1 AND n > 1 AS ok
+        FROM (SELECT near.i, near.n, w.taken, CASE WHEN list_contains(w.taken, near.i) THEN [] ELSE list_filter(near.near, lambda x: NOT list_contains(w.taken, x)) END AS free FROM walk w JOIN near ON near.i = w.i + 1))),
+led AS (SELECT i, unnest(led) AS j FROM walk),
+leaders AS (SELECT a.first AS leader, s.path, a.hash AS leader_hash FROM led JOIN node a ON a.i = led.i JOIN node b ON b.i = led.j JOIN sim s ON s.hash = b.hash)"""
+
+
 def _clusters(spark, sf_dir):
     return similar.leader_groups(materialize(fingerprinted(files(spark, sf_dir)).select("path", "size", "hash"), "prints"), 3)
 
 
-@query("similar_documents")
+_LEADERS = f"WITH RECURSIVE {_SIM}, {walk_sql(3)}"
+_BOTH = _LEADERS + """, x AS (SELECT path, sha256(text) AS hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY path) AS r, count(*) OVER (PARTITION BY sha256(text)) AS n FROM files WHERE size > 0),
+covered AS (SELECT leader FROM leaders l LEFT JOIN (SELECT * FROM x WHERE n > 1) x ON x.path = l.path GROUP BY leader HAVING count(*) = count(x.hash) AND min(x.hash) = max(x.hash)),
+kept AS (SELECT * FROM leaders WHERE leader NOT IN (SELECT leader FROM covered)),
+g AS (SELECT hash AS group_id, false AS is_similar, path, r AS rank_in_group FROM x WHERE n > 1
+      UNION ALL SELECT rpad(printf('%016x', leader_hash), 64, '0'), true, path, row_number() OVER (PARTITION BY leader ORDER BY path) FROM kept)"""
+
+
+@query("similar_documents", f"{_LEADERS} SELECT leader, path FROM leaders")
 def _(spark, sf_dir):
     return _clusters(spark, sf_dir).select("leader", "path")
 
 
-@query("similar_minus_exact")
+@query("similar_minus_exact", f"{_BOTH} SELECT leader, path FROM kept")
 def _(spark, sf_dir):
     return similar.not_covered(_clusters(spark, sf_dir), exact.exact_members(files(spark, sf_dir)).select("hash", "path")).select("leader", "path")
 
 
-@query("all_groups")
+@query("all_groups", f"{_BOTH} SELECT group_id, is_similar, path, rank_in_group::INT AS rank_in_group, path LIKE '{REFERENCE}/%' AS is_reference FROM g")
 def _(spark, sf_dir):
     return find_duplicates(files(spark, sf_dir), ScanOptions(similar_documents=True, references=(REFERENCE,)))[0].select("group_id", "is_similar", "path", "rank_in_group", "is_reference")
 
 
+@query("kind_filter", f"{_BOTH} SELECT group_id, path FROM g WHERE is_similar")
+def _(spark, sf_dir):
+    return views.of_kind(find_duplicates(files(spark, sf_dir), ScanOptions(similar_documents=True))[0], "similar").select("group_id", "path")
+
+
 def vectors(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
 query("ahash", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > (list_sum(list_transform(embedding, lambda y: y::DOUBLE)) / len(embedding)) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", hashing.ahash(F.col("embedding")).alias("bits")))
 query("dhash", "SELECT vec_id, array_to_string(list_transform(range(1, len(embedding)), lambda i: CASE WHEN embedding[i] < embedding[i + 1] THEN '1' ELSE '0' END), '') AS bits FROM embeddings")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", hashing.dhash(F.col("embedding")).alias("bits")))
-query("phash")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", hashing.phash(F.col("embedding").cast("array<double>")).alias("bits")))
+_COSINES = "list_transform(range(len(e)), lambda k: list_sum(list_transform(range(len(e)), lambda x: cos(pi() * (2 * x + 1) * k / (2 * len(e))) * e[x + 1])))"
+_PHASH = f"bits AS (SELECT id, array_to_string(list_transform(c, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS bits FROM (SELECT id, c, list_aggregate(c, 'median') AS m FROM (SELECT id, {_COSINES} AS c FROM v)))"
+query("phash", f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), {_PHASH} SELECT id AS vec_id, bits FROM bits")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", hashing.phash(F.col("embedding").cast("array<double>")).alias("bits")))
 
 
-@query("similar_vectors")
+# Each vector stands here twice, as it is and with its first component a little larger.
+@query("similar_vectors", f"""WITH RECURSIVE v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') || s.s AS id, list_concat([embedding[1]::DOUBLE + s.d], embedding[2:]::DOUBLE[]) AS e FROM embeddings, (VALUES ('a', 0.0::DOUBLE), ('b', 0.01::DOUBLE)) s(s, d)),
+{_PHASH}, b AS (SELECT id AS path, ('0b' || bits[2:])::BIGINT AS low, bits[1] AS high FROM bits), sim AS (SELECT path, CASE WHEN high = '1' THEN low + (-9223372036854775808)::BIGINT ELSE low END AS hash FROM b), {walk_sql(IMAGE_THRESHOLDS['phash'])}
+SELECT leader, path FROM leaders""")
 def _(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"), hashing.bits_to_long(hashing.phash(F.col("embedding").cast("array<double>"))).alias("hash"))
+    twice = vectors(spark, sf_dir).withColumn("s", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.lit(0.0).alias("d")), F.struct(F.lit("b").alias("s"), F.lit(0.01).alias("d")))))
+    e = F.col("embedding").cast("array<double>")
+    moved = F.concat(F.array(F.get(e, F.lit(0)) + F.col("s.d")), F.slice(e, 2, 1 << 20))
+    rows = twice.select(F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.col("s.s")).alias("path"), hashing.bits_to_long(hashing.phash(moved)).alias("hash"))
     return similar.leader_groups(materialize(rows, "prints"), IMAGE_THRESHOLDS["phash"]).select("leader", "path")
 
 
@@ -238,7 +289,7 @@ def picking(name: str, sql: str, of: Callable[[DataFrame, DataFrame], DataFrame]
 
 
 selecting("preserves_copy", "SELECT group_id FROM members GROUP BY group_id HAVING bool_and(group_name = 'en')", lambda m: selection.without_survivor(m, m.filter("group_name = 'en'").select("path")))
-picking("after_delete", "SELECT group_id, path, row_number() OVER (PARTITION BY group_id ORDER BY rank_in_group)::INT AS rank_in_group FROM (SELECT * FROM members WHERE path NOT IN (SELECT path FROM picked) QUALIFY count(*) OVER (PARTITION BY group_id) > 1)", lambda m, p: selection.after_delete(m, p).select("group_id", "path", "rank_in_group"))
+selecting("after_delete", "SELECT group_id, path, row_number() OVER (PARTITION BY group_id ORDER BY rank_in_group)::INT AS rank_in_group FROM (SELECT * FROM members WHERE rank_in_group <> 2 QUALIFY count(*) OVER (PARTITION BY group_id) > 1)", lambda m: selection.after_delete(m, m.filter("rank_in_group = 2")).select("group_id", "path", "rank_in_group"))
 picking("filter_selected", "SELECT group_id, path FROM members WHERE path IN (SELECT path FROM picked)", lambda m, p: selection.filter_selected(m, p).select("group_id", "path"))
 picking("selected_summary", "SELECT count(DISTINCT group_id) AS duplicate_groups, count(*) AS duplicate_files, coalesce(sum(size), 0)::BIGINT AS reclaimable_space FROM members WHERE path IN (SELECT path FROM picked)", selection.selected_summary)
 picking("toggle_selection", "SELECT path FROM members WHERE NOT is_reference AND group_name = 'en' AND path NOT IN (SELECT path FROM picked) UNION SELECT path FROM picked WHERE path NOT IN (SELECT path FROM members WHERE group_name = 'en' AND NOT is_reference)", lambda m, p: selection.toggle(m, p, m.filter("group_name = 'en'")))
@@ -246,9 +297,8 @@ picking("apply_selection", "SELECT path FROM picked UNION SELECT path FROM membe
 
 # Views.
 selecting("search_groups", "SELECT group_id, path FROM members WHERE group_id IN (SELECT group_id FROM members WHERE regexp_matches(lower(path), 'src[12]/') OR regexp_matches(lower(group_name), 'src[12]/'))", lambda m: views.search(m, "SRC[12]/").select("group_id", "path"))
-selecting("kind_filter", "SELECT group_id, path FROM members WHERE NOT is_similar", lambda m: views.of_kind(m, "exact").select("group_id", "path"))
 for _by, _key, _down in (("size", "size", True), ("path", "lower(first_path)", False), ("date", "d", True), ("count", "files", True)):
-    selecting(f"sort_{_by}", f"SELECT group_id, size, files, first_path FROM (SELECT group_id, arg_min(size, rank_in_group) AS size, count(*) AS files, arg_min(path, rank_in_group) AS first_path, arg_min(mtime, rank_in_group) AS d FROM members GROUP BY group_id) ORDER BY {_key} {'DESC' if _down else 'ASC'}, group_id",
+    selecting(f"sort_{_by}", f"SELECT row_number() OVER (ORDER BY {_key} {'DESC' if _down else 'ASC'}, group_id)::INT AS position, group_id, size, files, first_path FROM (SELECT group_id, arg_min(size, rank_in_group) AS size, count(*) AS files, arg_min(path, rank_in_group) AS first_path, arg_min(mtime, rank_in_group) AS d FROM members GROUP BY group_id) ORDER BY {_key} {'DESC' if _down else 'ASC'}, group_id",
               lambda m, by=_by, down=_down: views.sorted_groups(m, by, down))
 selecting("folders", "SELECT DISTINCT group_id, regexp_replace(path, '/[^/]*$', '') AS folder FROM members", views.folders)
 selecting("group_names", "SELECT DISTINCT group_id, group_name FROM members WHERE group_name IS NOT NULL", views.group_names)
@@ -263,13 +313,16 @@ selecting("session_groups", """SELECT group_id, '{"group_id":"' || group_id || '
 selecting("script_lines", "SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN max(is_reference::INT) OVER (PARTITION BY group_id) = 1 AND NOT is_reference OR max(is_reference::INT) OVER (PARTITION BY group_id) = 0 AND rank_in_group > 1 THEN 'echo rm -f -- ''' || path || '''' ELSE '# keep ''' || path || '''' END AS line FROM members",
           lambda m: selection.script_lines(selection.deletion_plan(m)))
 
-# Cache.
-_CACHE = FILES + """, cache AS (SELECT path, size + (doc_id % 7 = 0)::BIGINT AS size, mtime * 1000000000 AS mtime_ns, NULL::BIGINT AS inode, md5(text) AS prehash, sha256(text) AS fullhash, mtime AS created_at, doc_id FROM files WHERE doc_id % 3 <> 0)"""
+selecting("script_lines_powershell", """SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN rank_in_group > 1 THEN 'Remove-Item -LiteralPath ' ELSE '# keep ' END || chr(39) || path || chr(39) AS line FROM members""",
+          lambda m: selection.script_lines(selection.deletion_plan(m.withColumn("is_reference", F.lit(False))), "powershell", True))
+
+# Cache: every file has a row; those of one in seven are stale, as the file had another size.
+_CACHE = FILES + """, cache AS (SELECT path, size + (doc_id % 7 = 0)::BIGINT AS size, mtime * 1000000000 AS mtime_ns, NULL::BIGINT AS inode, md5(text) AS prehash, sha256(text) AS fullhash, mtime AS created_at, doc_id FROM files)"""
 
 
 def _cached(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"doc(\d+)\.", 1).cast("long")).withColumn("mtime_ns", F.unix_timestamp("modified") * 1000000000)
-    old = f.filter(F.col("doc_id") % 3 != 0).select("path", (F.col("size") + (F.col("doc_id") % 7 == 0).cast("long")).alias("size"), "mtime_ns", F.lit(None).cast("long").alias("inode"), F.md5("content").alias("prehash"), hashing.fullhash(F.col("content")).alias("fullhash"),
+    old = f.select("path", (F.col("size") + (F.col("doc_id") % 7 == 0).cast("long")).alias("size"), "mtime_ns", F.lit(None).cast("long").alias("inode"), F.md5("content").alias("prehash"), hashing.fullhash(F.col("content")).alias("fullhash"),
                  F.lit(None).cast("long").alias("perceptual_hash"), F.lit(None).cast("long").alias("document_fingerprint"), F.lit(None).cast("string").alias("algo"), F.unix_timestamp("modified").alias("created_at"))
     return f, old
 
@@ -277,12 +330,28 @@ def _cached(spark, sf_dir):
 query("cache_lookup", f"WITH {_CACHE} SELECT f.path, coalesce(c.prehash, sha256(f.content[1:4096])) AS prehash, c.prehash IS NOT NULL AS hit FROM files f LEFT JOIN cache c ON c.path = f.path AND c.size = f.size AND c.mtime_ns = f.mtime * 1000000000")(
     lambda spark, sf_dir: (lambda f, old: cache.looked_up(f, old, "prehash").select("path", F.coalesce("prehash", hashing.prehash(F.col("content"))).alias("prehash"), "hit"))(*_cached(spark, sf_dir))
 )
-query("cache_upsert", f"""WITH {_CACHE}, new AS (SELECT path, size, mtime * 1000000000 AS mtime_ns, doc_id FROM files WHERE doc_id % 2 = 0)
-SELECT path, size, mtime_ns, prehash, fullhash, -1::BIGINT AS document_fingerprint, created_at FROM cache WHERE doc_id % 2 <> 0
-UNION ALL SELECT n.path, n.size, n.mtime_ns, CASE WHEN c.size = n.size THEN c.prehash ELSE '' END, CASE WHEN c.size = n.size THEN c.fullhash ELSE '' END, n.doc_id, 2000000000 FROM new n LEFT JOIN cache c ON c.path = n.path""")(
-    lambda spark, sf_dir: (lambda f, old: cache.upsert(old, f.filter(F.col("doc_id") % 2 == 0).select("path", "size", "mtime_ns", F.lit(None).cast("long").alias("inode"), F.lit(2000000000).cast("long").alias("created_at"), F.col("doc_id").alias("document_fingerprint")), "document_fingerprint")
-                           .select("path", "size", "mtime_ns", F.coalesce("prehash", F.lit("")).alias("prehash"), F.coalesce("fullhash", F.lit("")).alias("fullhash"), F.coalesce("document_fingerprint", F.lit(-1).cast("long")).alias("document_fingerprint"), "created_at"))(*_cached(spark, sf_dir))
+query("cache_upsert", f"""WITH {_CACHE}
+SELECT f.path, f.size, f.mtime * 1000000000 AS mtime_ns, CASE WHEN c.size = f.size THEN c.prehash ELSE '' END AS prehash, CASE WHEN c.size = f.size THEN c.fullhash ELSE '' END AS fullhash, f.doc_id AS document_fingerprint, 2000000000::BIGINT AS created_at
+FROM files f LEFT JOIN cache c ON c.path = f.path""")(
+    lambda spark, sf_dir: (lambda f, old: cache.upsert(old, f.select("path", "size", "mtime_ns", F.lit(None).cast("long").alias("inode"), F.lit(2000000000).cast("long").alias("created_at"), F.col("doc_id").alias("document_fingerprint")), "document_fingerprint")
+                           .select("path", "size", "mtime_ns", F.coalesce("prehash", F.lit("")).alias("prehash"), F.coalesce("fullhash", F.lit("")).alias("fullhash"), "document_fingerprint", "created_at"))(*_cached(spark, sf_dir))
+)
+
+
+def _scanned(spark, sf_dir):
+    """A scan of all files with a cache that knows the hashes of six in seven."""
+    f, old = _cached(spark, sf_dir)
+    right = old.drop("prehash", "fullhash").join(f.select("path", hashing.prehash(F.col("content")).alias("prehash"), hashing.fullhash(F.col("content")).alias("fullhash")), "path").select(*old.columns)
+    return scan_rows(f, ScanOptions(strict=True), cache=materialize(right, "cache"), now=2000000000)
+
+
+_SCANNED = EXACT + ", g AS (SELECT count(*) - 1 AS d, (sum(size) - min(size)) AS w FROM members GROUP BY group_id), t AS (SELECT count(*) AS total_files, sum(size)::BIGINT AS total_size, count(*) FILTER (doc_id % 7 <> 0) AS hits FROM files WHERE size > 0)"
+query("cached_scan", f"""WITH {_SCANNED} SELECT t.total_files, t.total_size, count(*) AS duplicate_groups, sum(d)::BIGINT AS duplicate_files, sum(w)::BIGINT AS reclaimable_space, sum(w) * 100.0::DOUBLE / t.total_size AS wasted_percentage,
+  t.hits AS cache_prehash_hits, t.hits AS cache_fullhash_hits FROM t CROSS JOIN g GROUP BY t.total_files, t.total_size, t.hits""")(lambda spark, sf_dir: _scanned(spark, sf_dir).summary)
+query("cached_scan_rows", f"WITH {FILES} SELECT path, size, sha256(content[1:4096]) AS prehash, sha256(content) AS fullhash, CASE WHEN doc_id % 7 = 0 THEN 2000000000 ELSE mtime END::BIGINT AS created_at FROM files WHERE size > 0")(
+    lambda spark, sf_dir: _scanned(spark, sf_dir).cache.select("path", "size", "prehash", "fullhash", "created_at")
 )
+query("strict_scan", f"WITH {EXACT} SELECT group_id, path, rank_in_group::INT AS rank_in_group, group_name FROM members")(lambda spark, sf_dir: scan_rows(files(spark, sf_dir), ScanOptions(strict=True)).details().select("group_id", "path", "rank_in_group", "group_name"))
 query("cache_prune_stale", f"WITH {_CACHE} SELECT path, size FROM cache WHERE path NOT LIKE '/src1/%'")(lambda spark, sf_dir: (lambda f, old: cache.prune_stale(old, f.filter("root <> '/src1'")).select("path", "size"))(*_cached(spark, sf_dir)))
 query("cache_prune_age", f"WITH {_CACHE} SELECT path, created_at FROM cache WHERE created_at >= 1704078000 - 3600")(lambda spark, sf_dir: (lambda f, old: cache.prune_by_age(old, 1704078000, 3600).select("path", "created_at"))(*_cached(spark, sf_dir)))
 

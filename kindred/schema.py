@@ -4,19 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-FILE_ENTRY = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("size", T.LongType(), False),
-    T.StructField("modified", T.TimestampType(), False),
-    T.StructField("is_symlink", T.BooleanType(), False),
-    T.StructField("is_hardlink", T.BooleanType(), False),
-    T.StructField("group_name", T.StringType()),
-    T.StructField("perceptual_hash", T.LongType()),
-    T.StructField("document_fingerprint", T.LongType()),
-])
-
 # Extensions by category.
 CATEGORIES = {
     "images": ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "svg"),
@@ -53,7 +40,9 @@ class ScanOptions:
     skip_hidden: bool = False
     follow_symlinks: bool = False
     references: tuple[str, ...] = ()
+    #: Names by root, and the ignore patterns that a root brings along; ``ignore`` comes after them.
     named_roots: dict[str, str] = field(default_factory=dict)
+    root_ignore: dict[str, tuple[str, ...]] = field(default_factory=dict)
     paranoid: bool = False
     similar_documents: bool = False
     document_threshold: int = DOCUMENT_THRESHOLD
@@ -61,4 +50,5 @@ class ScanOptions:
     image_algorithm: str = "phash"
     image_threshold: int | None = None
     min_group_size: int = MIN_GROUP_SIZE
+    #: Whether a file that cannot be read ends the scan; else it is listed and left out.
     strict: bool = False

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 from collections.abc import Mapping
+from dataclasses import fields
 from functools import reduce
 from typing import Any
 
+from kindred.functions.formatting import UNITS
+from kindred.schema import ScanOptions
+from kindred.sources.files import parse_named_root
+
 PREFIX = "KINDRED_"
 
 
@@ -51,6 +57,36 @@ def load(defaults: dict, path: str | None = None, profile: str | None = None, cl
     return reduce(merged, layers, defaults)
 
 
+def bytes_of(text: str | int) -> int:
+    """The bytes of a size literal."""
+    if isinstance(text, int):
+        return text
+    found = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*", text)
+    if not found or found[2].upper() not in UNITS:
+        raise ValueError(f"no size: {text!r}")
+    return int(float(found[1]) * UNITS[found[2].upper()])
+
+
+def options(config: Mapping) -> ScanOptions:
+    """The scan options of a loaded configuration. Sizes may be literals, lists stand for tuples, and
+    named roots are NAME=PATH or a table of paths by name; a key that no option has is an error that
+    names the nearest one."""
+    known, out = [f.name for f in fields(ScanOptions)], {}
+    for key, value in config.items():
+        if key not in known:
+            near = suggestion(key, known)
+            raise ValueError(f"unknown key {key!r}" + (f", did you mean {near!r}?" if near else ""))
+        if key in ("min_size", "max_size"):
+            value = bytes_of(value)
+        elif key == "named_roots":
+            pairs = value.items() if isinstance(value, Mapping) else map(parse_named_root, value)
+            value = {path: name for name, path in pairs}
+        elif isinstance(value, list):
+            value = tuple(value)
+        out[key] = value
+    return ScanOptions(**out)
+
+
 def distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.functions.hashing import by_path
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -53,6 +55,18 @@ def extract(name: str, content: bytes) -> str:
     raise UnsupportedFormat(kind)
 
 
+def read(path):
+    """A column of paths as struct of their documents' text and an error; a file that holds no text
+    that can be had has neither."""
+    def of(path, f):
+        try:
+            return extract(path, f.read())
+        except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+            return None
+
+    return by_path(of)(path)
+
+
 @F.pandas_udf(T.StringType())
 def extracted(names: pd.Series, contents: pd.Series) -> pd.Series:
     """The text, or null where there is none to be had."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import stat
+from collections.abc import Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kindred.operators.dedupe import distinct_paths
+
 WALKED = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("canonical_path", T.StringType()), T.StructField("root", T.StringType()), T.StructField("size", T.LongType()),
     T.StructField("modified", T.TimestampType()), T.StructField("mtime_ns", T.LongType()), T.StructField("is_symlink", T.BooleanType()), T.StructField("is_hardlink", T.BooleanType()),
-    T.StructField("dev", T.LongType()), T.StructField("inode", T.LongType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType()),
+    T.StructField("dev", T.LongType()), T.StructField("inode", T.LongType()), T.StructField("error", T.StringType()),
 ])
+#: Folders that the driver lists at most, and tasks that it then has enough of.
+LISTED, TASKS = 2000, 256
 
 
 class _Tree(InputPartition):
@@ -28,18 +33,31 @@ class _Walk(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [r for r in options.get("roots", "").split("\n") if r]
         self.follow = str(options.get("followSymlinks", "false")).lower() == "true"
-        self.content = str(options.get("content", "true")).lower() == "true"
 
     def partitions(self):
-        """One for the files right in a root, and one for each folder there."""
-        out = []
-        for root in self.roots:
-            out.append(_Tree(root, root, False))
-            try:
-                out += [_Tree(root, e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
-            except OSError:
-                pass
-        return out
+        """Folders are opened level by level until there are enough for all tasks: one task for the
+        files right in an opened folder, one for the whole of each that was left closed."""
+        opened, closed, listed = [], [(r, r) for r in self.roots], 0
+        while closed and len(closed) < TASKS and listed < LISTED:
+            below = []
+            for root, folder in closed:
+                listed += 1
+                opened.append(_Tree(root, folder, False))
+                try:
+                    below += [(root, e.path) for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                except OSError:
+                    pass
+                if self.follow:
+                    opened += self._linked(root, folder)
+            closed = below
+        return opened + [_Tree(root, folder, True) for root, folder in closed]
+
+    def _linked(self, root: str, folder: str) -> Iterable[_Tree]:
+        """Links to folders are whole tasks, as they may lead round in circles."""
+        try:
+            return [_Tree(root, e.path, True) for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_symlink() and e.is_dir()]
+        except OSError:
+            return []
 
     def read(self, tree):
         todo, seen = [tree.start], set()
@@ -52,7 +70,7 @@ class _Walk(DataSourceReader):
                 seen.add(real)
                 entries = sorted(os.scandir(folder), key=lambda e: e.name)
             except OSError as e:
-                yield (folder, None, tree.root, None, None, None, None, None, None, None, None, str(e))
+                yield (folder, None, tree.root, None, None, None, None, None, None, None, str(e))
                 continue
             below = []
             for e in entries:
@@ -66,19 +84,15 @@ class _Walk(DataSourceReader):
                         continue
                     s = e.stat(follow_symlinks=True)
                     if stat.S_ISREG(s.st_mode):
-                        data = None
-                        if self.content and s.st_size:
-                            with open(e.path, "rb") as f:
-                                data = f.read()
-                        yield (e.path, os.path.realpath(e.path), tree.root, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), s.st_mtime_ns, link, False, s.st_dev, s.st_ino, data, None)
+                        yield (e.path, os.path.realpath(e.path), tree.root, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), s.st_mtime_ns, link, s.st_nlink > 1, s.st_dev, s.st_ino, None)
                 except OSError as x:
-                    yield (e.path, None, tree.root, None, None, None, None, None, None, None, None, str(x))
+                    yield (e.path, None, tree.root, None, None, None, None, None, None, None, str(x))
             todo += reversed(below)
 
 
 class FileWalk(DataSource):
-    """``fswalk``: regular files below roots that all executors can read, hidden ones too. Errors
-    are rows. Options: roots (one a line), followSymlinks, content."""
+    """``fswalk``: regular files below roots that all executors can read, hidden ones too, without
+    their content. Errors are rows. Options: roots (one a line), followSymlinks."""
 
     @classmethod
     def name(cls):
@@ -101,14 +115,28 @@ def normalized_roots(roots: list[str]) -> list[str]:
     return out
 
 
-def walk(spark: SparkSession, roots: list[str], follow_symlinks: bool = False, content: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, errors) below the roots, each file once."""
-    from kindred.operators.dedupe import distinct_paths
+def root_ignores(roots: list[str]) -> dict[str, tuple[str, ...]]:
+    """The lines of each root's .gitignore."""
+    out = {}
+    for r in roots:
+        try:
+            with open(os.path.join(r, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                out[r] = tuple(f.read().splitlines())
+        except OSError:
+            continue
+    return out
+
 
+def walk(spark: SparkSession, roots: list[str], follow_symlinks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, errors) below the roots, each file once by its real path. Rows tell about files and
+    do not hold them; what needs their content reads it by path. ``is_hardlink``: the file has
+    other names too."""
     spark.dataSource.register(FileWalk)
-    rows = spark.read.format("fswalk").option("roots", "\n".join(normalized_roots(roots))).option("followSymlinks", follow_symlinks).option("content", content).load()
-    files = distinct_paths(rows.filter("error IS NULL"), "canonical_path")
-    return files.withColumn("group_name", F.lit(None).cast("string")).drop("error"), rows.filter("error IS NOT NULL").select("path", "error")
+    rows = spark.read.format("fswalk").option("roots", "\n".join(normalized_roots(roots))).option("followSymlinks", follow_symlinks).load()
+    files = rows.filter("error IS NULL").drop("error")
+    if follow_symlinks:  # else no two paths lead to one file
+        files = distinct_paths(files, "canonical_path")
+    return files.withColumn("group_name", F.lit(None).cast("string")), rows.filter("error IS NOT NULL").select("path", "error")
 
 
 def from_table(df: DataFrame, path: Column, text: Column, modified: Column, group_name: Column | None = None, root: Column | None = None) -> DataFrame:

@@ -5,19 +5,22 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.formatting import rfc3339
+from kindred.operators.ranking import numbered
 from kindred.operators.selection import script_lines
+from kindred.schema import CATEGORIES, EXIT_CODES
+from kindred.sources.images import thumbnail
 
 
 def csv_rows(members: DataFrame) -> DataFrame:
     """One row per file: group_id (a number from 1, by hash), hash, path, size of the group's first
     file, modified. Groups are numbered on their own, one row each."""
     heads = members.groupBy("group_id").agg(F.min_by("size", "rank_in_group").alias("size"))
-    numbered = heads.withColumn("_n", F.row_number().over(Window.orderBy("group_id")))
-    return members.drop("size").join(numbered, "group_id").select(F.col("_n").cast("long").alias("group_id"), F.col("group_id").alias("hash"), "path", "size", rfc3339(F.col("modified")).alias("modified"))
+    heads = heads.join(numbered(members, "group_id", "_n"), "group_id")
+    return members.drop("size").join(heads, "group_id").select(F.col("_n").cast("long").alias("group_id"), F.col("group_id").alias("hash"), "path", "size", rfc3339(F.col("modified")).alias("modified"))
 
 
 def write_csv(members: DataFrame, path: str) -> None:
@@ -39,19 +42,57 @@ def write_json(members: DataFrame, summary: DataFrame, path: str, config: dict,
         f.write('],"summary":' + json.dumps(summary.first().asDict()) + "}")
 
 
-def write_html(members: DataFrame, summary: DataFrame, path: str, title: str = "Duplicate files") -> None:
-    """A page with the summary and a table for each group."""
+def summary_lines(summary: dict) -> list[str]:
+    """The summary for people: sizes and counts, and what the cache saved, where it did."""
+    lines = [
+        "Scan Summary", f"  {'Total files:':<18} {summary['total_files']}", f"  {'Total size:':<18} {shown_size(summary['total_size'])}",
+        f"  {'Duplicates found:':<18} {summary['duplicate_files']} (in {summary['duplicate_groups']} groups)", f"  {'Reclaimable:':<18} {shown_size(summary['reclaimable_space'])}",
+    ]
+    hits = [(label, summary[k]) for label, k in (("Prehash hits:", "cache_prehash_hits"), ("Full hash hits:", "cache_fullhash_hits")) if summary.get(k)]
+    return lines + ["Cache Effectiveness"] * bool(hits) + [f"  {label:<18} {n}" for label, n in hits]
+
+
+def shown_size(size: int) -> str:
+    for power, name in ((40, "TB"), (30, "GB"), (20, "MB"), (10, "KB")):
+        if size >= 1 << power:
+            return f"{size / (1 << power):.2f} {name}"
+    return f"{size} B"
+
+
+#: Bytes of an image that is made a thumbnail at most.
+THUMBNAIL_BYTES = 64 << 20
+
+
+def _picture(path: str, embed: bool, most: int) -> str:
+    """A thumbnail in the page, or a link to the image; nothing where it cannot be decoded or read."""
+    if not embed:
+        return f"<img loading=lazy height={most} src=\"{html.escape('file:///' + path.replace(chr(92), '/').lstrip('/'))}\">"
+    try:
+        with open(path, "rb") as f:
+            uri = thumbnail(f.read(THUMBNAIL_BYTES), most)
+    except OSError:
+        return ""
+    return f'<img src="{uri}">' if uri else ""
+
+
+def write_html(members: DataFrame, summary: DataFrame, path: str, title: str = "Duplicate files", phases: dict[str, str] | None = None, thumbnails: bool = False, embed: bool = True, pixels: int = 100) -> None:
+    """A page with a card for each figure of the summary, a table of phases and their durations and
+    a table for each group; references are marked, images shown if asked for."""
+    extensions = tuple("." + x for x in CATEGORIES["images"])
     with open(path, "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><dl>")
+        f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><style>.card{{display:inline-block;margin:4px;padding:8px;border:1px solid #ccc}}</style><h1>{html.escape(title)}</h1>")
         for k, v in summary.first().asDict().items():
-            f.write(f"<dt>{html.escape(k)}</dt><dd>{html.escape(str(v))}</dd>")
-        f.write("</dl>")
+            f.write(f"<div class=card><b>{html.escape(k.replace('_', ' '))}</b><br>{html.escape(shown_size(v) if k in ('total_size', 'reclaimable_space') else str(v))}</div>")
+        if phases:
+            f.write("<table>" + "".join(f"<tr><td>{html.escape(k)}</td><td>{html.escape(v)}</td></tr>" for k, v in phases.items()) + "</table>")
         last = None
         for r in members.orderBy("group_id", "rank_in_group").toLocalIterator():
             if r["group_id"] != last:
-                f.write(("</table>" if last else "") + f"<h2><code>{r['group_id']}</code></h2><table>")
+                f.write(("</table>" if last else "") + f"<h2><code>{html.escape(r['group_id'])}</code> {shown_size(r['size'])}</h2><table>")
                 last = r["group_id"]
-            f.write(f"<tr><td>{html.escape(r['path'])}</td><td>{r['size']}</td></tr>")
+            image = _picture(r["path"], embed, pixels) if thumbnails and r["path"].lower().endswith(extensions) else ""
+            mark = " (reference)" if "is_reference" in members.columns and r["is_reference"] else ""
+            f.write(f"<tr><td>{image}{html.escape(r['path'])}{mark}</td><td>{r['size']}</td></tr>")
         f.write("</table>" if last else "")
 
 
@@ -63,5 +104,15 @@ def write_script(plan: DataFrame, path: str, kind: str = "posix", confirm: bool
             f.write(r["line"] + "\n")
 
 
+def outcome(errors: int, groups: int, interrupted: bool = False) -> str:
+    return "interrupted" if interrupted else "partial" if errors else "success" if groups else "no_duplicates"
+
+
 def exit_code(errors: int, groups: int, interrupted: bool = False) -> int:
-    return 130 if interrupted else 3 if errors else 0 if groups else 2
+    return EXIT_CODES[outcome(errors, groups, interrupted)][0]
+
+
+def error_json(message: str, kind: str = "error") -> str:
+    """An error for programs: code, exit code, message and whether the scan was interrupted."""
+    number, code = EXIT_CODES[kind]
+    return json.dumps({"code": code, "exit_code": number, "message": message, "interrupted": kind == "interrupted"})
