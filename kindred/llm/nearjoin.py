@@ -231,6 +231,17 @@ def _spread(blocks: Column, node: str) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(node), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
 
 
+def _once_each(members: DataFrame) -> DataFrame:
+    """Rows (uid, band, bucket, size) without the buckets whose members are just those of a bucket of
+    an earlier band, where all their pairs are compared. Near copies share most of their bands, so
+    this spares most signatures the way. Sets are told apart by two sums of 64-bit hashes, size and
+    least member."""
+    sums = [F.bit_xor(F.xxhash64("uid", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)]
+    sets = members.groupBy("bucket").agg(F.first("size").alias("_size"), F.first("band").alias("band"), F.min("uid").alias("_least"), *sums)
+    kept = sets.groupBy("_size", "_least", "_x1", "_x2").agg(F.min(F.struct("band", "bucket")).alias("_kept")).select("_kept.bucket")
+    return materialize(members.join(kept, "bucket", "left_semi"), "members")
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """From (uid, sig) the component (node, label) of every node that has a surviving pair."""
     def banded(batches):
@@ -239,27 +250,28 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(band), pa.array(band_keys(sig).ravel())], names=["uid", "band", "bucket"])
 
-    def members(of: DataFrame) -> DataFrame:
-        return bands.join(of, bands["bucket"] == of["_bucket"]).drop("_bucket").join(classes.select("uid", "sig"), "uid")
+    def signed(of: DataFrame) -> DataFrame:
+        return of.join(classes.select("uid", "sig"), "uid")
 
     def linked(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(lambda b: linked_in(b, threshold), "a long, b long")
 
     bands = classes.select("uid", "sig").mapInArrow(banded, "uid long, band int, bucket long")
-    shared = materialize(bands.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    shared = bands.groupBy(F.col("bucket").alias("_bucket")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = _once_each(materialize(bands.join(shared, bands["bucket"] == shared["_bucket"]).drop("_bucket"), "members"))
     cell = ["bucket", "low", "high"]
     blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("uid", "band"), blocks).cast("int")
-    rows = members(shared).withColumn("once", F.col("size") <= BUCKET_BLOCK)  # in a block of a hot bucket every band's pairs help to join the blocks
+    rows = signed(members).withColumn("once", F.col("size") <= BUCKET_BLOCK)  # in a block of a hot bucket every band's pairs help to join the blocks
     inside = materialize(linked(_dealt(rows, own, F.array("block"), cell).drop("size")), "candidates")
     groups = components(inside)
-    hot = shared.filter(F.col("size") > BUCKET_BLOCK)
+    hot = members.filter(F.col("size") > BUCKET_BLOCK)
     if hot.isEmpty():
         return groups
     # In each hot bucket the members of the commonest component need no more comparisons among each
     # other; the others are compared with them and with each other.
     groups = materialize(groups, "groups")
-    marked = members(hot).drop("size").join(groups, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).drop("node")
+    marked = signed(hot.drop("size")).join(groups, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "uid")).drop("node")
     counts = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(F.col("bucket").alias("_bucket")).agg(F.max_by("label", F.struct("n", "label")).alias("_main"), F.max("n").alias("_most"), F.sum("n").alias("_all")).filter("_all > _most")
     rows = marked.join(totals, marked["bucket"] == totals["_bucket"]).withColumn("_is_main", F.col("label") == F.col("_main"))

@@ -103,6 +103,12 @@ def test_hot_bucket_needs_few_rows(spark, monkeypatch):
     assert dealt[0].count() + dealt[1].count() <= 2 * 400 * nearjoin.BANDS
 
 
+def test_equal_buckets_are_compared_once(spark):
+    rows = [(u, b, 100 * b + g, 3) for b in range(4) for g, us in enumerate([(1, 2, 3), (4, 5, 6) if b % 2 else (4, 5, 7)]) for u in us]
+    kept = nearjoin._once_each(spark.createDataFrame(rows, "uid long, band int, bucket long, size long")).collect()
+    assert {r["bucket"] for r in kept} == {0, 1, 101} and len(kept) == 9
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     least = nearjoin.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and 0 < least[0] < 0.8 * 32 and least[-1] > 0.5 * 160
