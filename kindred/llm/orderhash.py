@@ -27,8 +27,8 @@ RUN_WORDS, ENTRIES = 3, 64
 HASH_BITS, POS_BITS = 32, 31
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows between two of the places at which the table is cut for the walk to the next document;
-#: smaller tables are cut into a few parts a core, but not below the least.
-BUCKET_ROWS, LEAST_ROWS = 1 << 18, 4000
+#: beyond so many places there are more rows between them, up to the most.
+LEAST_ROWS, PLACES, BUCKET_ROWS = 4000, 10_000, 1 << 17
 
 
 def _high(x: Column) -> Column:
@@ -51,7 +51,7 @@ def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run
     text with a single run has it in every entry. Two runs whose 32 bits of hash agree count as
     equal, which is one chance in four thousand millions for each pair."""
     cell_bits = entries.bit_length() - 1
-    words, runs, numbered, least, cells = (f"_{out}_{x}" for x in ("words", "runs", "numbered", "least", "cells"))
+    words, runs, numbered, least, cells, firsts, pairs = (f"_{out}_{x}" for x in ("words", "runs", "numbered", "least", "cells", "firsts", "pairs"))
 
     def at(name: str, i: Column) -> Column:
         return F.get(F.col(name), i)
@@ -68,18 +68,20 @@ def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run
     cell = lambda x: F.shiftright(x, POS_BITS + HASH_BITS - cell_bits).cast("int")
 
     def two_least(i: Column) -> Column:
-        """The places in ``least`` of the two runs that come first for entry i, as an array."""
+        """The two runs that come first for entry i."""
         rank = lambda c: F.when(c == i, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(i, c), 24) + 1)
         by_rank = F.transform(F.col(cells), lambda c, j: F.shiftleft(rank(c), 16).bitwiseOR(j.cast("long")))
-        return F.transform(F.slice(F.sort_array(by_rank), 1, 2), lambda r: r.bitwiseAND(F.lit((1 << 16) - 1)).cast("int"))
-
-    def signature(i: Column) -> Column:
-        first = F.array_position(F.col(cells), i).cast("int") - 1
-        whole = (first >= 0) & F.coalesce(at(cells, first + 1) == i, F.lit(False))
-        places = F.when(whole, F.array(first, first + 1)).otherwise(two_least(i))
-        pair = F.transform(places, lambda j: at(least, j))
-        in_order = F.array_sort(F.transform(pair, lambda x: F.struct(_pos(x).alias("p"), _high(x).alias("h"))))
-        h = F.xxhash64(F.transform(in_order, lambda x: x["h"]))
+        return F.transform(F.slice(F.sort_array(by_rank), 1, 2), lambda r: at(least, r.bitwiseAND(F.lit((1 << 16) - 1)).cast("int")))
+
+    def pair(first: Column, i: Column) -> Column:
+        """``first``: where the entry's own cell begins, from 1; 0 if it has no run."""
+        whole = (first > 0) & F.coalesce(at(cells, first) == i, F.lit(False))
+        return F.when(whole, F.array(at(least, first - 1), at(least, first))).otherwise(two_least(i))
+
+    def signature(p: Column, i: Column) -> Column:
+        """A null second run is left out of the hash."""
+        a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        h = F.when(_pos(b) < _pos(a), F.xxhash64(_high(b), _high(a))).otherwise(F.xxhash64(_high(a), _high(b)))
         return F.shiftleft(i.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
     return (
@@ -88,8 +90,10 @@ def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run
         .withColumn(numbered, F.sort_array(F.transform(F.col(runs), lambda x, i: _pack(F.xxhash64(_high(x), occurrence(x, i).cast("int")), _pos(x)))))
         .withColumn(least, F.filter(F.col(numbered), lambda x, i: ~F.coalesce(cell(at(numbered, i - 2)) == cell(x), F.lit(False))))
         .withColumn(cells, F.transform(F.col(least), cell))
-        .withColumn(out, F.when(F.size(least) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), signature)))
-        .drop(words, runs, numbered, least, cells)
+        .withColumn(firsts, F.when(F.size(least) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda i: F.array_position(F.col(cells), i).cast("int"))))
+        .withColumn(pairs, F.transform(F.col(firsts), pair))
+        .withColumn(out, F.transform(F.col(pairs), signature))
+        .drop(words, runs, numbered, least, cells, firsts, pairs)
     )
 
 
@@ -119,8 +123,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFram
     place = F.struct(k.alias("k"), F.col(key).isNull().cast("int").alias("z"), F.xxhash64(tie).alias("h"))
     keys = df.select(place.alias("_o"))
     total = keys.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, total // BUCKET_ROWS, min(total // LEAST_ROWS, 4 * cores))
+    buckets = max(1, total // BUCKET_ROWS, min(total // LEAST_ROWS, PLACES))
     found = keys.repartitionByRange(buckets, "_o").groupBy(F.spark_partition_id()).agg(F.min("_o").alias("o")).collect()  # a row for each bucket
     cuts = sorted({tuple(r["o"]) for r in found}) or [(0, 0, 0)]
     # Read from a constant text, the cuts are one literal of the plan however many they are.

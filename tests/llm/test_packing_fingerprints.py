@@ -180,7 +180,7 @@ def brute_fingerprints(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1 << 18, 7])
+@pytest.mark.parametrize("bucket", [1 << 17, 7])
 def test_fingerprints_are_what_brute_force_gives(spark, monkeypatch, bucket):
     monkeypatch.setattr(orderhash, "BUCKET_ROWS", bucket)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
