@@ -32,7 +32,7 @@ from kindred.llm.common import gapless_rank, materialize, ship
 
 CAPACITY, GROUPS, LARGE = 4096, 256, 3
 #: Pieces of one length that one task may rank together.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 10
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
 WORDS_KEPT, PARTS_KEPT, WORD_CHARS = 250_000, 350_000, 40
 CHARS_AT_ONCE = 300_000
