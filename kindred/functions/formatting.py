@@ -40,7 +40,7 @@ def moment(text: str) -> Column:
 def _scaled(size: Column, units: list[tuple[int, str]], plain: str) -> Column:
     out = F.concat(size.cast("string"), F.lit(plain))
     for power, name in units:
-        out = F.when(size >= 2**power, F.format_string(f"%.2f {name}", size / F.lit(float(2**power)))).otherwise(out)
+        out = F.when(size >= 2**power, F.format_string(f"%.2f {name}", F.bround(size / F.lit(float(2**power)), 2))).otherwise(out)  # halves to even
     return out
 
 

@@ -48,7 +48,7 @@ def fingerprinted(files: DataFrame) -> DataFrame:
 
 def _prints(files: DataFrame, cache: DataFrame | None) -> DataFrame:
     """(path, size, hash) of documents: by the cache, by their text, or by the text that can be had
-    from their content or file."""
+    from their content or file. No text, no hash; a filter here would compute them twice."""
     rows = files.filter(in_category(F.col("path"), "documents"))
     known = F.lit(None).cast("long")
     if cache is not None:
@@ -62,7 +62,7 @@ def _prints(files: DataFrame, cache: DataFrame | None) -> DataFrame:
     else:
         text = documents.read(F.when(todo, F.col("path")))["value"]
     rows = spread(rows).withColumn("_text", text)
-    return rows.select(*[c for c in ("path", "size", "mtime_ns", "inode") if c in files.columns], F.coalesce(known, simhash(F.col("_text"))).alias("hash"), known.isNotNull().alias("hit")).filter("hash IS NOT NULL")
+    return rows.select(*[c for c in ("path", "size", "mtime_ns", "inode") if c in files.columns], F.coalesce(known, simhash(F.col("_text"))).alias("hash"), known.isNotNull().alias("hit"))
 
 
 def _image_hashes(files: DataFrame, algorithm: str, cache: DataFrame | None) -> DataFrame:
@@ -71,14 +71,14 @@ def _image_hashes(files: DataFrame, algorithm: str, cache: DataFrame | None) ->
     rows = files.filter(in_category(F.col("path"), "images"))
     keep = [c for c in ("path", "size", "mtime_ns", "inode") if c in files.columns]
     if "perceptual_hash" in files.columns:
-        return rows.select(*keep, F.col("perceptual_hash").alias("hash"), F.lit(False).alias("hit")).filter("hash IS NOT NULL")
+        return rows.select(*keep, F.col("perceptual_hash").alias("hash"), F.lit(False).alias("hit"))
     known = F.lit(None).cast("long")
     if cache is not None:
         rows = hash_cache.looked_up(rows, cache.filter(F.col("algo") == algorithm), "perceptual_hash").drop("hit")
         known = F.col("perceptual_hash")
     read = images.image_hash(algorithm)(F.when(known.isNull(), F.col("path")))
     rows = spread(rows).withColumn("_read", read)
-    return rows.select(*keep, F.coalesce(known, F.col("_read.value").cast("long")).alias("hash"), known.isNotNull().alias("hit")).filter("hash IS NOT NULL")
+    return rows.select(*keep, F.coalesce(known, F.col("_read.value").cast("long")).alias("hash"), known.isNotNull().alias("hit"))
 
 
 def _updated(cache: DataFrame, digests: DataFrame, prints: dict[str, DataFrame], now: int, algorithm: str) -> DataFrame:
@@ -117,11 +117,11 @@ def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: Da
     near, prints = [], {}
     if options.similar_images:
         most = IMAGE_THRESHOLDS[options.image_algorithm] if options.image_threshold is None else options.image_threshold
-        prints["perceptual_hash"] = materialize(_image_hashes(kept, options.image_algorithm, cache), "image_hashes")
+        prints["perceptual_hash"] = materialize(_image_hashes(kept, options.image_algorithm, cache), "image_hashes").filter("hash IS NOT NULL")
         groups = similar.leader_groups(prints["perceptual_hash"].select("path", "size", "hash"), most, options.min_group_size)
         near.append(similar.not_covered(materialize(groups, "image_groups"), found).withColumn("fill", F.lit("f")))
     if options.similar_documents:
-        prints["document_fingerprint"] = materialize(_prints(kept, cache), "fingerprints")
+        prints["document_fingerprint"] = materialize(_prints(kept, cache), "fingerprints").filter("hash IS NOT NULL")
         groups = similar.leader_groups(prints["document_fingerprint"].select("path", "size", "hash"), options.document_threshold, options.min_group_size)
         near.append(similar.not_covered(materialize(groups, "document_groups"), found).withColumn("fill", F.lit("0")))
     if near:

@@ -511,7 +511,7 @@ def test_previews():
 def test_formats(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
-    assert get(format_size(F.lit(1536))) == "1.50 KB"
+    assert [get(format_size(F.lit(n))) for n in (1536, 1152, 1162, 1023)] == ["1.50 KB", "1.12 KB", "1.13 KB", "1023 B"]
     assert [get(format_duration(F.lit(x))) for x in (12, 3456, 62_000, 3_723_000)] == ["12ms", "3.456s", "1m 2s", "1h 2m 3s"]
     assert get(posix_quoted(F.lit("a'b"))) == "'a'\\''b'"
     assert get(truncated_path(F.lit("/a/long/path"), 8)) == ".../path"[-8:]
