@@ -239,7 +239,9 @@ def _once_each(members: DataFrame) -> DataFrame:
     sums = [F.bit_xor(F.xxhash64("uid", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)]
     sets = members.groupBy("bucket").agg(F.first("size").alias("_size"), F.first("band").alias("band"), F.min("uid").alias("_least"), *sums)
     kept = sets.groupBy("_size", "_least", "_x1", "_x2").agg(F.min(F.struct("band", "bucket")).alias("_kept")).select("_kept.bucket")
-    return materialize(members.join(kept, "bucket", "left_semi"), "members")
+    out = materialize(members.join(kept, "bucket", "left_semi"), "members")
+    discard(members)
+    return out
 
 
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
@@ -267,6 +269,7 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     groups = components(inside)
     hot = members.filter(F.col("size") > BUCKET_BLOCK)
     if hot.isEmpty():
+        discard(members, inside)
         return groups
     # In each hot bucket the members of the commonest component need no more comparisons among each
     # other; the others are compared with them and with each other.
@@ -281,7 +284,10 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     others = F.when(F.col("_is_main"), of_rest).otherwise(F.concat(of_rest, F.transform(of_main, lambda i: i + rest)))
     dealt = _dealt(rows.withColumn("once", F.lit(False)).drop("label", "_bucket"), block, others, cell)
     across = linked(dealt.drop("_main", "_most", "_all", "_is_main"))
-    return components(materialize(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(across), "candidates"))
+    edges = materialize(groups.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(across), "candidates")
+    joined = components(edges)
+    discard(members, inside, groups, edges)
+    return joined
 
 
 def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str | None = None, threshold: float = THRESHOLD, run: int = RUN_WORDS) -> DataFrame:
@@ -324,12 +330,13 @@ def near_links(df: DataFrame, text: str = "text", key: str = "doc_id", uid: str
     found = docs.select("uid", "text").join(bounded(wanted), "uid")
     dealt = _dealt(found, *_spread(F.col("_n"), "uid"), ["label", "low", "high"]).drop("_n")
     exact = materialize(dealt.mapInArrow(lambda b: verified(b, threshold, run), "uid long, texts long, docs long, to long"), "links")
-    discard(groups, wanted)
+    discard(groups, wanted, *([] if uid else [docs]))
 
     group = components(exact.filter("uid <> to").select(F.col("uid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "uid")
     counts = exact.groupBy("uid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     info = classes.select("uid", "key", "doc_id", "mult").join(counts, "uid", "left").join(group, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     info = materialize(info, "classes_linked")
+    discard(classes, exact)
     heads = info.groupBy("label").agg(F.min("doc_id").alias("class_id")).filter("class_id IS NOT NULL")
     linked = info.filter("texts > 0").select("uid", "label")
     heads = linked.join(heads, "label").select("uid", "class_id")
