@@ -32,6 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one, for what an operator writes there itself. It goes with
+    ``drop``, or when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{tag}"
+    _written[path] = spark
+    return path
+
+
+def drop(*paths: str) -> None:
+    """Delete folders of ``scratch`` that nothing reads any more."""
+    for p in paths:
+        if p in _written:
+            _drop(p)
+
+
 #: Rows of a file, where their number is about known.
 FILE_ROWS = 50_000
 
@@ -44,8 +59,7 @@ def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
-    path = f"{shared_dir(spark)}/kindred/{uuid.uuid4().hex}/{tag}"
-    _written[path] = spark
+    path = scratch(spark, tag)
     df.write.parquet(path, compression="zstd")  # its buffers do not stay behind outside the heap
     out = spark.read.schema(df.schema).parquet(path)
     out._kindred_path = path
@@ -61,9 +75,7 @@ def _drop(path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more: neither a plan that is still to run nor
     the lineage of one that may have to run again."""
-    for t in tables:
-        if getattr(t, "_kindred_path", None) in _written:
-            _drop(t._kindred_path)
+    drop(*[t._kindred_path for t in tables if hasattr(t, "_kindred_path")])
 
 
 @atexit.register
