@@ -9,9 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kindred.plans.tables import bounded, discard, materialize, shared_dir
+from kindred.plans.tables import bounded, discard, drop, materialize, scratch, shared_dir
 
-__all__ = ["bounded", "discard", "gapless_rank", "materialize", "shared_dir", "ship"]
+__all__ = ["bounded", "discard", "drop", "gapless_rank", "materialize", "scratch", "shared_dir", "ship"]
 
 
 def gapless_rank(df: DataFrame, group: list[str], cell: str, order: list[Column], name: str) -> DataFrame:

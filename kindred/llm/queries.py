@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import chat, langid, mixing, nearjoin, orderhash, packing, pivots, quality, ring, toxicity
+from kindred.llm import chat, hostrules, langid, mixing, nearjoin, orderhash, packing, pivots, quality, ring, seenlines, toxicity, whitening
 
 QUERIES = {
     "op1_ring": ring.op1_ring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_order_minhash": orderhash.op9_order_minhash,
     "op10_quality": quality.op10_quality,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_host_rules": hostrules.op12_host_rules,
+    "op13_seen_lines": seenlines.op13_seen_lines,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op3_pivots": pivots.OP3_SQL,
     "op4_near_join": nearjoin.OP4_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op12_host_rules": hostrules.OP12_SQL,
+    "op13_seen_lines": seenlines.OP13_SQL,
 }
