@@ -8,20 +8,18 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hamming
-from kindred.operators.graph import components
+from kindred.operators.greedy import greedy
+from kindred.operators.probing import probed_pairs
 from kindred.operators.ranking import ranked
 from kindred.plans.tables import bounded, discard, materialize
 
 BITS = 64
-#: Keys that a fingerprint may be dealt to.
-MOST_KEYS = 1200
-#: Pairs of fingerprints up to which one task walks all clusters; more are walked in rounds.
-FEW_PAIRS = 200_000
+#: Distances up to which fingerprints are joined on equal choices of bands; beyond, bands are probed.
+CHOSEN = 3
 
 
 def bands_for(values: int, most: int) -> int:
@@ -31,20 +29,22 @@ def bands_for(values: int, most: int) -> int:
     def cost(m: int) -> float:
         return comb(m, most) * (1 + values / 2 ** (BITS * (m - most) / m))
 
-    return min((m for m in range(most + 1, min(BITS, most + 6) + 1) if comb(m, most) <= MOST_KEYS), key=cost, default=most + 1)
+    return min(range(most + 1, most + 7), key=cost)
 
 
 def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> DataFrame:
     """(hash_a, hash_b, distance) of different values of ``hash`` (long) at distance ``most`` or
     less, a before b, each pair once. ``values``: how many there are, if that is known.
 
-    Fingerprints meet by equality of a key; they come out of the first of all keys that they share,
-    so the pairs need not be made distinct. Equal values were made one before, so copies cost
-    nothing here."""
+    Up to a distance of ``CHOSEN`` fingerprints meet by equality of a key; they come out of the
+    first of all keys that they share, so the pairs need not be made distinct. Beyond that they are
+    looked up around each other. Equal values were made one before, so copies cost nothing here."""
     distinct = hashes.select("hash").filter("hash IS NOT NULL").distinct()
-    if values is None:
+    if values is None or most > CHOSEN:
         distinct = materialize(distinct, "fingerprints")
-        values = distinct.count()
+        values = distinct.count() if values is None else values
+    if most > CHOSEN:
+        return probed_pairs(distinct, most, values)
     m = bands_for(values, most)
     edges = [round(i * BITS / m) for i in range(m + 1)]
     masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(m)]
@@ -87,43 +87,6 @@ def file_links(files: DataFrame, most: int) -> DataFrame:
     return files.select("path", "hash").join(bounded(told), "hash").drop("hash")
 
 
-def _walked(nodes: list[tuple], edges: list[tuple], least: int) -> list[tuple[int, int]]:
-    """(hash, leader) by the greedy walk: nodes (first path, hash, files), pairs of hashes."""
-    near: dict[int, list[int]] = {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    count, taken, out = {h: n for _, h, n in nodes}, set(), []
-    for _, h, _ in sorted(nodes):
-        if h not in taken:
-            free = [h, *(g for g in near.get(h, ()) if g not in taken)]
-            if sum(count[g] for g in free) >= least:
-                taken.update(free)
-                out += [(g, h) for g in free]
-    return out
-
-
-def _in_rounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same for pairs of any number and groups from two files on: a node leads once every
-    earlier neighbour is known to be taken, and is taken once an earlier neighbour leads; at last
-    it goes to its first leader. Rounds are as many as the longest chain of such decisions."""
-    place = F.struct("first", "hash")
-    ends = pairs.join(nodes.select(F.col("hash").alias("hash_a"), place.alias("_a")), "hash_a").join(nodes.select(F.col("hash").alias("hash_b"), place.alias("_b")), "hash_b")
-    links = materialize(ends.select(F.least("_a", "_b").alias("early"), F.greatest("_a", "_b").alias("late")), "links")
-    state = nodes.select(place.alias("node"), F.lit(0).alias("state"))  # 0: open, 1: leads, 2: taken
-    state = materialize(state, "states")
-    while state.filter("state = 0").limit(1).count():
-        seen = links.join(state.select(F.col("node").alias("early"), F.col("state").alias("_s")), "early").groupBy(F.col("late").alias("node"))
-        seen = seen.agg(F.max((F.col("_s") == 1).cast("int")).alias("_led"), F.max((F.col("_s") == 0).cast("int")).alias("_open"))
-        new = F.when(F.col("state") != 0, F.col("state")).when(F.col("_led") == 1, 2).when(F.coalesce("_open", F.lit(0)) == 0, 1).otherwise(0)
-        after = materialize(state.join(seen, "node", "left").select("node", new.alias("state")), "states")
-        discard(state)
-        state = after
-    led = links.join(state.filter("state = 1").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(F.min("early").alias("leader"))
-    taken = state.filter("state = 2").join(led, "node").select("node.hash", F.col("leader.hash").alias("leader"))
-    return taken.unionByName(state.filter("state = 1").select("node.hash", F.col("node.hash").alias("leader")))
-
-
 def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
     """Greedy clusters of files (path, hash, ...): in path order, a file not yet taken gathers all
     files not yet taken within ``most`` of it; ``least`` or more make a group, fewer stay free.
@@ -133,31 +96,15 @@ def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
     distinct hashes in the order of their first paths."""
     files = files.filter("hash IS NOT NULL")
     nodes = materialize(files.groupBy("hash").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    pairs = materialize(hamming_pairs(nodes, most, nodes.count()).select("hash_a", "hash_b"), "hamming_pairs")
-    ends = pairs.select(F.col("hash_a").alias("hash")).union(pairs.select(F.col("hash_b").alias("hash"))).distinct()
-    linked = nodes.join(ends, "hash", "left_semi")
-    alone = nodes.join(ends, "hash", "left_anti").filter(F.col("n") >= least).select("hash", F.col("hash").alias("leader"))
-    rows = linked.select(F.lit(0).cast("long").alias("label"), F.col("first").alias("p"), F.col("hash").alias("a"), F.col("n").alias("b"))
-    rows = rows.unionByName(pairs.select(F.lit(0).cast("long").alias("label"), F.lit(None).cast("string").alias("p"), F.col("hash_a").alias("a"), F.col("hash_b").alias("b")))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        is_node = part["p"].notna()
-        nodes = list(part.loc[is_node, ["p", "a", "b"]].itertuples(index=False, name=None))
-        edges = list(part.loc[~is_node, ["a", "b"]].itertuples(index=False, name=None))
-        return pd.DataFrame(_walked(nodes, edges, least), columns=["hash", "leader"], dtype="int64")
-
-    if pairs.count() <= FEW_PAIRS:
-        led = rows.groupBy("label").applyInPandas(walk, "hash long, leader long")
-    elif least <= 2:
-        led = _in_rounds(linked, pairs)
-    else:  # whether a group is large enough depends on all before it: component by component
-        label = components(pairs.select(F.col("hash_a").alias("_x"), F.col("hash_b").alias("_y")).toDF("a", "b")).withColumnRenamed("label", "_l")
-        led = rows.drop("label").join(label, F.col("a") == F.col("node")).select(F.col("_l").alias("label"), "p", "a", "b").groupBy("label").applyInPandas(walk, "hash long, leader long")
-    led = materialize(led.unionByName(alone), "leaders")
+    pairs = materialize(hamming_pairs(nodes, most, nodes.count()).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")), "hamming_pairs")
+    ends = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
+    linked = nodes.join(ends, "hash", "left_semi").withColumnRenamed("hash", "id")
+    alone = nodes.join(ends, "hash", "left_anti").filter(F.col("n") >= least).select("hash", F.col("first").alias("leader"))
+    walked = greedy(linked, pairs, least)
     firsts = nodes.select(F.col("hash").alias("_h"), F.col("first").alias("_leader"))
-    led = materialize(led.join(firsts, F.col("leader") == F.col("_h")).select(F.col("hash").alias("_hash"), F.col("_leader").alias("leader")), "leaders")
-    grouped = led.join(nodes.select(F.col("hash").alias("_hash"), "n"), "_hash").groupBy("leader").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    led = led.join(grouped.drop("n"), "leader", "left_semi")
+    led = walked.join(firsts, F.col("leader") == F.col("_h")).select(F.col("id").alias("_hash"), F.col("_leader").alias("leader"))
+    led = materialize(led.unionByName(alone.withColumnRenamed("hash", "_hash")), "leaders")
+    discard(nodes, pairs, walked)
     return files.join(bounded(led), files["hash"] == led["_hash"]).drop("_hash")
 
 

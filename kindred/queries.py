@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from kindred.functions import formatting, hashing, paths, progress
 from kindred.operators import dedupe, exact, predicates, selection, similar, views
+from kindred.operators.index import SimilarityIndex
 from kindred.plans.scan import find_duplicates, fingerprinted, scan_rows
-from kindred.plans.tables import materialize
+from kindred.plans.tables import materialize, scratch
 from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 from kindred.sources import cache, session, sinks
 from kindred.sources.files import from_table
@@ -244,15 +245,38 @@ query("phash", f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM e
 
 
 # Each vector stands here twice, as it is and with its first component a little larger.
-@query("similar_vectors", f"""WITH RECURSIVE v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') || s.s AS id, list_concat([embedding[1]::DOUBLE + s.d], embedding[2:]::DOUBLE[]) AS e FROM embeddings, (VALUES ('a', 0.0::DOUBLE), ('b', 0.01::DOUBLE)) s(s, d)),
-{_PHASH}, b AS (SELECT id AS path, ('0b' || bits[2:])::BIGINT AS low, bits[1] AS high FROM bits), sim AS (SELECT path, CASE WHEN high = '1' THEN low + (-9223372036854775808)::BIGINT ELSE low END AS hash FROM b), {walk_sql(IMAGE_THRESHOLDS['phash'])}
-SELECT leader, path FROM leaders""")
-def _(spark, sf_dir):
+_TWICE = f"""v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') || s.s AS id, list_concat([embedding[1]::DOUBLE + s.d], embedding[2:]::DOUBLE[]) AS e FROM embeddings, (VALUES ('a', 0.0::DOUBLE), ('b', 0.01::DOUBLE)) s(s, d)),
+{_PHASH}, b AS (SELECT id AS path, ('0b' || bits[2:])::BIGINT AS low, bits[1] AS high FROM bits), sim AS (SELECT path, CASE WHEN high = '1' THEN low + (-9223372036854775808)::BIGINT ELSE low END AS hash FROM b)"""
+
+
+def _vector_prints(spark, sf_dir):
     twice = vectors(spark, sf_dir).withColumn("s", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.lit(0.0).alias("d")), F.struct(F.lit("b").alias("s"), F.lit(0.01).alias("d")))))
     e = F.col("embedding").cast("array<double>")
     moved = F.concat(F.array(F.get(e, F.lit(0)) + F.col("s.d")), F.slice(e, 2, 1 << 20))
     rows = twice.select(F.concat(F.lpad(F.col("vec_id").cast("string"), 12, "0"), F.col("s.s")).alias("path"), hashing.bits_to_long(hashing.phash(moved)).alias("hash"))
-    return similar.leader_groups(materialize(rows, "prints"), IMAGE_THRESHOLDS["phash"]).select("leader", "path")
+    return materialize(rows, "prints")
+
+
+@query("similar_vectors", f"WITH RECURSIVE {_TWICE}, {walk_sql(IMAGE_THRESHOLDS['phash'])} SELECT leader, path FROM leaders")
+def _(spark, sf_dir):
+    return similar.leader_groups(_vector_prints(spark, sf_dir), IMAGE_THRESHOLDS["phash"]).select("leader", "path")
+
+
+query("similar_vector_links", f"""WITH {_TWICE}, c AS (SELECT hash, min(path) AS class_path, count(*) AS n FROM sim GROUP BY hash),
+l AS (SELECT a.hash, count(*) AS near_classes, sum(b.n)::BIGINT AS near_files FROM c a JOIN c b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)) <= {IMAGE_THRESHOLDS['phash']} GROUP BY a.hash)
+SELECT s.path, c.class_path, c.n - 1 AS copies, coalesce(l.near_classes, 0)::BIGINT AS near_classes, coalesce(l.near_files, 0)::BIGINT AS near_files FROM sim s JOIN c ON c.hash = s.hash LEFT JOIN l ON l.hash = s.hash""")(
+    lambda spark, sf_dir: similar.file_links(_vector_prints(spark, sf_dir), IMAGE_THRESHOLDS["phash"])
+)
+
+
+# All rows are in the index; those whose vec_id is divisible by 50 ask, for all rows within a distance.
+@query("similar_to", f"""WITH {_TWICE}, q AS (SELECT path, hash FROM sim WHERE left(path, 12)::BIGINT % 50 = 0)
+SELECT q.path AS query, s.path, bit_count(xor(q.hash, s.hash))::INT AS distance FROM q JOIN sim s ON bit_count(xor(q.hash, s.hash)) <= {IMAGE_THRESHOLDS['phash']}""")
+def _(spark, sf_dir):
+    prints = _vector_prints(spark, sf_dir)
+    held = SimilarityIndex.build(prints, scratch(spark, "index"))
+    asked = prints.filter(F.left("path", F.lit(12)).cast("long") % 50 == 0)
+    return held.search(asked, IMAGE_THRESHOLDS["phash"]).select(F.col("query_path").alias("query"), "path", "distance")
 
 
 # Selections.
