@@ -157,5 +157,6 @@ def scan(spark: SparkSession, paths: list[str], options: ScanOptions = ScanOptio
         options, references=tuple(dict.fromkeys(references)), root_ignore=root_ignores(roots),
         named_roots={os.path.realpath(r): name for r, name in options.named_roots.items()},
     )
-    files, errors = walk(spark, paths, options.follow_symlinks)
+    ignore = {r: [*options.root_ignore.get(r, ()), *options.ignore] for r in roots}
+    files, errors = walk(spark, paths, options.follow_symlinks, options.skip_hidden, ignore)
     return scan_rows(files, options, errors, cache, now)
