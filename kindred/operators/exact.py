@@ -68,12 +68,13 @@ def digested(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     occurs twice have a prehash, and only those whose first bytes do have a hash; of a file that is
     no longer than its first bytes the two are one."""
     if "content" in files.columns:
-        rows = _known(files.filter("size > 0"), cache, "prehash").withColumnRenamed("_known", "_pre")
-        rows = _known(rows, cache, "fullhash")
+        rows = files.filter("size > 0")
+        none = F.lit(None).cast("string")
+        rows = rows.withColumns({"_prehash": none, "_fullhash": none}) if cache is None else hash_cache.known(rows, cache, "prehash", "fullhash")
         error = F.when(F.col("content").isNull(), F.lit("no content"))
         rows = spread(rows).select(
-            *[c for c in files.columns if c not in ("content", "text")], F.when(error.isNull(), F.coalesce("_pre", prehash(F.col("content")))).alias("prehash"),
-            F.when(error.isNull(), F.coalesce("_known", fullhash(F.col("content")))).alias("hash"), F.col("_pre").isNotNull().alias("prehash_hit"), F.col("_known").isNotNull().alias("hash_hit"), error.alias("error"),
+            *[c for c in files.columns if c not in ("content", "text")], F.when(error.isNull(), F.coalesce("_prehash", prehash(F.col("content")))).alias("prehash"),
+            F.when(error.isNull(), F.coalesce("_fullhash", fullhash(F.col("content")))).alias("hash"), F.col("_prehash").isNotNull().alias("prehash_hit"), F.col("_fullhash").isNotNull().alias("hash_hit"), error.alias("error"),
         )
         return materialize(rows, "digests")
     heads = materialize(_read(same_size(files), cache, "prehash", file_prehash, "prehash"), "prehashes")

@@ -17,6 +17,7 @@ from kindred.plans.tables import materialize, spread
 from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 from kindred.sources import cache as hash_cache
 from kindred.sources import documents, images
+from kindred.sources.cache import CacheLog
 from kindred.sources.files import normalized_roots, root_ignores, walk
 
 
@@ -81,22 +82,29 @@ def _image_hashes(files: DataFrame, algorithm: str, cache: DataFrame | None) ->
     return rows.select(*keep, F.coalesce(known, F.col("_read.value").cast("long")).alias("hash"), known.isNotNull().alias("hit"))
 
 
-def _updated(cache: DataFrame, digests: DataFrame, prints: dict[str, DataFrame], now: int, algorithm: str) -> DataFrame:
-    """The cache with all that was not in it."""
-    keys = [F.col("path"), F.col("size"), F.col("mtime_ns"), (F.col("inode") if "inode" in digests.columns else F.lit(None)).cast("long").alias("inode"), F.lit(now).cast("long").alias("created_at")]
-    cache = hash_cache.upsert(cache, digests.filter("prehash IS NOT NULL AND NOT prehash_hit").select(*keys, "prehash"), "prehash")
-    cache = hash_cache.upsert(cache, digests.filter("hash IS NOT NULL AND NOT hash_hit").select(*keys, F.col("hash").alias("fullhash")), "fullhash")
+def _new_entries(digests: DataFrame, prints: dict[str, DataFrame], now: int, algorithm: str) -> DataFrame:
+    """What the cache did not know, a row for each file."""
+    keys = ["path", "size", "mtime_ns", *(["inode"] if "inode" in digests.columns else [])]
+    found = digests.select(*keys, F.when(~F.col("prehash_hit"), F.col("prehash")).alias("prehash"), F.when(~F.col("hash_hit"), F.col("hash")).alias("fullhash"))
     for column, rows in prints.items():
-        more = [F.lit(algorithm).alias("algo")] if column == "perceptual_hash" else []
-        cache = hash_cache.upsert(cache, rows.filter("NOT hit").select(*keys, F.col("hash").alias(column), *more), column)
-    return cache
+        more = rows.filter("NOT hit").select(*keys, F.col("hash").alias(column))
+        found = found.unionByName(more, allowMissingColumns=True)
+    hashes = [c for c in hash_cache.HASHES if c in found.columns]
+    rows = found.groupBy(*keys).agg(*[F.max(c).alias(c) for c in hashes]).filter(F.coalesce(*[F.col(c).cast("string") for c in hashes]).isNotNull())
+    if "perceptual_hash" in hashes:
+        rows = rows.withColumn("algo", F.when(F.col("perceptual_hash").isNotNull(), F.lit(algorithm)))
+    return rows.withColumn("created_at", F.lit(now).cast("long"))
 
 
-def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: DataFrame | None = None, cache: DataFrame | None = None, now: int = 0) -> Scan:
+def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: DataFrame | None = None, cache: DataFrame | CacheLog | None = None, now: int = 0) -> Scan:
     """Scan file rows: with ``content`` (and ``text``) in them, or read by path. ``errors``: files
     that the walk could not look at. With a hash cache what it knows for path, size and time is not
-    read or hashed again; it needs ``mtime_ns`` in the rows, and ``now`` dates what is new."""
+    read or hashed again; it needs ``mtime_ns`` in the rows, and ``now`` dates what is new. To a
+    cache that is a log what is new is appended, and nothing else is written."""
     spark = files.sparkSession
+    log = cache if isinstance(cache, CacheLog) else None
+    if log is not None:
+        cache = log.current()
     if options.similar_images and "perceptual_hash" not in files.columns and "content" in files.columns:
         raise ValueError("similar images of rows with content need a column perceptual_hash")
     kept = passed(files, options)
@@ -133,7 +141,12 @@ def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: Da
     if cache is not None:
         hits = digests.agg(F.count_if("prehash_hit").alias("cache_prehash_hits"), F.count_if("hash_hit").alias("cache_fullhash_hits"))
         summary = summary.withColumn("_one", F.lit(1)).join(hits.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
-        cache = _updated(cache, digests, prints, now, options.image_algorithm)
+        entries = _new_entries(digests, prints, now, options.image_algorithm)
+        if log is not None:
+            log.append(entries)
+            cache = log.current()
+        else:
+            cache = hash_cache.merged(cache, entries)
     return Scan(members.withColumn("is_reference", in_references(options.references)), summary, errors, rows, cache)
 
 
@@ -144,7 +157,7 @@ def find_duplicates(files: DataFrame, options: ScanOptions = ScanOptions()) -> t
     return out.members, out.summary
 
 
-def scan(spark: SparkSession, paths: list[str], options: ScanOptions = ScanOptions(), cache: DataFrame | None = None, now: int = 0) -> Scan:
+def scan(spark: SparkSession, paths: list[str], options: ScanOptions = ScanOptions(), cache: DataFrame | CacheLog | None = None, now: int = 0) -> Scan:
     """Scan folders that all executors can read. Of several paths the first is a reference, too, as
     given. The .gitignore of a root comes before the patterns of the options; named roots are
     folders by any path."""

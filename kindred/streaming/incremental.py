@@ -2,42 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.functions.hashing import fullhash, prehash
-from kindred.sources.cache import SCHEMA, upsert
+from kindred.sources.cache import CacheLog
 
+#: Generations after which the log is folded.
+FOLD_AFTER = 20
 
-def hash_stream(files: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
-    """From a stream of (path, size, mtime_ns, inode, created_at, content): each micro-batch is
-    merged into the cache as a new generation below ``cache_path``, named by the batch, so a batch
-    that is run again replaces itself and readers always find a whole generation."""
-    spark = files.sparkSession
 
+def hash_stream(files: DataFrame, log: CacheLog, checkpoint: str, fold_after: int = FOLD_AFTER) -> StreamingQuery:
+    """From a stream of (path, size, mtime_ns, inode, created_at, content): each micro-batch writes
+    its own entries as a generation of the log, named by the batch, so a batch that is run again
+    replaces itself. Every ``fold_after`` generations the log is folded, and those go that nothing
+    reads any more."""
     def merge(batch: DataFrame, number: int) -> None:
         seen = batch.withColumn("prehash", prehash(F.col("content"))).withColumn("fullhash", fullhash(F.col("content")))
-        old = current(spark, cache_path, before=number)
-        keys = ["path", "size", "mtime_ns", "inode", "created_at"]
-        new = upsert(upsert(old, seen.select(*keys, "prehash"), "prehash"), seen.select(*keys, "fullhash"), "fullhash")
-        new.write.mode("overwrite").parquet(f"{cache_path}/generation={number}")
+        log.append(seen.drop("content"), number)
+        if sum(x.kind == "delta" for x in log.live()) >= fold_after:
+            log.compact()
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _generations(spark: SparkSession, cache_path: str) -> list[int]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    done = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("generation=")]
-    return sorted(int(d.getName().split("=")[1]) for d in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
-
-
-def current(spark: SparkSession, cache_path: str, before: int | None = None) -> DataFrame:
-    """The newest whole generation, or an empty cache."""
-    found = [g for g in _generations(spark, cache_path) if before is None or g < before]
-    if not found:
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(f"{cache_path}/generation={found[-1]}")

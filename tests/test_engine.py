@@ -439,18 +439,6 @@ def test_cache_rules(spark):
     assert cache.upsert(old, entry(2, fullhash="g"), "fullhash").first()["prehash"] is None
 
 
-def test_streamed_cache(spark, tmp_path):
-    from kindred.streaming.incremental import current, hash_stream
-
-    schema = "path string, size long, mtime_ns long, inode long, created_at long, content binary"
-    for n, text in enumerate((b"one", b"two")):
-        spark.createDataFrame([("/a", 3, n, None, n, text), (f"/{n}", 3, n, None, n, text)], schema).write.parquet(str(tmp_path / "in" / str(n)))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        hash_stream(stream, str(tmp_path / "cache"), str(tmp_path / "state")).awaitTermination()
-    rows = {r["path"]: r["mtime_ns"] for r in current(spark, str(tmp_path / "cache")).collect()}
-    assert rows == {"/a": 1, "/0": 0, "/1": 1}
-
-
 def test_config_layers(tmp_path):
     p = tmp_path / "c.toml"
     p.write_text("min_size = 2\n[profile.big]\nmin_size = 3\n[scan]\na = 1\n")
