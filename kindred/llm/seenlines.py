@@ -27,6 +27,7 @@ MOST_HOT, LEAST_HOT = 1000, 100
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store sets megabytes aside
     "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
 }
 SPACE = " \t\n\v\f\r"
