@@ -80,7 +80,27 @@ def posix_quoted(text: Column) -> Column:
 
 
 def powershell_quoted(text: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    """Typographic single quotes end a string there, too."""
+    return F.concat(F.lit("'"), F.regexp_replace(text, "(['\u2018\u2019\u201a\u201b])", "$1$1"), F.lit("'"))
+
+
+def on_one_line(text: Column) -> Column:
+    """A text that no shell reads past the end of a comment: line ends are written as \\n and \\r,
+    other control characters and separators as a question mark."""
+    shown = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    return F.regexp_replace(shown, r"[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]", "?")
+
+
+def html_escaped(text: Column) -> Column:
+    for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON writes it, in quotes."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
 def truncated_path(path: Column, most: int) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.formatting import posix_quoted, powershell_quoted
+from kindred.functions.formatting import on_one_line, posix_quoted, powershell_quoted
 from kindred.functions.paths import extension, parent, under
 from kindred.operators.ranking import ranked
 from kindred.plans.tables import bounded, materialize
@@ -135,9 +135,10 @@ def selected_summary(members: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def script_lines(plan: DataFrame, kind: str = "posix", confirm: bool = False) -> DataFrame:
-    """(group_id, rank_in_group, line): one command for each file, commented out where it stays;
-    without ``confirm`` deletions are only printed."""
-    quoted = posix_quoted(F.col("path")) if kind == "posix" else powershell_quoted(F.col("path"))
+    """(group_id, rank_in_group, line): one command for each file, and a comment where it stays;
+    without ``confirm`` deletions are only printed. Line ends in names stay inside their quotes, and
+    comments have none."""
+    quoted = posix_quoted if kind == "posix" else powershell_quoted
     command = {("posix", True): "rm -f -- ", ("posix", False): "echo rm -f -- ", ("powershell", True): "Remove-Item -LiteralPath ", ("powershell", False): "Write-Output Remove-Item -LiteralPath "}[kind, confirm]
-    line = F.when(F.col("action") == "delete", F.concat(F.lit(command), quoted)).otherwise(F.concat(F.lit("# keep "), quoted))
+    line = F.when(F.col("action") == "delete", F.concat(F.lit(command), quoted(F.col("path")))).otherwise(F.concat(F.lit("# keep "), quoted(on_one_line(F.col("path")))))
     return plan.select("group_id", "rank_in_group", line.alias("line"))

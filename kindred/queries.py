@@ -332,6 +332,10 @@ selecting("session_summary", "SELECT count(*) AS group_count, sum(n)::BIGINT AS
 _TIME = "strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 selecting("csv_rows", f"SELECT dense_rank() OVER (ORDER BY group_id)::BIGINT AS group_id, group_id AS hash, path, arg_min(size, rank_in_group) OVER (PARTITION BY group_id) AS size, {_TIME} AS modified FROM members", sinks.csv_rows)
 selecting("json_groups", """SELECT group_id AS hash, '{"hash":"' || group_id || '","size":' || arg_min(size, rank_in_group) || ',"files":[' || string_agg('"' || path || '"', ',' ORDER BY rank_in_group) || ']}' AS json FROM members GROUP BY group_id""", sinks.json_groups)
+selecting("json_lines", """SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN rank_in_group > 1 THEN ',' ELSE (CASE WHEN group_id = (SELECT min(group_id) FROM members) THEN '' ELSE ',' END) || '{"hash":"' || group_id || '","size":' || size || ',"files":[' END ||
+  '"' || path || '"' || CASE WHEN rank_in_group = n THEN ']}' ELSE '' END AS line FROM members""", sinks.json_lines)
+selecting("html_lines", f"""SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN rank_in_group > 1 THEN '' ELSE '<h2><code>' || group_id || '</code> ' || (SELECT {_SCALED} FROM (SELECT members.size AS s)) || '</h2><table>' END ||
+  '<tr><td>' || replace(path, '/', '/') || CASE WHEN is_reference THEN ' (reference)' ELSE '' END || '</td><td>' || size || '</td></tr>' || CASE WHEN rank_in_group = n THEN '</table>' ELSE '' END AS line FROM members""", sinks.html_lines)
 selecting("session_groups", """SELECT group_id, '{"group_id":"' || group_id || '","n":' || count(*) || ',"total_size":' || sum(size) || ',"files":[' || string_agg('{"path":"' || path || '","size":' || size || '}', ',' ORDER BY rank_in_group) || ']}' AS json FROM members GROUP BY group_id""",
           lambda m: session.groups_json(m).select("group_id", F.regexp_replace("json", '^\\{"hash"', '{"group_id"').alias("json")))
 selecting("script_lines", "SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN max(is_reference::INT) OVER (PARTITION BY group_id) = 1 AND NOT is_reference OR max(is_reference::INT) OVER (PARTITION BY group_id) = 0 AND rank_in_group > 1 THEN 'echo rm -f -- ''' || path || '''' ELSE '# keep ''' || path || '''' END AS line FROM members",
@@ -340,6 +344,14 @@ selecting("script_lines", "SELECT group_id, rank_in_group::INT AS rank_in_group,
 selecting("script_lines_powershell", """SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN rank_in_group > 1 THEN 'Remove-Item -LiteralPath ' ELSE '# keep ' END || chr(39) || path || chr(39) AS line FROM members""",
           lambda m: selection.script_lines(selection.deletion_plan(m.withColumn("is_reference", F.lit(False))), "powershell", True))
 
+# Names that try to leave their quotes or the comment they stand in: each ends in the file's own first letters.
+_ODD = "path || chr(10) || 'echo ' || chr(39) || chr(8217) || chr(13) || left(group_id, 4)"
+for _kind, _quote in (("posix", r"replace(p, chr(39), chr(39) || '\' || chr(39) || chr(39))"), ("powershell", "replace(replace(p, chr(39), chr(39) || chr(39)), chr(8217), chr(8217) || chr(8217))")):
+    _command = "echo rm -f -- " if _kind == "posix" else "Write-Output Remove-Item -LiteralPath "
+    selecting(f"script_lines_odd_{_kind}", f"""SELECT group_id, rank_in_group::INT AS rank_in_group, CASE WHEN rank_in_group > 1 THEN '{_command}' ELSE '# keep ' END || chr(39) || {_quote} || chr(39) AS line
+FROM (SELECT group_id, rank_in_group, CASE WHEN rank_in_group > 1 THEN p ELSE replace(replace(p, chr(10), '\\n'), chr(13), '\\r') END AS p FROM (SELECT *, {_ODD} AS p FROM members))""",
+              lambda m, kind=_kind: selection.script_lines(selection.deletion_plan(m.withColumns({"is_reference": F.lit(False), "path": F.concat("path", F.lit("\necho '\u2019\r"), F.left("group_id", F.lit(4)))})), kind))
+
 # Cache: every file has a row; those of one in seven are stale, as the file had another size.
 _CACHE = FILES + """, cache AS (SELECT path, size + (doc_id % 7 = 0)::BIGINT AS size, mtime * 1000000000 AS mtime_ns, NULL::BIGINT AS inode, md5(text) AS prehash, sha256(text) AS fullhash, mtime AS created_at, doc_id FROM files)"""
 

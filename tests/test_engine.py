@@ -395,20 +395,6 @@ def test_selection_ties_and_references(spark):
     assert history.undo() and not history.undo()
 
 
-def test_session_round_trip(spark, tmp_path):
-    m = members(spark, [("g", "/a", 5, 1, 1, False, None), ("g", "/b", 5, 2, 2, False, None)])
-    p = tmp_path / "s.json"
-    session.save(str(p), m, ["/b"], {"x": 1}, ["/"], "2024-01-01T00:00:00Z")
-    loaded = session.load(str(p))
-    assert loaded["user_selections"] == ["/b"]
-    assert [r["path"] for r in session.members_of(spark, loaded).orderBy("rank_in_group").collect()] == ["/a", "/b"]
-    changed = json.loads(p.read_text())
-    changed["session"]["groups"] = []
-    p.write_text(json.dumps(changed))
-    with pytest.raises(session.SessionError):
-        session.load(str(p))
-
-
 def test_sinks(spark, tmp_path):
     m = members(spark, [("g", "/a'b", 5, 1, 1, False, None), ("g", "/<b>", 5, 2, 2, False, None)])
     one = spark.createDataFrame([(1,)], "duplicate_groups long")
