@@ -2,8 +2,8 @@
 
 Rows that hold their content are hashed where they are read, in one pass. Files that are known by
 path alone are read as little as possible: only those whose size occurs twice are opened, and only
-those whose first bytes do are read whole. Either way content is never shuffled: what is written,
-counted and grouped are digests."""
+those whose first bytes do are read whole. Either way what is written, counted and grouped are
+digests; content is dealt out anew only where the whole input is small (see ``spread``)."""
 
 from __future__ import annotations
 
@@ -99,23 +99,19 @@ def prehash_candidates(files: DataFrame, digests: DataFrame | None = None) -> Da
     return prehashed(files, digests).groupBy("prehash").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 
 
-def _apart(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds ``_class`` to files of groups (hash): 0, unless contents of one hash differ; then their
-    number. Contents are compared whole, byte by byte, as the keys of a grouping, which keeps one
-    copy of each in a task; only where one hash has two contents are files told apart by them."""
-    whole = files.select("path", "content").join(rows.select("path", "hash"), "path")
-    contents = materialize(whole.groupBy("hash", "content").agg(F.min("path").alias("first")), "contents")
-    torn = contents.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    several = contents.join(torn, "hash", "left_semi")
-    firsts = ranked(several.select("hash", "first"), ["hash"], ["first"], "_class")
-    told = whole.join(several, ["hash", "content"]).select("path", "hash", "first").join(firsts, ["hash", "first"]).select("path", "_class")
-    return rows.join(told, "path", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
+def _second_digest(files: DataFrame) -> DataFrame:
+    """(path, _class) of files: digests of two more families over the whole content, taken where the
+    content is read."""
+    if "content" in files.columns:
+        return files.select("path", F.concat(F.sha2("content", 512), F.md5("content"), F.octet_length("content").cast("string")).alias("_class"))
+    other = by_path(lambda p, f: hashlib.file_digest(f, "blake2b").hexdigest())
+    return files.select("path", F.coalesce(other(F.col("path"))["value"], F.col("path")).alias("_class"))
 
 
 def exact_members(files: DataFrame, paranoid: bool = False, digests: DataFrame | None = None) -> DataFrame:
     """One row per file of a group of equal content: hash, size, rank_in_group (1: the file that
-    stands for the group, by path) and the file's columns. ``paranoid`` compares the contents
-    themselves too, or, of files known by path, a hash of another family."""
+    stands for the group, by path) and the file's columns. ``paranoid`` compares digests of other
+    families too; contents are read once more for it and do not move."""
     rows = (digested(files) if digests is None else digests).filter("hash IS NOT NULL")
     rows = rows.drop("prehash_hit", "hash_hit", "error")
     counts = materialize(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
@@ -123,11 +119,7 @@ def exact_members(files: DataFrame, paranoid: bool = False, digests: DataFrame |
     keys = ["hash"]
     if paranoid:
         keys = ["hash", "_class"]
-        if "content" in files.columns:
-            found = _apart(files, found)
-        else:
-            other = by_path(lambda p, f: hashlib.file_digest(f, "blake2b").hexdigest())
-            found = found.withColumn("_class", F.coalesce(other(F.col("path"))["value"], F.col("path")))
+        found = found.join(_second_digest(files if "content" in files.columns else found), "path")
         found = materialize(found, "compared")
         counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         found = found.join(counts.drop("n"), keys, "left_semi")

@@ -109,8 +109,14 @@ def keep_in(df: DataFrame, keys: DataFrame, on: list[str], most: int = BROADCAST
     return df.join(bounded(keys.select(*on), most), on, "left_semi")
 
 
+#: Bytes of an input, as the plan knows them, that are dealt out anew.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores, where the input comes in fewer parts than there are cores (one
-    file of one row group); large inputs stay as they are read."""
+    """Rows dealt over all cores, where a small input comes in fewer parts than there are cores (one
+    file of one row group). An input of over ``SPREAD_BYTES`` stays where it is read, in however
+    many parts, so wide rows are never moved in bulk."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    bytes_ = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if bytes_ <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -407,6 +407,5 @@ def _(spark, sf_dir):
 f(user_id, n, ema) AS (SELECT user_id, n, value FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.n, f.ema + 0.1 * (s.value - f.ema) FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
 SELECT user_id, round(arg_max(ema, n), 6) AS ema, max(n) AS samples FROM f GROUP BY user_id""")
 def _(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value IS NOT NULL")
-    samples = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    return e.groupBy("user_id").agg(samples.alias("v")).select("user_id", F.round(progress.smoothed(F.col("v")), 6).alias("ema"), F.size("v").cast("long").alias("samples"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return progress.smoothed(e, ["user_id"], ["ts", "event_id"], "value").select("user_id", F.round("ema", 6).alias("ema"), "samples")

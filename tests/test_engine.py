@@ -3,6 +3,7 @@ import io
 import json
 import os
 import random
+import re
 import struct
 import zipfile
 import zlib
@@ -15,11 +16,12 @@ from kindred.functions import formatting, hashing, paths, preview, progress
 from kindred.functions.formatting import format_duration, format_size, parse_date, posix_quoted, truncated_path
 from kindred.operators import dedupe, exact, predicates, ranking, selection, similar, views
 from kindred.operators.graph import components
+from kindred.plans import scan as scans
 from kindred.plans import tables
 from kindred.plans.scan import ScanError, find_duplicates, scan, scan_rows
 from kindred.plans.tables import materialize
 from kindred.schema import ScanOptions
-from kindred.sources import actions, cache, config, documents, images, session, sinks
+from kindred.sources import actions, cache, config, documents, images, sinks
 from kindred.sources import files as file_rows
 from kindred.sources.files import from_table, normalized_roots, parse_named_root, walk
 
@@ -44,12 +46,76 @@ def test_same_prefix_other_tail(spark):
     assert [r["path"] for r in exact.exact_members(f).orderBy("path").collect()] == ["/a", "/c"]
 
 
-def test_content_is_never_shuffled(spark):
-    f = files(spark, [(f"/{i}", f"text {i % 3}", 0) for i in range(9)])
-    found = exact.exact_members(f)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan and "text" not in plan
-    assert {r["hash"] for r in found.collect()} == {r["hash"] for r in exact.digested(f).collect()}
+def moved(df):
+    """The columns that the exchanges of a plan move."""
+    out, todo = set(), [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.initialPlan())
+        if "Exchange" in name:
+            out |= {node.output().apply(i).name() for i in range(node.output().size())}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("paranoid", [False, True])
+def test_content_is_never_shuffled(spark, tmp_path, monkeypatch, paranoid):
+    """Of all plans that are written, at more cores than parts, none moves or keeps a content."""
+    rows = files(spark, [(f"/{i}", f"text {i % 3}", 0) for i in range(9)]).coalesce(1)
+    rows.write.parquet(str(tmp_path / "f"))
+    f = spark.read.parquet(str(tmp_path / "f"))
+    assert f.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    written = []
+
+    def noted(df, tag, rows=None):
+        written.append((tag, set(df.columns), moved(df)))
+        return materialize(df, tag, rows)
+
+    for module in (exact, scans, similar, ranking):
+        monkeypatch.setattr(module, "materialize", noted, raising=False)
+    small = scan_rows(f, ScanOptions(similar_documents=True, paranoid=paranoid)).members.collect()
+    assert any("content" in columns for _, _, columns in written)  # this input is small enough to be dealt out
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 0)
+    written.clear()
+    got = scan_rows(f, ScanOptions(similar_documents=True, paranoid=paranoid)).members
+    assert sorted(map(str, got.collect())) == sorted(map(str, small))
+    assert len(written) >= 4
+    for tag, kept, columns in [*written, ("members", set(got.columns), moved(got))]:
+        assert not {"content", "text"} & (kept | columns), tag
+
+
+def test_small_inputs_are_spread(spark, monkeypatch):
+    one = spark.range(10).coalesce(1)
+    assert tables.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1)
+    assert tables.spread(one).rdd.getNumPartitions() == 1
+
+
+def test_progress_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HOT_ROWS", 50)
+    rows = [(k, i, float(i * 7 % 13) if i % 9 else None) for k, n in (("hot", 400), ("a", 3), ("b", 1)) for i in range(n)]
+    want = {}
+    for k, _, v in rows:
+        if v is not None:
+            ema, n = want.get(k, (None, 0))
+            want[k] = (v if ema is None else ema + 0.1 * (v - ema), n + 1)
+    df = spark.createDataFrame(rows, "k string, at int, rate double")
+    got = {r["k"]: (r["ema"], r["samples"]) for r in progress.smoothed(df.repartition(7), ["k"], ["at"], "rate").collect()}
+    assert got == {k: (pytest.approx(e), n) for k, (e, n) in want.items()}
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    rows = [("a" if i % 3 else "b", i, float(i)) for i in range(30)]
+    seen = {}
+    for part in range(3):
+        spark.createDataFrame(rows[part * 10 : part * 10 + 10], "k string, at int, rate double").write.parquet(str(tmp_path / "in" / str(part)))
+        stream = spark.readStream.schema("k string, at int, rate double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        told = progress.smoothed_stream(stream, "k", "at", "rate").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+        told.foreachBatch(lambda df, _: seen.update({r["key"]: (r["ema"], r["samples"]) for r in df.collect()})).trigger(availableNow=True).start().awaitTermination()
+    whole = {r["k"]: (pytest.approx(r["ema"]), r["samples"]) for r in progress.smoothed(spark.createDataFrame(rows, "k string, at int, rate double"), ["k"], ["at"], "rate").collect()}
+    assert seen == whole
 
 
 def test_paranoid_tells_contents_of_one_hash_apart(spark, monkeypatch):
@@ -297,6 +363,34 @@ def test_deleting_by_plan(spark, tmp_path):
         actions.delete_files(plan.withColumn("action", F.lit("delete")))
 
 
+def test_a_deletion_that_runs_again(spark, tmp_path):
+    """The first attempt of a task dies after half of its files; the report is whole all the same."""
+    tree(tmp_path / "f", {f"{i}{c}": f"same {i}" for i in range(6) for c in "ab"})
+    plan = materialize(selection.deletion_plan(scan(spark, [str(tmp_path / "f")]).details()), "plan")
+    log = str(tmp_path / "log")
+    lost = F.udf(lambda p: 1 // (os.path.basename(p) != "3b"))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        actions.delete_files(plan, dry_run=False, log=log).coalesce(1).select(lost("path")).collect()
+    assert len(os.listdir(tmp_path / "f")) < 12  # some are gone, and nobody was told
+    done = actions.delete_files(plan, dry_run=False, log=log)
+    for _ in range(2):  # and once more
+        rows = done.collect()
+        assert {(os.path.basename(r["path"]), r["bytes_freed"], r["error"]) for r in rows} == {(f"{i}b", 6, None) for i in range(6)}
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == [f"{i}a" for i in range(6)]
+
+
+def test_intents_of_an_attempt_that_was_cut_off(tmp_path):
+    first = actions._Intents(str(tmp_path))
+    first.say("planned", "/a\n")
+    first.say("done", "/a\n")
+    first.say("planned", "/b")
+    out = first._log("/b")[1]
+    out.write('["planned", "/c')
+    out.flush()
+    second = actions._Intents(str(tmp_path))
+    assert [second.said(p) for p in ("/a\n", "/b", "/c")] == ["done", "planned", None]
+
+
 def test_hard_link_tracker(tmp_path):
     tree(tmp_path, {"a": "x", "b": "x"})
     os.link(tmp_path / "a", tmp_path / "c")
