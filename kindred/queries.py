@@ -17,6 +17,7 @@ from kindred.plans.scan import find_duplicates, fingerprinted, scan_rows
 from kindred.plans.tables import materialize, scratch
 from kindred.schema import IMAGE_THRESHOLDS, ScanOptions
 from kindred.sources import cache, session, sinks
+from kindred.sources.config import suggested
 from kindred.sources.files import from_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,14 +150,26 @@ def _(spark, sf_dir):
 
 
 # Scalars.
-_LITERALS = ("10", "1.5KiB", " 2 kb", "3MB", "0.5GiB", "1T", "7tib", "x", "-1", "2 MiB")
-query("parse_size", "SELECT literal, coalesce(bytes, -1)::BIGINT AS bytes FROM (VALUES ('10', 10), ('1.5KiB', 1536), (' 2 kb', 2000), ('3MB', 3000000), ('0.5GiB', 536870912), ('1T', 1000000000000), ('7tib', 7696581394432), ('x', NULL), ('-1', NULL), ('2 MiB', 2097152)) t(literal, bytes)")(
-    lambda spark, sf_dir: spark.createDataFrame([(x,) for x in _LITERALS], "literal string").withColumn("bytes", F.coalesce(formatting.parse_size(F.col("literal")), F.lit(-1).cast("long")))
-)
-_DATES = ("2024-02-29", "1999-12-31", "2024-13-01", "2024-1-1", "x")
-query("parse_date", "SELECT literal, coalesce(seconds, -1)::BIGINT AS seconds FROM (VALUES ('2024-02-29', 1709164800), ('1999-12-31', 946598400), ('2024-13-01', NULL), ('2024-1-1', NULL), ('x', NULL)) t(literal, seconds)")(
-    lambda spark, sf_dir: spark.createDataFrame([(x,) for x in _DATES], "literal string").withColumn("seconds", F.coalesce(F.unix_seconds(formatting.parse_date(F.col("literal"))), F.lit(-1).cast("long")))
-)
+
+_LITERAL = "CASE doc_id % 7 WHEN 0 THEN n WHEN 1 THEN n || 'KiB' WHEN 2 THEN ' ' || n || ' kb' WHEN 3 THEN n || '.5MiB' WHEN 4 THEN n || ' x' WHEN 5 THEN '-' || n ELSE n || '.25T' END"
+
+
+@query("parse_size", f"""WITH d AS (SELECT doc_id, n_chars, n_chars::VARCHAR AS n FROM documents)
+SELECT doc_id, {_LITERAL} AS literal, CASE doc_id % 7 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1024 WHEN 2 THEN n_chars * 1000 WHEN 3 THEN n_chars * 1048576 + 524288 WHEN 4 THEN -1 WHEN 5 THEN -1 ELSE n_chars * 1000000000000 + 250000000000 END::BIGINT AS bytes FROM d""")
+def _(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("n_chars").cast("string").alias("n")).select("doc_id", F.expr(_LITERAL).alias("literal"))
+    return d.withColumn("bytes", F.coalesce(formatting.parse_size(F.col("literal")), F.lit(-1).cast("long")))
+
+
+@query("parse_date", """WITH e AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS day FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 1 THEN replace(day, '-', '/') WHEN 2 THEN left(day, 5) || '13' || right(day, 3) ELSE day END AS literal, CASE WHEN event_id % 4 IN (1, 2) THEN -1 ELSE epoch(date_trunc('day', ts))::BIGINT END::BIGINT AS seconds FROM e""")
+def _(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.left(F.col("ts").cast("string"), F.lit(10)).alias("day"))
+    kind = F.col("event_id") % 4
+    literal = F.when(kind == 1, F.replace("day", F.lit("-"), F.lit("/"))).when(kind == 2, F.concat(F.left("day", F.lit(5)), F.lit("13"), F.right("day", F.lit(3)))).otherwise(F.col("day"))
+    return e.select("event_id", literal.alias("literal")).withColumn("seconds", F.coalesce(F.unix_seconds(formatting.parse_date(F.col("literal"))), F.lit(-1).cast("long")))
+
+
 simple("format_duration", f"""WITH {FILES}, d AS (SELECT path, size * size AS ms, size * size // 1000 AS s FROM files)
 SELECT path, CASE WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, s % 3600 // 60, s % 60) WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) WHEN s > 0 THEN printf('%d.%03ds', s, ms % 1000) ELSE printf('%dms', ms) END AS shown FROM d""",
        lambda f: f.select("path", formatting.format_duration(F.col("size") * F.col("size")).alias("shown")))
@@ -165,7 +178,6 @@ simple("format_preview_size", f"WITH {FILES} SELECT path, CASE WHEN size >= 1048
 simple("truncate_path", f"WITH {FILES} SELECT path, CASE WHEN length(path) <= 16 THEN path ELSE '...' || right(path, 13) END AS shown FROM files", lambda f: f.select("path", formatting.truncated_path(F.col("path"), 16).alias("shown")))
 simple("percentage", f"WITH {FILES} SELECT path, CASE WHEN size % 5 = 0 THEN 0.0::DOUBLE ELSE least(100.0::DOUBLE, size * 100.0::DOUBLE / (size % 5 * 700)) END AS share FROM files", lambda f: f.select("path", formatting.percentage(F.col("size"), F.col("size") % 5 * 700).alias("share")))
 simple("cache_key", f"WITH {FILES} SELECT path || ':' || size || ':' || mtime * 1000000000 || ':' || 0 AS key FROM files", lambda f: f.select(formatting.cache_key(F.col("path"), F.col("size"), F.unix_seconds("modified") * 1000000000, F.lit(None).cast("long")).alias("key")))
-query("image_thresholds", "SELECT algorithm, bits::INT AS bits FROM (VALUES ('phash', 10), ('dhash', 2), ('ahash', 5)) t(algorithm, bits)")(lambda spark, sf_dir: spark.createDataFrame(list(IMAGE_THRESHOLDS.items()), "algorithm string, bits int"))
 _SCALED = "CASE WHEN s >= 1099511627776 THEN printf('%.2f TB', s / 1099511627776.0::DOUBLE) WHEN s >= 1073741824 THEN printf('%.2f GB', s / 1073741824.0::DOUBLE) WHEN s >= 1048576 THEN printf('%.2f MB', s / 1048576.0::DOUBLE) WHEN s >= 1024 THEN printf('%.2f KB', s / 1024.0::DOUBLE) ELSE s || ' B' END"
 simple("format_size", f"WITH {FILES}, z AS (SELECT path, size * size * 7 AS s FROM files) SELECT path, {_SCALED} AS shown FROM z", lambda f: f.select("path", formatting.format_size(F.col("size") * F.col("size") * 7).alias("shown")))
 _CLEAN = r"trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g'))"
@@ -244,6 +256,25 @@ _PHASH = f"bits AS (SELECT id, array_to_string(list_transform(c, lambda x: CASE
 query("phash", f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), {_PHASH} SELECT id AS vec_id, bits FROM bits")(lambda spark, sf_dir: vectors(spark, sf_dir).select("vec_id", hashing.phash(F.col("embedding").cast("array<double>")).alias("bits")))
 
 
+# How many vectors keep within each algorithm's threshold of what they are with a larger first component.
+_PAIR = "m AS (SELECT vec_id, s, CASE WHEN s = 'b' THEN list_concat([embedding[1]::DOUBLE + 0.05], embedding[2:]::DOUBLE[]) ELSE embedding::DOUBLE[] END AS e FROM embeddings, (VALUES ('a'), ('b')) t(s))"
+_PLAIN = "list_transform(e, lambda x: CASE WHEN x > (list_sum(e) / len(e)) THEN '1' ELSE '0' END)", "list_transform(range(1, len(e)), lambda i: CASE WHEN e[i] < e[i + 1] THEN '1' ELSE '0' END)"
+
+
+@query("image_thresholds", f"""WITH {_PAIR}, v AS (SELECT vec_id || s AS id, e FROM m), {_PHASH},
+h AS (SELECT 'ahash' AS algorithm, vec_id, s, array_to_string({_PLAIN[0]}, '') AS bits FROM m UNION ALL SELECT 'dhash', vec_id, s, array_to_string({_PLAIN[1]}, '') FROM m UNION ALL SELECT 'phash', left(id, length(id) - 1)::BIGINT, right(id, 1), bits FROM bits),
+p AS (SELECT x.algorithm, len(list_filter(range(1, length(x.bits) + 1), lambda i: x.bits[i::BIGINT] <> y.bits[i::BIGINT])) AS away FROM h x JOIN h y ON x.algorithm = y.algorithm AND x.vec_id = y.vec_id AND x.s = 'a' AND y.s = 'b')
+SELECT algorithm, bits::INT AS bits, count(*) FILTER (away <= bits) AS within, sum(away)::BIGINT AS away FROM p JOIN (VALUES ('phash', 10), ('dhash', 2), ('ahash', 5)) t(a, bits) ON a = algorithm GROUP BY algorithm, bits""")
+def _(spark, sf_dir):
+    e = F.col("embedding").cast("array<double>")
+    moved = F.concat(F.array(F.get(e, F.lit(0)) + 0.05), F.slice(e, 2, 1 << 20))
+    rows = vectors(spark, sf_dir).select(e.alias("e"), moved.alias("g"))
+    away = lambda a, b: F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
+    kinds = {"ahash": hashing.ahash, "dhash": hashing.dhash, "phash": hashing.phash}
+    told = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("algorithm"), F.lit(IMAGE_THRESHOLDS[k]).alias("bits"), away(of(F.col("e")), of(F.col("g"))).alias("away")) for k, of in kinds.items()])).alias("t")).select("t.*")
+    return told.groupBy("algorithm", "bits").agg(F.count_if(F.col("away") <= F.col("bits")).alias("within"), F.sum("away").alias("away"))
+
+
 # Each vector stands here twice, as it is and with its first component a little larger.
 _TWICE = f"""v AS (SELECT lpad(vec_id::VARCHAR, 12, '0') || s.s AS id, list_concat([embedding[1]::DOUBLE + s.d], embedding[2:]::DOUBLE[]) AS e FROM embeddings, (VALUES ('a', 0.0::DOUBLE), ('b', 0.01::DOUBLE)) s(s, d)),
 {_PHASH}, b AS (SELECT id AS path, ('0b' || bits[2:])::BIGINT AS low, bits[1] AS high FROM bits), sim AS (SELECT path, CASE WHEN high = '1' THEN low + (-9223372036854775808)::BIGINT ELSE low END AS hash FROM b)"""
@@ -392,15 +423,15 @@ query("cache_prune_stale", f"WITH {_CACHE} SELECT path, size FROM cache WHERE pa
 query("cache_prune_age", f"WITH {_CACHE} SELECT path, created_at FROM cache WHERE created_at >= 1704078000 - 3600")(lambda spark, sf_dir: (lambda f, old: cache.prune_by_age(old, 1704078000, 3600).select("path", "created_at"))(*_cached(spark, sf_dir)))
 
 # Configuration and progress.
-_KEYS = ("min_size", "max_size", "newer_than", "older_than", "regex", "ignore")
+_KEYS = ("clicks", "err0r", "purchases_by", "sign_up", "user_views")
 
 
-@query("config_suggest", "SELECT key, CASE WHEN d <= 3 THEN k END AS suggestion FROM (SELECT t.key, k.k, levenshtein(t.key, k.k) AS d FROM (VALUES ('min_sise'), ('regexp'), ('older_then'), ('zzzzzzzz')) t(key) CROSS JOIN (VALUES ('min_size', 0), ('max_size', 1), ('newer_than', 2), ('older_than', 3), ('regex', 4), ('ignore', 5)) k(k, i) QUALIFY row_number() OVER (PARTITION BY t.key ORDER BY levenshtein(t.key, k.k), i) = 1)")
+@query("config_suggest", f"""WITH k AS (SELECT event_id, event_type || user_id % 10 AS key FROM events),
+n AS (SELECT event_id, key, known, levenshtein(key, known) AS d, row_number() OVER (PARTITION BY event_id ORDER BY levenshtein(key, known), i) AS r FROM k, (VALUES {', '.join(f"('{k}', {i})" for i, k in enumerate(_KEYS))}) t(known, i))
+SELECT event_id, key, CASE WHEN d <= 3 THEN known END AS suggestion FROM n WHERE r = 1""")
 def _(spark, sf_dir):
-    from kindred.sources.config import suggestion
-
-    keys = ("min_sise", "regexp", "older_then", "zzzzzzzz")
-    return spark.createDataFrame([(k, suggestion(k, list(_KEYS))) for k in keys], "key string, suggestion string")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("key"))
+    return e.withColumn("suggestion", suggested(F.col("key"), list(_KEYS)))
 
 
 @query("progress_ema", """WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE value IS NOT NULL),

@@ -10,6 +10,9 @@ from dataclasses import fields
 from functools import reduce
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from kindred.functions.formatting import UNITS
 from kindred.schema import ScanOptions
 from kindred.sources.files import parse_named_root
@@ -100,3 +103,9 @@ def suggestion(key: str, known: list[str], most: int = 3) -> str | None:
     """The nearest known key within ``most`` edits, the first of equals."""
     best = min(((distance(key, k), i, k) for i, k in enumerate(known)), default=None)
     return best[2] if best and best[0] <= most else None
+
+
+def suggested(key: Column, known: list[str], most: int = 3) -> Column:
+    """The same for a column of keys."""
+    nearest = F.array_min(F.array(*[F.struct(F.levenshtein(key, F.lit(k)).alias("away"), F.lit(i).alias("at"), F.lit(k).alias("key")) for i, k in enumerate(known)]))
+    return F.when(nearest["away"] <= most, nearest["key"])
