@@ -108,7 +108,7 @@ class _Batch:
         total = known.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
         is_hot = F.col("own") >= max(LEAST_HOT, -(-total // MOST_HOT))
         hot = known.filter(is_hot).select("key", "gone")  # MOST_HOT rows at most
-        lines = spark.read.schema("uid long, at int, key binary").parquet(f"{self.staged}/lines/batch={k}")
+        lines = spark.read.schema("uid long, at int, key binary, batch int").parquet(f"{self.staged}/lines").filter(F.col("batch") == k)  # there may be none
         of_hot = lines.join(F.broadcast(hot.filter("gone").select("key")), "key", "left_semi")
         cold = known.filter(~is_hot).filter("gone").select("key")
         of_cold = lines.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key", "left_semi")
