@@ -154,18 +154,58 @@ class Whitening:
         return [e / self.trace for e in self.eigenvalues]
 
 
+def _rotated(b: np.ndarray) -> np.ndarray:
+    """Jacobi rotations that make a nearly diagonal matrix diagonal, each entry measured by its own
+    row and column, so that small eigenvalues beside large ones keep their digits."""
+    b, v = b.copy(), np.eye(len(b))
+    for _ in range(30):
+        size = np.sqrt(np.abs(np.diag(b)))
+        rows, columns = np.nonzero(np.triu(np.abs(b) > 1e-15 * np.outer(size, size), 1))
+        if not len(rows):
+            break
+        for i, j in zip(rows.tolist(), columns.tolist()):
+            if abs(b[i, j]) <= 1e-15 * np.sqrt(abs(b[i, i] * b[j, j])):
+                continue
+            tau = (b[j, j] - b[i, i]) / (2 * b[i, j])
+            t = (1.0 if tau >= 0 else -1.0) / (abs(tau) + np.hypot(1.0, tau))
+            c = 1 / np.hypot(1.0, t)
+            turn = np.array([[c, t * c], [-t * c, c]])
+            b[:, [i, j]] = b[:, [i, j]] @ turn
+            b[[i, j], :] = turn.T @ b[[i, j], :]
+            b[i, j] = b[j, i] = 0.0
+            v[:, [i, j]] = v[:, [i, j]] @ turn
+    return v
+
+
+def _whole_units(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors as integers, 2^60 to one."""
+    return np.array([[int(round(x * 2.0**60)) for x in row] for row in vectors], dtype=object)
+
+
+#: How far the eigenvalues that are asked for may lie apart for eigh alone to be as exact as can be.
+APART = 1e6
+
+
 def decomposed(n: int, sums: list[int], m: np.ndarray, most: int = COMPONENTS) -> Whitening:
-    """The components of the covariance m / n²; eigenvalues are Rayleigh quotients of the exact
-    matrix, so small ones next to large ones keep their digits."""
+    """The components of the covariance m / n², by eigh. Where the eigenvalues that are asked for
+    lie far apart, eigh tells small ones only to the rounding of the large ones: then the exact
+    matrix is put into the basis that eigh found, where it is all but diagonal, and rotated on.
+    Eigenvalues are Rayleigh quotients of the exact matrix."""
     k = least_rank(m, min(most, len(m)))
-    v = np.array([[x / (n * n) for x in row] for row in m], dtype=np.float64)
-    found = np.linalg.eigh(v)[1][:, ::-1][:, :k]
-    values = []
-    for column in found.T:
-        u = np.array([int(round(x * 2.0**60)) for x in column], dtype=object)
-        values.append(int(u @ m @ u) / (int(u @ u) * n * n))
-    order = np.argsort(values, kind="stable")[::-1]
-    return Whitening(n, sums, found[:, order], [values[i] for i in order], int(np.trace(m)) / (n * n))
+    values, vectors = np.linalg.eigh(np.array([[x / (n * n) for x in row] for row in m], dtype=np.float64))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    if k and values[0] > APART * max(values[k - 1], 0.0):
+        u = _whole_units(vectors)
+        inside = u.T @ m @ u
+        vectors = vectors @ _rotated(np.array([[x / (n * n << 120) for x in row] for row in inside], dtype=np.float64))
+        vectors /= np.linalg.norm(vectors, axis=0)
+    else:
+        vectors = vectors[:, :k]
+    exact = []
+    for column in _whole_units(vectors.T):
+        exact.append(int(column @ m @ column) / (int(column @ column) * n * n))
+    order = np.argsort(exact, kind="stable")[::-1][:k]
+    return Whitening(n, sums, vectors[:, order], [exact[i] for i in order], int(np.trace(m)) / (n * n))
 
 
 def _projection(model: Whitening, d: int):
