@@ -3,7 +3,7 @@
 Lengths are small integers, so the whole packing problem is a histogram of at most ``capacity``
 counts, however many documents there are. On that histogram:
 
-1. large pieces (over a third of a sequence) are sorted by length and cut into groups of equal
+1. large pieces (over a quarter of a sequence) are sorted by length and cut into groups of equal
    cardinality; every length in a group is rounded up to the group's largest;
 2. the few-size problem is solved over configurations: column generation on its linear
    programme, with an exact knapsack for pricing, and its whole parts are used;
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import gapless_rank, materialize, ship
 
-CAPACITY, GROUPS, LARGE = 4096, 256, 3
+CAPACITY, GROUPS, LARGE = 4096, 48, 4
 #: Pieces of one length that one task may rank together.
 CELL_ROWS = 1 << 10
 #: Distinct words and parts of words that a worker keeps the ids of, and their longest length.
