@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.hashing import by_path, file_hash, file_prehash, fullhash, prehash
+from kindred.operators.prefilter import RATE, BloomFilter
 from kindred.operators.ranking import ranked
-from kindred.plans.tables import bounded, keep_in, materialize, spread
-from kindred.schema import PREHASH_BYTES
+from kindred.plans.tables import bounded, keep_in, materialize, size_of, spread
+from kindred.schema import BROADCAST_BYTES, PREHASH_BYTES
 from kindred.sources import cache as hash_cache
 
 
@@ -40,9 +41,19 @@ def size_stats(files: DataFrame) -> DataFrame:
     return out.withColumn("elimination_rate", F.when(F.col("total_files") > 0, F.col("eliminated_unique") * 100.0 / F.col("total_files")).otherwise(0.0))
 
 
+def keep_rows(rows: DataFrame, keys: DataFrame, on: list[str], rate: float = RATE) -> DataFrame:
+    """Rows whose ``on`` values are among ``keys`` (each once). A short list goes to every task. A
+    long one goes as a Bloom filter first, so that few rows but those that stay are shuffled to meet
+    the list itself."""
+    keys = materialize(keys.select(*on), "keys")
+    if size_of(keys) > BROADCAST_BYTES:
+        rows = rows.filter(BloomFilter.of(keys, rate).may_hold(rows, *on))
+    return keep_in(rows, keys, on)
+
+
 def same_size(files: DataFrame) -> DataFrame:
     """Files whose size occurs twice."""
-    return keep_in(files.filter("size > 0"), size_groups(files), ["size"])
+    return keep_rows(files.filter("size > 0"), size_groups(files), ["size"])
 
 
 def _known(files: DataFrame, cache: DataFrame | None, column: str) -> DataFrame:
@@ -79,7 +90,7 @@ def digested(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
         return materialize(rows, "digests")
     heads = materialize(_read(same_size(files), cache, "prehash", file_prehash, "prehash"), "prehashes")
     twice = heads.filter("prehash IS NOT NULL").groupBy("prehash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wanted = keep_in(heads.filter("prehash IS NOT NULL"), twice, ["prehash"])
+    wanted = keep_rows(heads.filter("prehash IS NOT NULL"), twice, ["prehash"])
     none = F.lit(None).cast("string")
     short = wanted.filter(F.col("size") <= PREHASH_BYTES).withColumn("hash", F.col("prehash")).withColumn("hash_hit", F.col("prehash_hit"))
     long = _read(wanted.filter(F.col("size") > PREHASH_BYTES).drop("error"), cache, "fullhash", file_hash, "hash").select(*short.columns)

@@ -68,7 +68,7 @@ def _prints(files: DataFrame, cache: DataFrame | None) -> DataFrame:
 
 def _image_hashes(files: DataFrame, algorithm: str, cache: DataFrame | None) -> DataFrame:
     """(path, size, hash) of images: by the column perceptual_hash where rows have one, else by the
-    cache or the file. Images that cannot be decoded have none."""
+    cache, or their content or file. Images that cannot be decoded have none."""
     rows = files.filter(in_category(F.col("path"), "images"))
     keep = [c for c in ("path", "size", "mtime_ns", "inode") if c in files.columns]
     if "perceptual_hash" in files.columns:
@@ -77,9 +77,12 @@ def _image_hashes(files: DataFrame, algorithm: str, cache: DataFrame | None) ->
     if cache is not None:
         rows = hash_cache.looked_up(rows, cache.filter(F.col("algo") == algorithm), "perceptual_hash").drop("hit")
         known = F.col("perceptual_hash")
-    read = images.image_hash(algorithm)(F.when(known.isNull(), F.col("path")))
+    if "content" in files.columns:
+        read = images.content_hash(algorithm)(F.when(known.isNull(), F.col("content")))
+    else:
+        read = images.image_hash(algorithm)(F.when(known.isNull(), F.col("path")))["value"].cast("long")
     rows = spread(rows).withColumn("_read", read)
-    return rows.select(*keep, F.coalesce(known, F.col("_read.value").cast("long")).alias("hash"), known.isNotNull().alias("hit"))
+    return rows.select(*keep, F.coalesce(known, F.col("_read")).alias("hash"), known.isNotNull().alias("hit"))
 
 
 def _new_entries(digests: DataFrame, prints: dict[str, DataFrame], now: int, algorithm: str) -> DataFrame:
@@ -105,8 +108,6 @@ def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: Da
     log = cache if isinstance(cache, CacheLog) else None
     if log is not None:
         cache = log.current()
-    if options.similar_images and "perceptual_hash" not in files.columns and "content" in files.columns:
-        raise ValueError("similar images of rows with content need a column perceptual_hash")
     kept = passed(files, options)
     if options.named_roots:
         names = spark.createDataFrame(list(options.named_roots.items()), "root string, name string")  # a row for each root
@@ -151,8 +152,8 @@ def scan_rows(files: DataFrame, options: ScanOptions = ScanOptions(), errors: Da
 
 
 def find_duplicates(files: DataFrame, options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
-    """(members, summary) of file rows. Similar images of rows that hold their content are told by
-    their ``perceptual_hash``, a column of ``files`` made by ``image_algorithm``."""
+    """(members, summary) of file rows. Images are told by a column ``perceptual_hash``, if there is
+    one, made by ``image_algorithm``."""
     out = scan_rows(files, options)
     return out.members, out.summary
 

@@ -8,6 +8,9 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+
+from pyspark.sql import functions as F
 
 from kindred.functions.hashing import by_path, image_bits
 
@@ -135,18 +138,32 @@ def resized(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
     return image
 
 
+def _told(content: bytes, algorithm: str) -> int | None:
+    try:
+        return image_bits(gray(decoded(content)), algorithm)
+    except UnsupportedImage:
+        return None
+
+
 def image_hash(algorithm: str):
     """A column function of paths: struct of the hash, as a text of the long, and an error; an
     image that cannot be decoded has neither."""
     def of(path, f):
-        try:
-            return str(image_bits(gray(decoded(f.read())), algorithm))
-        except UnsupportedImage:
-            return None
+        told = _told(f.read(), algorithm)
+        return None if told is None else str(told)
 
     return by_path(of)
 
 
+def content_hash(algorithm: str):
+    """A column function of contents: the hash; null for null and for what cannot be decoded."""
+    @F.pandas_udf("long")
+    def of(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else _told(bytes(c), algorithm) for c in contents], dtype="Int64")
+
+    return of
+
+
 def as_png(pixels: np.ndarray) -> bytes:
     h, w, channels = pixels.shape
     lines = np.zeros((h, 1 + w * channels), np.uint8)

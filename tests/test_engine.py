@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from kindred.functions import formatting, hashing, paths, preview, progress
 from kindred.functions.formatting import format_duration, format_size, parse_date, posix_quoted, truncated_path
-from kindred.operators import dedupe, exact, predicates, ranking, selection, similar, views
+from kindred.operators import dedupe, exact, predicates, prefilter, ranking, selection, similar, views
 from kindred.operators.graph import components
+from kindred.operators.prefilter import BloomFilter
 from kindred.plans import scan as scans
 from kindred.plans import tables
 from kindred.plans.scan import ScanError, find_duplicates, scan, scan_rows
@@ -126,6 +127,27 @@ def test_paranoid_tells_contents_of_one_hash_apart(spark, monkeypatch):
     assert got == {("/a", 1), ("/c", 2), ("/b", 1), ("/d", 2)}
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.01, 0.0001])
+def test_bloom_filters_lose_nothing_and_hold_their_rate(spark, rate):
+    keys = spark.range(3000).select((F.col("id") * 7).alias("a"), F.col("id").cast("string").alias("b"))
+    held = BloomFilter.of(keys, rate)
+    assert keys.filter(~held.may_hold(keys, "a", "b")).count() == 0
+    others = spark.range(60_000).select((F.col("id") * 7 + 1).alias("a"), F.col("id").cast("string").alias("b"))
+    passed = others.filter(held.may_hold(others, "a", "b")).count() / 60_000
+    assert passed <= 2 * rate + 1e-4 and held.rate == pytest.approx(rate, rel=0.2)
+    none = BloomFilter.of(keys.limit(0))
+    assert none.rate == 0 and keys.filter(none.may_hold(keys, "a", "b")).count() == 0
+
+
+def test_long_lists_are_sent_as_filters(spark, monkeypatch):
+    monkeypatch.setattr(exact, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(prefilter, "MOST_BITS", 1 << 9)  # so full that much passes
+    rows = files(spark, [(f"/{i}", "x" * (1 + i % 60 if i < 120 else i), 0) for i in range(200)])
+    got = exact.same_size(rows)
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["path"] for r in got.collect()) == sorted(f"/{i}" for i in range(120))
+
+
 def test_hot_groups_are_ranked_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ranking, "HOT_ROWS", 7)
     rows = [("hot" if i % 2 else f"k{i % 6}" if i % 5 else None, f"p{i:03}") for i in range(120)]
@@ -311,6 +333,19 @@ def test_walked_documents_and_images_are_compared(spark, tmp_path):
     assert known["a.png"]["perceptual_hash"] is not None and known["a.png"]["algo"] == "phash" and known["d.txt"]["document_fingerprint"] is not None
 
 
+def test_images_in_rows_with_content_are_compared(spark):
+    ramp = (images.resized(np.random.default_rng(4).random((7, 7)), 64, 64) * 255).astype(np.uint8)[:, :, None].repeat(3, 2)
+    small = images.as_png(images.resized(ramp.astype(float), 48, 48).astype(np.uint8))
+    rows = [("/a.png", images.as_png(ramp)), ("/b.png", small), ("/c.png", b"no image"), ("/d.txt", small[:50])]
+    df = spark.createDataFrame(rows, "path string, content binary").withColumns({"size": F.octet_length("content").cast("long"), "modified": F.timestamp_seconds(F.lit(0)), "group_name": F.lit(None).cast("string"), "mtime_ns": F.lit(1).cast("long")})
+    got = scan_rows(df, ScanOptions(similar_images=True), cache=spark.createDataFrame([], cache.SCHEMA), now=1)
+    assert names(got.members) == ["a.png", "b.png"]
+    known = {r["path"]: r["perceptual_hash"] for r in got.cache.collect()}
+    assert known["/a.png"] is not None and known["/c.png"] is None
+    again = scan_rows(df, ScanOptions(similar_images=True), cache=materialize(got.cache, "cache"), now=2)
+    assert names(again.members) == ["a.png", "b.png"] and {r["created_at"] for r in again.cache.collect()} == {1}
+
+
 def chunked(*chunks):
     return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in chunks)
 
