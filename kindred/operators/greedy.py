@@ -21,11 +21,11 @@ from kindred.plans.tables import discard, materialize
 BLOCK = 400_000
 
 
-def _in_blocks(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _in_blocks(nodes: DataFrame, pairs: DataFrame, many: int | None) -> DataFrame:
     """nodes (id, first, n) with pos, their place, block and hub. Blocks go up with the places."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     degrees = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    rows = placed(nodes.join(degrees, "id"), ["first", "id"], "pos").withColumn("hub", F.col("degree") > BLOCK)
+    rows = placed(nodes.join(degrees, "id"), ["first", "id"], "pos", many).withColumn("hub", F.col("degree") > BLOCK)
     # Running sums in two steps: over the sums of ranges of places, then inside each.
     rows = rows.withColumn("_range", F.shiftright("pos", 18)).withColumn("_links", F.when(F.col("hub"), 0).otherwise(F.col("degree") + 1)).withColumn("_hub", F.col("hub").cast("long"))
     sums = rows.groupBy("_range").agg(F.sum("_links").alias("links"), F.sum("_hub").alias("hubs"))
@@ -65,18 +65,19 @@ def _walked(least: int):
     return walk
 
 
-def greedy(nodes: DataFrame, pairs: DataFrame, least: int, rounds: list[int] | None = None) -> DataFrame:
+def greedy(nodes: DataFrame, pairs: DataFrame, least: int, rounds: list[int] | None = None, many: int | None = None) -> DataFrame:
     """(id, leader) of the nodes that are gathered: nodes (id, first, n) of links (a, b), each once,
     by (first, id); a free node leads if it and its free neighbours count ``least`` or more by their
     n. Nodes without a link are left out. ``rounds`` is told how many nodes were open, round by
-    round."""
-    placed_nodes = materialize(_in_blocks(nodes, pairs), "walk_nodes")
+    round; ``many``: about how many nodes there are, if that is known."""
+    placed_nodes = materialize(_in_blocks(nodes, pairs, many), "walk_nodes")
     at = placed_nodes.select("id", "pos", "block", "hub")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     arcs = both.join(at.withColumnRenamed("id", "a"), "a").join(at.select(F.col("id").alias("b"), F.col("pos").alias("k")), "b").select("pos", "block", "hub", "k")
     open_ = materialize(arcs.unionByName(at.select("pos", "block", "hub", F.col("pos").alias("k"))), "walk_links")
-    state = materialize(placed_nodes.select("pos", "n", F.lit(None).cast("long").alias("leader")), "walk_states")
-    while left := open_.filter("pos = k").count():
+    state = placed_nodes.select("pos", "n", F.lit(None).cast("long").alias("leader"))
+    left = open_.filter("pos = k").count()
+    while left:
         if rounds is not None:
             rounds.append(left)
         nearest = open_.groupBy("k").agg(F.min("block").alias("least_block"))
@@ -96,8 +97,10 @@ def greedy(nodes: DataFrame, pairs: DataFrame, least: int, rounds: list[int] | N
         step = materialize(step, "walk_step")
         took = step.filter("leader IS NOT NULL").select("pos", F.col("leader").alias("_leader"))
         after = materialize(state.join(took, "pos", "left").select("pos", "n", F.coalesce("leader", "_leader").alias("leader")), "walk_states")
-        still = materialize(open_.join(step.filter("leader IS NULL").select("pos"), "pos", "left_anti"), "walk_links")
-        discard(state, open_, step)
+        decided = step.filter("leader IS NULL").select("pos")
+        left -= decided.count()
+        still = materialize(open_.join(decided, "pos", "left_anti"), "walk_links") if left else open_
+        discard(state, step, *[open_] * (still is not open_))
         state, open_ = after, still
     led = state.filter("leader IS NOT NULL").join(at.select("pos", "id"), "pos")
     out = materialize(led.join(at.select(F.col("pos").alias("leader"), F.col("id").alias("leader_id")), "leader").select("id", F.col("leader_id").alias("leader")), "walk_leaders")

@@ -42,10 +42,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, counts:
     return df.join(hot, keys, "left_anti").withColumn(name, window).unionByName(part)
 
 
-def placed(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
-    """Add ``name``: the place from 1 of each row among all rows."""
-    rows = materialize(df, "placed")
-    return _in_parts(rows.withColumn("_all", F.lit(0)), ["_all"], order, name, rows.count()).drop("_all")
+def placed(df: DataFrame, order: list[str | Column], name: str, many: int | None = None) -> DataFrame:
+    """Add ``name``: the place from 1 of each row among all rows. ``many``: about how many there are,
+    if that is known."""
+    rows = materialize(df, "placed") if many is None else df
+    return _in_parts(rows.withColumn("_all", F.lit(0)), ["_all"], order, name, rows.count() if many is None else many).drop("_all")
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -96,11 +96,12 @@ def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
     distinct hashes in the order of their first paths."""
     files = files.filter("hash IS NOT NULL")
     nodes = materialize(files.groupBy("hash").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    pairs = materialize(hamming_pairs(nodes, most, nodes.count()).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")), "hamming_pairs")
+    many = nodes.count()
+    pairs = materialize(hamming_pairs(nodes, most, many).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")), "hamming_pairs")
     ends = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()
     linked = nodes.join(ends, "hash", "left_semi").withColumnRenamed("hash", "id")
     alone = nodes.join(ends, "hash", "left_anti").filter(F.col("n") >= least).select("hash", F.col("first").alias("leader"))
-    walked = greedy(linked, pairs, least)
+    walked = greedy(linked, pairs, least, many=many)
     firsts = nodes.select(F.col("hash").alias("_h"), F.col("first").alias("_leader"))
     led = walked.join(firsts, F.col("leader") == F.col("_h")).select(F.col("id").alias("_hash"), F.col("_leader").alias("leader"))
     led = materialize(led.unionByName(alone.withColumnRenamed("hash", "_hash")), "leaders")
