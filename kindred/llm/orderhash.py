@@ -9,7 +9,8 @@ moving text costs likeness even where a plain MinHash would not see it.
 The order of entry i: the hash deals a run to one of as many cells as there are entries; cell i
 comes first, the other cells follow by a hash of i and the cell, and runs of one cell by their
 own hash. The two least runs of each cell are therefore all that any entry can ask for, and every
-text of two runs or more has order in all entries, however short it is.
+text of two runs or more has order in all entries, however short it is. The orders of the cells
+are the same for all rows: one literal of the plan.
 
 Everything happens inside a row, in sorted arrays of packed longs (32 bits of hash, 31 of
 position, as many as an array can have): occurrence numbers come from a galloping search in the
@@ -19,16 +20,21 @@ sorted runs, so time is n log n for any text, and nothing is exploded or shuffle
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_WORDS, ENTRIES = 3, 64
+#: Cells of an order that are looked at first; where they hold less than two runs, all are.
+NEAR_CELLS = 6
 HASH_BITS, POS_BITS = 32, 31
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows between two of the places at which the table is cut for the walk to the next document;
-#: beyond so many places there are more rows between them, up to the most.
-LEAST_ROWS, PLACES, BUCKET_ROWS = 4000, 10_000, 1 << 17
+#: beyond so many places there are more rows between them, up to the most. The buckets are also
+#: what the fingerprints are computed by, so there are more of them than tasks even in small tables.
+LEAST_ROWS, PLACES, BUCKET_ROWS = 500, 10_000, 1 << 17
 
 
 def _high(x: Column) -> Column:
@@ -43,6 +49,18 @@ def _pack(h: Column, pos: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(h, 64 - HASH_BITS), POS_BITS).bitwiseOR(pos)
 
 
+def cell_orders(entries: int = ENTRIES) -> list[list[int]]:
+    """The order of the cells for each entry: its own, then by the hash of entry and cell."""
+
+    def rank(i: int, c: int) -> tuple[bool, int, int]:
+        h = 42
+        for x in (i, c):
+            h = xxhash.xxh64_intdigest(x.to_bytes(4, "little"), h)
+        return c != i, h >> 24, c
+
+    return [sorted(range(entries), key=lambda c: rank(i, c)) for i in range(entries)]
+
+
 def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run: int = RUN_WORDS) -> DataFrame:
     """Add ``out``: the entries of ``text`` in order, entry number above 32 bits of hash;
     ``entries`` is a power of two.
@@ -67,11 +85,17 @@ def with_entries(df: DataFrame, text: str, out: str, entries: int = ENTRIES, run
 
     cell = lambda x: F.shiftright(x, POS_BITS + HASH_BITS - cell_bits).cast("int")
 
+    # Read from a constant text, the orders are one literal of the plan.
+    orders = F.from_json(F.lit(json.dumps(cell_orders(entries))), "array<array<int>>")
+
     def two_least(i: Column) -> Column:
-        """The two runs that come first for entry i."""
-        rank = lambda c: F.when(c == i, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned(F.xxhash64(i, c), 24) + 1)
-        by_rank = F.transform(F.col(cells), lambda c, j: F.shiftleft(rank(c), 16).bitwiseOR(j.cast("long")))
-        return F.transform(F.slice(F.sort_array(by_rank), 1, 2), lambda r: at(least, r.bitwiseAND(F.lit((1 << 16) - 1)).cast("int")))
+        """The two runs that come first for entry i, from the first cells of its order that have any."""
+        order = F.get(orders, i)
+        both = lambda c: F.coalesce(at(cells, at(firsts, c)) == c, F.lit(False))
+        runs_of = lambda c: F.slice(F.col(least), at(firsts, c), F.when(both(c), 2).otherwise(1))
+        held = lambda cs: F.filter(cs, lambda c: at(firsts, c) > 0)
+        near = held(F.slice(order, 1, NEAR_CELLS))
+        return F.flatten(F.transform(F.slice(F.when(F.size(near) > 1, near).otherwise(held(order)), 1, 2), runs_of))
 
     def pair(first: Column, i: Column) -> Column:
         """``first``: where the entry's own cell begins, from 1; 0 if it has no run."""
@@ -109,9 +133,10 @@ def likeness(a: Column, b: Column, entries: int = ENTRIES) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.sqrt(F.size(F.array_intersect(a, b)) / F.lit(float(entries))))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: str, dealt_with: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Add ``next_<column>`` of the next row by descending ``key`` (null last); after the last
-    comes the first. Rows with equal keys follow each other by the hash of ``tie``, then by
+    comes the first. ``dealt_with`` adds columns to the rows once they are dealt to their buckets,
+    so they need not be shuffled; ``columns`` may name them. Rows with equal keys follow each other by the hash of ``tie``, then by
     ``tie``, so a key that many rows share is cut like any other; only rows that repeat in both
     stay together.
 
@@ -139,6 +164,7 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFram
         .withColumn("_b", F.col("_to.b")).withColumn("_ghost", F.col("_to.ghost")).drop("_to")
     )
     w = Window.partitionBy("_b").orderBy("_ghost", "_o", tie)
+    dealt = dealt_with(dealt.repartition("_b"))
     for c in columns:
         dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
     return dealt.filter(F.col("_ghost") == 0).drop("_o", "_b", "_ghost")
@@ -151,7 +177,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     each other by a hash of their texts; a table of one row is followed by itself; repeated rows
     are rows of their own; texts of any length are read whole; an empty table stays empty."""
     rows = df.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    rows = with_next(rows.transform(with_entries, "_text", "_own"), "_id", ["_text", "_own"], "_text")
+    rows = with_next(rows, "_id", ["_text", "_own"], "_text", lambda held: with_entries(held, "_text", "_own"))
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.col("_text").substr(F.lit(1), n - third), F.col("next__text").substr(F.lit(1), third))
