@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import ship
 from kindred.llm.langid import held_out
 from kindred.llm.linear import sigmoid
+from kindred.plans.tables import spread
 
 BITS, FIRST, RANK, PREFIXES = 20, 1024, 8, (4, 5)
 #: Labelled texts that are learned from, of either label.
@@ -125,16 +126,24 @@ class Incidence:
         out = self.dense @ v[:k]
         columns, rows, starts = self.by_row
         if len(columns):
-            out[rows] += np.add.reduceat(v[k:][columns], starts, axis=0)
+            out[rows] += run_sums(v[k:], columns, starts)
         return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
         """Sums of the rows of ``g`` over each term's texts."""
         rows, starts = self.by_column
-        rare = np.add.reduceat(g[rows], starts, axis=0) if len(rows) else g[:0]
+        rare = run_sums(g, rows, starts) if len(rows) else g[:0]
         return np.concatenate([self.dense.T @ g, rare])
 
 
+def run_sums(v: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``v[at]`` over the runs that begin at ``starts``, by columns, which keeps reads together."""
+    out, held = np.empty((v.shape[1], len(starts)), v.dtype), np.empty(len(at), v.dtype)
+    for column, sums in zip(np.ascontiguousarray(v.T), out):
+        np.add.reduceat(np.take(column, at, out=held, mode="clip"), starts, out=sums)
+    return out.T
+
+
 def learn(sets: list[np.ndarray], y: np.ndarray, rate: float, rounds: int = 200, joined: int = 60, l2: float = 2e-4, step: float = 0.05, slow: float = 0.05) -> Machine:
     """Fit on the whole sample: by Adam the terms that tell most alone, then all others on what is
     left to tell, each in proportion to its gradient. ``rate``: the share of label 1 that the bias
@@ -189,9 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(sorted({t for w in words_of(x) for t in terms_of(w)}), np.int32).tobytes() for x in texts])
+        sets, terms = [words_of(x) for x in texts], {}
+        for w in set().union(*sets):
+            terms[w] = terms_of(w)
+        return pd.Series([np.array(sorted(set().union(*map(terms.__getitem__, s))), np.int32).tobytes() for s in sets])
 
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), F.col("_key") == F.col("key"))  # at most 3 * sample rows
+    rows = spread(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text"))).join(F.broadcast(some), F.col("_key") == F.col("key"))  # at most 3 * sample rows
     packs = rows.select("y", packed("text").alias("x"), F.xxhash64("key").alias("h"), F.xxhash64("text").alias("t"))
     found = packs.orderBy("h", "t", "y").limit(4 * sample).collect()
     picked = [r for label in (0, 1) for r in [r for r in found if r["y"] == label][:sample]]
@@ -223,7 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     out = held_out(F.col(f"`{key}`"), 5, 0)
     model = fit(docs, labels.filter(~held_out(F.col(f"`{key}`"), 5, 0)), text, key)
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    scores = docs.select(*keep, out.alias("held_out"), scored(model, docs.sparkSession, F.col(f"`{text}`")).alias("score"))
+    scores = spread(docs).select(*keep, out.alias("held_out"), scored(model, docs.sparkSession, F.col(f"`{text}`")).alias("score"))
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
