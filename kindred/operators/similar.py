@@ -8,18 +8,22 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.hashing import hamming
 from kindred.operators.greedy import greedy
-from kindred.operators.probing import probed_pairs
+from kindred.operators.probing import CHUNK, SAMPLE, probed_pairs
 from kindred.operators.ranking import ranked
 from kindred.plans.tables import bounded, discard, materialize
 
 BITS = 64
 #: Distances up to which fingerprints are joined on equal choices of bands; beyond, bands are probed.
 CHOSEN = 3
+#: Rows of keys that a task gets, about; the number of tasks beyond which it gets more of them; rows
+#: of one key from which on it is cut into blocks.
+KEY_ROWS, MOST_PARTS, HOT = 1 << 18, 1000, 1 << 14
 
 
 def bands_for(values: int, most: int) -> int:
@@ -32,13 +36,80 @@ def bands_for(values: int, most: int) -> int:
     return min(range(most + 1, most + 7), key=cost)
 
 
+def _hot_keys(distinct: DataFrame, chosen: list[tuple[int, ...]], edges: list[int], values: int) -> list[tuple[int, int]]:
+    """(key, blocks) of the keys that more than ``HOT`` fingerprints seem to have, by a sample. Which
+    ones are told, and in how many blocks, decides the work of a task, never the pairs."""
+    if values <= HOT:
+        return []
+    sample = np.array([r["hash"] for r in distinct.orderBy(F.xxhash64("hash")).limit(SAMPLE).select("hash").collect()], np.int64).view(np.uint64)
+    out = []
+    for index, c in enumerate(chosen):
+        packed = np.zeros(len(sample), np.uint64)
+        for i in c:
+            width = edges[i + 1] - edges[i]
+            packed = (packed << np.uint64(width) if i != c[0] else packed) | (sample >> np.uint64(edges[i])) & np.uint64((1 << width) - 1)
+        keys, counts = np.unique((packed << np.uint64((len(chosen) - 1).bit_length()) | np.uint64(index)).view(np.int64), return_counts=True)
+        blocks = np.ceil(counts * (values / max(1, len(sample))) / HOT).astype(int)
+        out += zip(keys[(blocks > 1) & (counts > 1)].tolist(), blocks[(blocks > 1) & (counts > 1)].tolist())
+    return out
+
+
+def _met(most: int, chosen: list[tuple[int, ...]], edges: list[int]):
+    """What a task finds among rows (key, hash): pairs of one key, once the first that they share. Of
+    a key in blocks, rows (part, block) too: a part holds two blocks, or one (``alone``)."""
+    sets = np.array([sum(1 << i for i in c) for c in chosen])
+    upto = np.array([(1 << (max(c) + 1)) - 1 for c in chosen])
+    masks = [np.uint64((1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
+    index = np.int64((1 << (len(chosen) - 1).bit_length()) - 1)
+
+    def of(batches):
+        tables = list(batches)
+        if not tables:
+            return
+        rows = pa.Table.from_batches(tables)
+        told = {c: rows[c].to_numpy() for c in rows.column_names}
+        order = np.lexsort([told[c] for c in ("hash", "part", "key") if c in told])
+        told = {c: v[order] for c, v in told.items()}
+        key, hashes = told["key"], told["hash"].view(np.uint64)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        if "part" in told:
+            new[1:] |= told["part"][1:] != told["part"][:-1]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(key)]
+        counts = np.repeat(ends, ends - starts) - np.arange(len(key)) - 1  # the rows after a row, of its key
+        sums = np.cumsum(counts)
+        total = int(sums[-1]) if len(sums) else 0
+        cuts = [0, *np.unique(np.minimum(np.searchsorted(sums, np.arange(CHUNK, total + CHUNK, CHUNK)) + 1, len(key))).tolist()]
+        for start, cut in zip(cuts, cuts[1:]):
+            n = counts[start:cut]
+            a = np.repeat(np.arange(start, cut), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            differ = hashes[a] ^ hashes[b]
+            near = np.bitwise_count(differ) <= most
+            if "part" in told:
+                near &= told["alone"][a] | (told["block"][a] != told["block"][b])
+            a, b, differ = a[near], b[near], differ[near]
+            # The first key that two share has no band on which they agree below its last one but its own.
+            agree = sum((differ & mask == 0).astype(np.int64) << i for i, mask in enumerate(masks))
+            at = key[a] & index
+            first = agree & upto[at] == sets[at]
+            a, b, differ = a[first], b[first], differ[first]
+            if len(a):
+                yield pa.record_batch({"hash_a": hashes[a].view(np.int64), "hash_b": hashes[b].view(np.int64), "distance": np.bitwise_count(differ).astype(np.int32)})
+
+    return of
+
+
 def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> DataFrame:
     """(hash_a, hash_b, distance) of different values of ``hash`` (long) at distance ``most`` or
     less, a before b, each pair once. ``values``: how many there are, if that is known.
 
     Up to a distance of ``CHOSEN`` fingerprints meet by equality of a key; they come out of the
-    first of all keys that they share, so the pairs need not be made distinct. Beyond that they are
-    looked up around each other. Equal values were made one before, so copies cost nothing here."""
+    first of all keys that they share, so the pairs need not be made distinct. The rows of the keys
+    are dealt over as many tasks as their number asks for, so a task holds no more of them when the
+    input grows. Beyond that distance they are looked up around each other. Equal values were made
+    one before, so copies cost nothing here."""
     distinct = hashes.select("hash").filter("hash IS NOT NULL").distinct()
     if values is None or most > CHOSEN:
         distinct = materialize(distinct, "fingerprints")
@@ -47,28 +118,29 @@ def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> Da
         return probed_pairs(distinct, most, values)
     m = bands_for(values, most)
     edges = [round(i * BITS / m) for i in range(m + 1)]
-    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(m)]
-    mask = lambda i: F.lit(masks[i] - (1 << BITS if masks[i] >= 1 << (BITS - 1) else 0)).cast("long")
     chosen = list(combinations(range(m), m - most))
-    bits = lambda c: sum(1 << i for i in c)
-
-    def key(c: tuple[int, ...]) -> Column:
-        of = mask(c[0])
-        for i in c[1:]:
-            of = of.bitwiseOR(mask(i))
-        return F.struct(F.lit(bits(c)).cast("long").alias("bands"), F.col("hash").bitwiseAND(of).alias("bits"))
-
-    cut = distinct.withColumn("_k", F.explode(F.array(*map(key, chosen)))).select("hash", F.col("_k.bands").alias("bands"), F.col("_k.bits").alias("bits"))
-    a, b = cut.withColumnRenamed("hash", "hash_a"), cut.withColumnRenamed("hash", "hash_b")
-    other = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    agree = sum((F.when(other.bitwiseAND(mask(i)) == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(m)), F.lit(0).cast("long"))
-    # The first key that two share has no band on which they agree below its last one but its own.
-    upto = F.lit(0).cast("long")
-    for c in sorted({c[-1] for c in chosen}):
-        upto = F.when(F.shiftright("bands", c) == 1, F.lit((1 << (c + 1)) - 1).cast("long")).otherwise(upto)
-    met = a.join(b, ["bands", "bits"]).filter("hash_a < hash_b")
-    near = met.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= most)
-    return near.filter(agree.bitwiseAND(upto) == F.col("bands")).select("hash_a", "hash_b", "distance")
+
+    def key(index: int, c: tuple[int, ...]) -> Column:
+        """The bits of the bands, then the number of the choice: 64 bits at most."""
+        of = F.lit(0).cast("long")
+        for i in c:
+            width = edges[i + 1] - edges[i]
+            bits = F.shiftrightunsigned("hash", edges[i]).bitwiseAND(F.lit((1 << width) - 1 if width < BITS else -1).cast("long"))
+            of = F.shiftleft(of, width).bitwiseOR(bits)
+        return F.shiftleft(of, (len(chosen) - 1).bit_length()).bitwiseOR(F.lit(index).cast("long"))
+
+    cut = distinct.select("hash", F.explode(F.array(*[key(i, c) for i, c in enumerate(chosen)])).alias("key"))
+    by, rows = ["key"], values * len(chosen)
+    if hot := _hot_keys(distinct, chosen, edges, values):
+        blocks = F.broadcast(hashes.sparkSession.createDataFrame(hot, "key long, s long"))  # of a sample
+        cut = cut.join(blocks, "key", "left").withColumn("s", F.coalesce("s", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("s")))
+        cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+        part = F.least("block", "_other") * F.col("s") + F.greatest("block", "_other")
+        cut = cut.select("hash", "key", part.alias("part"), "block", (F.col("block") == F.col("_other")).alias("alone"))
+        by, rows = ["key", "part"], rows + sum(HOT * s * s for _, s in hot)
+    # A number that is given is kept: parts that are merged up to some bytes would be sorted, and held, in one task.
+    dealt = cut.repartition(min(MOST_PARTS, 1 + rows // KEY_ROWS), *by)
+    return dealt.mapInArrow(_met(most, chosen, edges), "hash_a long, hash_b long, distance int")
 
 
 def file_links(files: DataFrame, most: int) -> DataFrame:

@@ -52,6 +52,30 @@ def test_probed_pairs_are_complete(spark, most, many):
     assert found_pairs(spark, values, most, many) == brute_pairs(values, most) != set()
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_rows_of_keys_are_dealt_by_their_number(spark, monkeypatch, most):
+    """Tasks do not grow with the input: parts are not merged up to some bytes."""
+    monkeypatch.setattr(similar, "KEY_ROWS", 100, raising=False)
+    monkeypatch.setattr(similar, "CHUNK", 50, raising=False)
+    values = near_values(most, 40, 9, most + 3)
+    df = similar.hamming_pairs(spark.createDataFrame([(v,) for v in values], "hash long"), most)
+    assert df.rdd.getNumPartitions() >= len(values) * (most + 1) // 100 > 4
+    rows = [tuple(r) for r in df.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_pairs(values, most) != set()
+
+
+@pytest.mark.parametrize("most,many", [(1, None), (3, None), (3, 10**4)])
+def test_keys_of_many_fingerprints_are_cut_into_blocks(spark, monkeypatch, most, many):
+    monkeypatch.setattr(similar, "HOT", 12)
+    values = near_values(most, 6, 60, 12, bits=14)
+    told = []
+    hot_keys = similar._hot_keys
+    monkeypatch.setattr(similar, "_hot_keys", lambda *a: told.append(hot_keys(*a)) or told[-1])
+    assert found_pairs(spark, values, most, many) == brute_pairs(values, most) != set()
+    assert max(s for _, s in told[0]) > 2
+    assert similar._hot_keys(spark.createDataFrame([], "hash long"), [(0,)], [0, 64], 10**6) == []
+
+
 @pytest.mark.parametrize("skew", ["low", "high", "one"])
 def test_pairs_of_skewed_bits(spark, skew):
     """Fingerprints that differ in a part of their bits only."""
