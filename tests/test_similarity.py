@@ -64,6 +64,21 @@ def test_rows_of_keys_are_dealt_by_their_number(spark, monkeypatch, most):
     assert len(rows) == len(set(rows)) and set(rows) == brute_pairs(values, most) != set()
 
 
+def written_parts(spark, monkeypatch, of):
+    """Result of an operator, and the partitions in which it writes its pairs."""
+    monkeypatch.setattr(similar, "KEY_ROWS", 100, raising=False)
+    parts, write = [], similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, tag, *a: (tag == "hamming_pairs" and parts.append(df.rdd.getNumPartitions()), write(df, tag, *a))[1])
+    rows = [(f"/{i:04}", v) for i, v in enumerate(near_values(5, 40, 9, 6))]
+    return rows, of(spark.createDataFrame(rows, "path string, hash long"), 3).collect(), parts
+
+
+def test_pairs_of_the_walk_are_dealt_by_their_number(spark, monkeypatch):
+    rows, found, parts = written_parts(spark, monkeypatch, similar.leader_groups)
+    assert len(parts) == 1 and parts[0] >= len(rows) * 4 // 100
+    assert {r["path"]: r["leader"] for r in found} == brute_leaders(rows, 3, 2)
+
+
 @pytest.mark.parametrize("most,many", [(1, None), (3, None), (3, 10**4)])
 def test_keys_of_many_fingerprints_are_cut_into_blocks(spark, monkeypatch, most, many):
     monkeypatch.setattr(similar, "HOT", 12)
