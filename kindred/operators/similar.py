@@ -149,7 +149,7 @@ def file_links(files: DataFrame, most: int) -> DataFrame:
     are within ``most``. Links are counted by class; no pairs of files are made."""
     classes = files.filter("hash IS NOT NULL").groupBy("hash").agg(F.min("path").alias("class_path"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
-    pairs = hamming_pairs(classes, most, classes.count())
+    pairs = materialize(hamming_pairs(classes, most, classes.count()), "hamming_pairs")  # read twice
     both = pairs.select("hash_a", "hash_b").unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b")))
     sizes = classes.select(F.col("hash").alias("hash_b"), F.col("n").alias("_m"))
     near = both.join(sizes, "hash_b").groupBy(F.col("hash_a").alias("hash")).agg(F.count(F.lit(1)).alias("near_classes"), F.sum("_m").alias("near_files"))

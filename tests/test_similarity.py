@@ -79,6 +79,13 @@ def test_pairs_of_the_walk_are_dealt_by_their_number(spark, monkeypatch):
     assert {r["path"]: r["leader"] for r in found} == brute_leaders(rows, 3, 2)
 
 
+def test_links_find_their_pairs_once(spark, monkeypatch):
+    rows, found, parts = written_parts(spark, monkeypatch, similar.file_links)
+    assert len(parts) == 1 and parts[0] >= len(rows) * 4 // 100
+    near = [h for a, b, _ in brute_pairs([h for _, h in rows], 3) for h in (a, b)]
+    assert {r["path"]: (r["copies"], r["near_classes"], r["near_files"]) for r in found} == {p: (0, near.count(h), near.count(h)) for p, h in rows}
+
+
 @pytest.mark.parametrize("most,many", [(1, None), (3, None), (3, 10**4)])
 def test_keys_of_many_fingerprints_are_cut_into_blocks(spark, monkeypatch, most, many):
     monkeypatch.setattr(similar, "HOT", 12)
