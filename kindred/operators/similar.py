@@ -110,12 +110,12 @@ def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> Da
     are dealt over as many tasks as their number asks for, so a task holds no more of them when the
     input grows. Beyond that distance they are looked up around each other. Equal values were made
     one before, so copies cost nothing here."""
-    distinct = hashes.select("hash").filter("hash IS NOT NULL").distinct()
+    given = hashes.select("hash").filter("hash IS NOT NULL")
     if values is None or most > CHOSEN:
-        distinct = materialize(distinct, "fingerprints")
-        values = distinct.count() if values is None else values
+        given = materialize(given.distinct(), "fingerprints")
+        values = given.count() if values is None else values
     if most > CHOSEN:
-        return probed_pairs(distinct, most, values)
+        return probed_pairs(given, most, values)
     m = bands_for(values, most)
     edges = [round(i * BITS / m) for i in range(m + 1)]
     chosen = list(combinations(range(m), m - most))
@@ -129,8 +129,11 @@ def hamming_pairs(hashes: DataFrame, most: int, values: int | None = None) -> Da
             of = F.shiftleft(of, width).bitwiseOR(bits)
         return F.shiftleft(of, (len(chosen) - 1).bit_length()).bitwiseOR(F.lit(index).cast("long"))
 
+    rows = values * len(chosen)
+    # Values are dealt by the number of their keys. They are so short that else one task gets them all, and makes all keys.
+    distinct = given.repartition(min(MOST_PARTS, 1 + rows // KEY_ROWS), "hash").distinct()
     cut = distinct.select("hash", F.explode(F.array(*[key(i, c) for i, c in enumerate(chosen)])).alias("key"))
-    by, rows = ["key"], values * len(chosen)
+    by = ["key"]
     if hot := _hot_keys(distinct, chosen, edges, values):
         blocks = F.broadcast(hashes.sparkSession.createDataFrame(hot, "key long, s long"))  # of a sample
         cut = cut.join(blocks, "key", "left").withColumn("s", F.coalesce("s", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("s")))

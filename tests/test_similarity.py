@@ -10,8 +10,11 @@ from kindred.functions.hashing import hamming
 from kindred.operators import greedy as walk
 from kindred.operators import index, probing, similar
 from kindred.operators.index import SimilarityIndex
+from kindred.queries import ORACLE_SQL, QUERIES
+from tests.oracle import agrees
 
 ALL = 2**64 - 1
+SF = "/root/testdata/sf0.001"
 
 
 def signed(v):
@@ -79,6 +82,17 @@ def test_pairs_of_the_walk_are_dealt_by_their_number(spark, monkeypatch):
     assert {r["path"]: r["leader"] for r in found} == brute_leaders(rows, 3, 2)
 
 
+@pytest.mark.parametrize("name", ["similar_documents"])
+def test_values_of_a_query_are_dealt_before_they_become_keys(spark, monkeypatch, name):
+    """No task makes the keys of all values, however short these are."""
+    monkeypatch.setattr(similar, "KEY_ROWS", 100)
+    parts, hot_keys = [], similar._hot_keys
+    monkeypatch.setattr(similar, "_hot_keys", lambda distinct, *a: parts.append((distinct.count(), distinct.rdd.getNumPartitions())) or hot_keys(distinct, *a))
+    found = QUERIES[name](spark, SF)
+    assert [n >= values * 4 // 100 > 4 for values, n in parts] == [True]
+    agrees(found, ORACLE_SQL[name], SF)
+
+
 def test_links_find_their_pairs_once(spark, monkeypatch):
     rows, found, parts = written_parts(spark, monkeypatch, similar.file_links)
     assert len(parts) == 1 and parts[0] >= len(rows) * 4 // 100
