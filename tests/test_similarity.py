@@ -82,7 +82,7 @@ def test_pairs_of_the_walk_are_dealt_by_their_number(spark, monkeypatch):
     assert {r["path"]: r["leader"] for r in found} == brute_leaders(rows, 3, 2)
 
 
-@pytest.mark.parametrize("name", ["similar_documents", "similar_minus_exact"])
+@pytest.mark.parametrize("name", ["similar_documents", "similar_minus_exact", "kind_filter"])
 def test_values_of_a_query_are_dealt_before_they_become_keys(spark, monkeypatch, name):
     """No task makes the keys of all values, however short these are."""
     monkeypatch.setattr(similar, "KEY_ROWS", 100)
