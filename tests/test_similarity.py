@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.hashing import hamming
 from kindred.operators import greedy as walk
-from kindred.operators import index, probing, similar
+from kindred.operators import exact, index, probing, ranking, similar
 from kindred.operators.index import SimilarityIndex
 from kindred.queries import ORACLE_SQL, QUERIES
 from tests.oracle import agrees
@@ -93,6 +93,33 @@ def test_values_of_a_query_are_dealt_before_they_become_keys(spark, monkeypatch,
     agrees(found, ORACLE_SQL[name], SF)
 
 
+@pytest.mark.parametrize("name", ["kind_filter"])
+@pytest.mark.parametrize("module,tag", [(exact, "groups")])
+def test_groups_of_a_query_are_counted_by_their_number(spark, monkeypatch, name, module, tag):
+    """No task counts all hashes, however short these are."""
+    monkeypatch.setattr(ranking, "TALLY_ROWS", 20, raising=False)
+    parts, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, t, *a: (t == tag and parts.append(df.rdd.getNumPartitions()), write(df, t, *a))[1])
+    found = QUERIES[name](spark, SF)
+    assert len(parts) == 1 and parts[0] >= 190 // 20
+    agrees(found, ORACLE_SQL[name], SF)
+
+
+def test_rows_of_a_frequent_hash_are_counted_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TALLY_ROWS", 50)
+    rows = [(f"/{i:04}", i % 7 if i % 3 else 0) for i in range(1000)] + [("/null", None)]
+    df = spark.createDataFrame(rows, "path string, hash long")
+    want = {h: (min(p for p, o in rows if o == h), sum(o == h for _, o in rows)) for h in {h for _, h in rows}}
+    dealt, repartition = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: dealt.append(repartition(self, *a)) or dealt[-1])
+    got = ranking.tallied(df, "hash", len(rows), "first")
+    assert {r["hash"]: (r["first"], r["n"]) for r in got.collect()} == want
+    assert {r["hash"]: r["n"] for r in ranking.tallied(df, "hash", len(rows)).collect()} == {h: n for h, (_, n) in want.items()}
+    assert ranking.tallied(df, "hash", 10, "first").dtypes == got.dtypes
+    of_task = dealt[0].groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert of_task < 300 < want[0][1]
+
+
 def test_links_find_their_pairs_once(spark, monkeypatch):
     rows, found, parts = written_parts(spark, monkeypatch, similar.file_links)
     assert len(parts) == 1 and parts[0] >= len(rows) * 4 // 100
