@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 from kindred.operators.greedy import greedy
 from kindred.operators.probing import CHUNK, SAMPLE, probed_pairs
-from kindred.operators.ranking import ranked
+from kindred.operators.ranking import MOST_PARTS, ranked, tallied
 from kindred.plans.tables import bounded, discard, materialize
 
 BITS = 64
 #: Distances up to which fingerprints are joined on equal choices of bands; beyond, bands are probed.
 CHOSEN = 3
-#: Rows of keys that a task gets, about; the number of tasks beyond which it gets more of them; rows
-#: of one key from which on it is cut into blocks.
-KEY_ROWS, MOST_PARTS, HOT = 1 << 18, 1000, 1 << 14
+#: Rows of keys that a task gets, about; rows of one key from which on it is cut into blocks.
+KEY_ROWS, HOT = 1 << 18, 1 << 14
 
 
 def bands_for(values: int, most: int) -> int:
@@ -150,8 +149,8 @@ def file_links(files: DataFrame, most: int) -> DataFrame:
     """(path, class_path, copies, near_classes, near_files) of files with a ``hash``: the first path
     of the same hash, how many other files have it, and how many other hashes, and files of these,
     are within ``most``. Links are counted by class; no pairs of files are made."""
-    classes = files.filter("hash IS NOT NULL").groupBy("hash").agg(F.min("path").alias("class_path"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes, "classes")
+    held = files.select("path", "hash").filter("hash IS NOT NULL")
+    classes = materialize(tallied(held, "hash", held.count(), "class_path"), "classes")
     pairs = materialize(hamming_pairs(classes, most, classes.count()), "hamming_pairs")  # read twice
     both = pairs.select("hash_a", "hash_b").unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b")))
     sizes = classes.select(F.col("hash").alias("hash_b"), F.col("n").alias("_m"))
@@ -170,7 +169,7 @@ def leader_groups(files: DataFrame, most: int, least: int = 2) -> DataFrame:
     taken together, and a hash that once finds too few will not find more, so the walk is over
     distinct hashes in the order of their first paths."""
     files = files.filter("hash IS NOT NULL")
-    nodes = materialize(files.groupBy("hash").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = materialize(tallied(files, "hash", files.count(), "first"), "nodes")
     many = nodes.count()
     pairs = materialize(hamming_pairs(nodes, most, many).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b")), "hamming_pairs")
     ends = pairs.select(F.col("a").alias("hash")).union(pairs.select(F.col("b").alias("hash"))).distinct()

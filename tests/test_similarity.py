@@ -93,8 +93,8 @@ def test_values_of_a_query_are_dealt_before_they_become_keys(spark, monkeypatch,
     agrees(found, ORACLE_SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", ["kind_filter"])
-@pytest.mark.parametrize("module,tag", [(exact, "groups")])
+@pytest.mark.parametrize("name", ["kind_filter", "similar_minus_exact"])
+@pytest.mark.parametrize("module,tag", [(exact, "groups"), (similar, "nodes")])
 def test_groups_of_a_query_are_counted_by_their_number(spark, monkeypatch, name, module, tag):
     """No task counts all hashes, however short these are."""
     monkeypatch.setattr(ranking, "TALLY_ROWS", 20, raising=False)
