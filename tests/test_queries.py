@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -16,6 +18,26 @@ def test_query_agrees_with_sql(spark, name):
     assert name in MAY_BE_EMPTY or df.limit(1).count()
 
 
+#: Documents with texts that are empty or missing, numbers below zero, and sources that look like a name of a file.
+ODD = {
+    "empty": "text: CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END",
+    "missing": "text: CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END",
+    "negative": "doc_id: doc_id - 100",
+    "source": "source: 'mydoc7.d'",
+}
+
+
+@pytest.mark.parametrize("odd", sorted(ODD))
+@pytest.mark.parametrize("name", ["cached_scan_rows"])
+def test_query_agrees_with_sql_on_odd_documents(spark, tmp_path, name, odd):
+    for table in Path(SF).glob("*.parquet"):
+        if table.stem != "documents":
+            (tmp_path / table.name).symlink_to(table)
+    column, value = ODD[odd].split(": ")
+    duckdb.execute(f"COPY (SELECT * REPLACE ({value} AS {column}) FROM '{SF}/documents.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    agrees(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path))
+
+
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n.startswith("sort_")])
 def test_sorted_queries_come_in_order(spark, name):
     con = duckdb.connect()
