@@ -18,17 +18,19 @@ def test_query_agrees_with_sql(spark, name):
     assert name in MAY_BE_EMPTY or df.limit(1).count()
 
 
-#: Documents with texts that are empty or missing, numbers below zero, and sources that look like a name of a file.
+#: Documents with texts that are empty, missing or all different, numbers below zero, and sources that look like a name of a file.
 ODD = {
     "empty": "text: CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END",
     "missing": "text: CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END",
+    "all_empty": "text: ''",
+    "alone": "text: text || doc_id",
     "negative": "doc_id: doc_id - 100",
     "source": "source: 'mydoc7.d'",
 }
 
 
 @pytest.mark.parametrize("odd", sorted(ODD))
-@pytest.mark.parametrize("name", ["cached_scan_rows"])
+@pytest.mark.parametrize("name", ["cached_scan_rows", "scan_summary"])
 def test_query_agrees_with_sql_on_odd_documents(spark, tmp_path, name, odd):
     for table in Path(SF).glob("*.parquet"):
         if table.stem != "documents":
